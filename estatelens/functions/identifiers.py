@@ -30,9 +30,8 @@ def open_writes(mode: Column) -> Column:
 
 
 def _accept(name: Column, shape: str) -> Column:
-    stop = F.array(*[F.lit(w) for w in rules.TABLE_STOP_WORDS])
     parts = F.split(name, r"\.", -1)
-    fits = F.forall(parts, lambda p: p.rlike(shape) & ~F.array_contains(stop, F.lower(p)))
+    fits = F.forall(parts, lambda p: p.rlike(shape) & ~F.lower(p).isin(rules.TABLE_STOP_WORDS))
     return fits & ((F.size(parts) > 1) | (F.length(name) >= 3))
 
 

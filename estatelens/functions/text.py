@@ -50,9 +50,8 @@ def normalize(c) -> Column:
 
 def content_tokens(c) -> Column:
     """Lower-case alphanumeric runs without stop words, plural ``s`` cut."""
-    stop = F.array(*[F.lit(w) for w in rules.STOP_WORDS])
     words = F.regexp_extract_all(F.lower(_col(c)), F.lit("[a-z0-9]+"), F.lit(0))
-    kept = F.filter(words, lambda w: ~F.array_contains(stop, w))
+    kept = F.filter(words, lambda w: ~w.isin(rules.STOP_WORDS))
     return F.transform(
         kept,
         lambda w: F.when((F.length(w) >= 4) & w.endswith("s"), w.substr(F.lit(1), F.length(w) - 1)).otherwise(w),
