@@ -116,9 +116,7 @@ def event_io(spark, sf):
 
 def nested_services(spark, sf):
     """A1 with its location list: the nested form at its bound (forty lines per file)."""
-    hits = event_services(spark, sf)
-    spots = co.nest_locations(co.locations(hits, "name"), "name", by_path=True)
-    joined = co.coalesce_services(hits).join(spots, ["project_id", "name"])
+    joined = co.services_with_locations(event_services(spark, sf))
     shown = F.array_join(
         F.transform("source_locations", lambda x: F.concat_ws(":", x["path"], x["line"].cast("string"))), ","
     )

@@ -19,11 +19,12 @@ FILE_KEY = ["project_id", "path"]
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern, its number in the rule list and the capture groups kept."""
+    """A pattern, its number in the rule list, the capture groups kept and the view it reads."""
 
     number: int
     pattern: str
     groups: tuple[int, ...] = (1,)
+    view: str = "text"
 
 
 def _newlines(c: Column) -> Column:
@@ -62,21 +63,23 @@ def _matches(content: Column, rule: Rule, width: int) -> Column:
 def regex_hits(
     files: DataFrame,
     rules: list[Rule],
-    content: Column | str = "content",
+    content: str = "content",
     key: list[str] | None = None,
+    views: dict[str, Column] | None = None,
 ) -> DataFrame:
     """One row per match: key, rule, g1.., start, end and line of the match.
 
-    All rules share one generator, one exchange and one sort by file key. A
-    file is at most one megabyte by admission, which bounds every window.
+    All rules share one pass over the texts, one exchange and one sort by file
+    key. A file is at most one megabyte by admission, which bounds every
+    window. ``views`` are other renderings of the same text, of equal length.
     """
     key = key or FILE_KEY
-    content = F.col(content) if isinstance(content, str) else content
-    width = max(len(r.groups) for r in rules)
-    per_rule = [_matches(F.col("_text"), r, width) for r in rules]
+    views = {"text": F.col(content)} | (views or {})
+    width = max(1, *(len(r.groups) for r in rules))
+    per_rule = [_matches(F.col(f"_{r.view}"), r, width) for r in rules]
     hits = F.flatten(F.filter(F.array(*per_rule), lambda a: a.isNotNull()))
     rows = (
-        files.select(*key, content.alias("_text"))
+        files.select(*key, *[v.alias(f"_{name}") for name, v in views.items()])
         .select(*key, F.explode(hits).alias("h"))
         .select(*key, "h.*")
         .repartition(*key)

@@ -64,19 +64,62 @@ def locations(hits: DataFrame, name: str) -> DataFrame:
     return hits.filter(F.col(name) != "").groupBy("project_id", name, "path", "line").agg(F.min("seq").alias("seq"))
 
 
+def _nested(by_path: bool) -> Column:
+    """Array of locations: by (path, line), or in discovery order."""
+    place = F.struct("path", "line")
+    if by_path:
+        return F.sort_array(F.collect_list(place))
+    ordered = F.sort_array(F.collect_list(F.struct(F.col("seq"), place.alias("at"))))
+    return F.transform(ordered, lambda x: x["at"])
+
+
 def nest_locations(flat: DataFrame, name: str, by_path: bool) -> DataFrame:
-    """Array of locations per thing: by (path, line), or in discovery order.
+    """Array of locations per thing.
 
     For profile assembly only, where a project has at most
     ``MAX_FILES_PER_PROJECT`` files of ``MAX_FILE_BYTES``.
     """
-    place = F.struct("path", "line")
-    if by_path:
-        nested = F.sort_array(F.collect_list(place))
-    else:
-        ordered = F.sort_array(F.collect_list(F.struct(F.col("seq"), place.alias("at"))))
-        nested = F.transform(ordered, lambda x: x["at"])
-    return flat.groupBy("project_id", name).agg(nested.alias("source_locations"))
+    return flat.groupBy("project_id", name).agg(_nested(by_path).alias("source_locations"))
+
+
+def services_with_locations(hits: DataFrame, first_kind: bool = False) -> DataFrame:
+    """A1 (or A2 with ``first_kind``) and the locations, from one pass over the hits.
+
+    Locations are made distinct first, keeping the best (rank, place, kind) of each.
+    """
+    rank = F.lit(0) if first_kind else kind_rank(F.col("kind"))
+    best = F.min(F.struct(rank.alias("rank"), F.col("seq").alias("seq"), F.col("kind").alias("kind")))
+    flat = hits.groupBy("project_id", "name", "path", "line").agg(F.min("seq").alias("seq"), best.alias("best"))
+    return (
+        flat.groupBy("project_id", "name")
+        .agg(
+            F.min("best")["kind"].alias("kind"),
+            F.min("seq").alias("first_seq"),
+            _nested(not first_kind).alias("source_locations"),
+        )
+    )
+
+
+def tables_with_locations(hits: DataFrame) -> DataFrame:
+    """A3 and the locations in discovery order, from one pass over the hits."""
+    modes = F.collect_set("access_mode")
+    flat = (
+        hits.filter(F.col("table_name") != "")
+        .groupBy("project_id", "table_name", "path", "line")
+        .agg(F.min("seq").alias("seq"), modes.alias("modes"))
+    )
+
+    def seen(m: str) -> Column:
+        return F.bool_or(F.array_contains("modes", m))
+
+    return flat.groupBy("project_id", "table_name").agg(
+        F.when(seen("read_write") | (seen("read") & seen("write")), "read_write")
+        .when(seen("write"), "write")
+        .when(seen("read"), "read")
+        .otherwise("unknown")
+        .alias("access_mode"),
+        _nested(False).alias("source_locations"),
+    )
 
 
 def dedup_io(hits: DataFrame) -> DataFrame:

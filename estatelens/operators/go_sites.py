@@ -364,22 +364,20 @@ def go_io(files: DataFrame, sites: DataFrame | None = None) -> DataFrame:
 
 def gomod_candidates(files: DataFrame) -> DataFrame:
     """P5: the module line's comment (priority 3) and module path tail (priority 4)."""
-    m = module_lines(files)
-    comment = m.select(
-        "project_id",
-        F.lit("gomod_comment").alias("source"),
-        F.lit(3).alias("priority"),
-        F.lit("go.mod").alias("path"),
-        truncate_words(collapse_ws(F.coalesce("leading", "trailing"))).alias("text"),
-    )
-    tail = m.select(
-        "project_id",
-        F.lit("gomod_module_path").alias("source"),
-        F.lit(4).alias("priority"),
-        F.lit("go.mod").alias("path"),
-        truncate_words(collapse_ws(module_tail(F.col("module")))).alias("text"),
+
+    def one(source: str, priority: int, raw: Column) -> Column:
+        return F.struct(
+            F.lit(source).alias("source"),
+            F.lit(priority).alias("priority"),
+            F.lit("go.mod").alias("path"),
+            truncate_words(collapse_ws(raw)).alias("text"),
+        )
+
+    both = F.array(
+        one("gomod_comment", 3, F.coalesce("leading", "trailing")),
+        one("gomod_module_path", 4, module_tail(F.col("module"))),
     )
-    return comment.unionByName(tail).filter(F.col("text").isNotNull())
+    return module_lines(files).select("project_id", F.inline(both)).filter(F.col("text").isNotNull())
 
 
 def is_main_path(path: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from estatelens import rules
 from estatelens.functions.identifiers import accept_proc, accept_table, clean_ident_schema
 from estatelens.functions.patterns import regex_hits
-from estatelens.operators.tables import N_WRITES, drop_covered_reads, sql_rules
+from estatelens.operators.tables import N_WRITES, SQL_AT, drop_covered_reads, sql_rules
 from estatelens.sources.admission import is_go_source
 
 LITERAL_KEY = ["project_id", "path", "lit_no"]
@@ -67,7 +67,8 @@ def proc_hits(literals: DataFrame) -> DataFrame:
 def sql_refs_schema(literals: DataFrame, key: list[str] | None = None) -> DataFrame:
     """Table references of bare SQL texts, schema kept, no import rule."""
     key = key or LITERAL_KEY
-    hits = drop_covered_reads(regex_hits(literals, sql_rules(), "literal", key), key)
+    found = regex_hits(literals, sql_rules(), "literal", key).withColumn("rule", F.col("rule") - SQL_AT)
+    hits = drop_covered_reads(found, key)
     return hits.select(
         *key,
         clean_ident_schema(F.col("g1")).alias("table_name"),

@@ -63,9 +63,16 @@ def client_rules() -> list[Rule]:
     return out
 
 
-def client_hits(files: DataFrame) -> DataFrame:
-    """Client constructors, all rules in one pass over the files."""
-    hits = regex_hits(files, client_rules())
+def client_hits(files: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """Client constructors, all rules in one pass over the files.
+
+    ``hits`` may hold the matches of a pass made together with other rules.
+    """
+    rule_list = client_rules()
+    if hits is None:
+        hits = regex_hits(files, rule_list)
+    else:
+        hits = hits.filter(F.col("rule") < len(rule_list)).filter(service_scannable(F.col("path")))
     kind, name = cloud_columns(F.lower("g1"))
     for n, (_, k, client) in reversed(list(enumerate(rules.CLIENT_PATTERNS, start=1))):
         kind = F.when(F.col("rule") == n, F.lit(k)).otherwise(kind)
@@ -86,7 +93,7 @@ def sdk_hits(files: DataFrame) -> DataFrame:
     return client_hits(files).filter(F.col("rule") > 0).drop("rule")
 
 
-def service_hits(files: DataFrame) -> DataFrame:
+def service_hits(files: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """E19, general branch: every service hit of the scannable files."""
     scanned = files.filter(service_scannable(F.col("path")))
-    return url_hits(scanned).unionByName(client_hits(scanned).drop("rule"))
+    return url_hits(scanned).unionByName(client_hits(scanned, hits).drop("rule"))

@@ -15,14 +15,51 @@ from estatelens.sources.admission import is_doc
 
 N_WRITES = len(rules.SQL_WRITES)
 N_SQL = N_WRITES + len(rules.SQL_READS)
+# Rule numbers of the families, so that one pass can serve them all.
+SQL_AT, MIGRATIONS_AT, MODELS_AT, CALLS_AT = 100, 200, 300, 400
 IMPORT_LINE = r"(?md)^[^\S\n]*from[^\S\n]+[\w.]+[^\S\n]+import\b"
 # One character of an import line: its first, or the next one after the last match.
 IMPORT_CHAR = r"(?md)(?:^(?=[^\S\n]*from[^\S\n]+[\w.]+[^\S\n]+import\b)|\G(?!^))[^\n]"
 
 
-def sql_rules() -> list[Rule]:
+def sql_rules(view: str = "text") -> list[Rule]:
     """Write patterns then read patterns, in any case and any alphabet."""
-    return [Rule(n, "(?iU)" + p) for n, p in enumerate(rules.SQL_WRITES + rules.SQL_READS)]
+    return [Rule(SQL_AT + n, "(?iU)" + p, view=view) for n, p in enumerate(rules.SQL_WRITES + rules.SQL_READS)]
+
+
+def migration_rules() -> list[Rule]:
+    """The last one, a rename, names two tables."""
+    last = len(rules.MIGRATIONS) - 1
+    return [
+        Rule(MIGRATIONS_AT + n, "(?U)" + p, (1, 2) if n == last else (1,)) for n, p in enumerate(rules.MIGRATIONS)
+    ]
+
+
+def model_rules() -> list[Rule]:
+    """Class lines, then the three ways to name a model's table."""
+    named = [Rule(MODELS_AT + n, "(?U)" + p, (2,)) for n, p in enumerate(rules.MODEL_PATTERNS, start=1)]
+    return [Rule(MODELS_AT, "(?mdU)" + rules.CLASS_PATTERN, (1, 2)), *named]
+
+
+def call_rules() -> list[Rule]:
+    """Query shapes with the class they name; the last one also names a method."""
+    shapes = [Rule(CALLS_AT + n, "(?U)" + p, (1,)) for n, (p, _) in enumerate(rules.MODEL_QUERIES)]
+    return [*shapes, Rule(CALLS_AT + len(shapes), "(?U)" + rules.MODEL_OBJECTS, (1, 2))]
+
+
+def scan(files: DataFrame, rule_list: list[Rule]) -> DataFrame:
+    """Matches with the view that SQL rules of source files read."""
+    return regex_hits(files, rule_list, views={"sql": without_imports(F.col("content"))})
+
+
+def _family(files: DataFrame, hits: DataFrame | None, rule_list: list[Rule]) -> DataFrame:
+    """The family's matches numbered from 0: from a shared pass, or from a pass of its own."""
+    base = rule_list[0].number
+    if hits is None:
+        hits = scan(files, rule_list)
+    else:
+        hits = hits.filter(F.col("rule").between(base, base + len(rule_list) - 1)).filter(~is_doc(F.col("path")))
+    return hits.withColumn("rule", F.col("rule") - base)
 
 
 def without_imports(content: Column) -> Column:
@@ -49,9 +86,9 @@ def drop_covered_reads(hits: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
-def sql_hits(files: DataFrame) -> DataFrame:
+def sql_hits(files: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """Statement targets (write) and FROM/JOIN sources (read)."""
-    hits = regex_hits(files, sql_rules(), without_imports(F.col("content")))
+    hits = _family(files, hits, sql_rules("sql"))
     return _table_rows(
         drop_covered_reads(hits, FILE_KEY),
         clean_ident(F.col("g1")),
@@ -77,20 +114,20 @@ def _table_rows(
     )
 
 
-def migration_hits(files: DataFrame) -> DataFrame:
+def migration_hits(files: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """Migration calls; a rename writes the old and the new table."""
-    rename = len(rules.MIGRATIONS) - 1
-    groups = [(1,)] * rename + [(1, 2)]
-    hits = regex_hits(files, [Rule(n, "(?U)" + p, g) for n, (p, g) in enumerate(zip(rules.MIGRATIONS, groups))])
+    hits = _family(files, hits, migration_rules())
     named = hits.withColumn(
         "n",
         F.explode(
             F.filter(
                 F.array(
                     F.struct(F.lit(0).alias("k"), F.col("g1").alias("t")),
-                    F.struct(F.lit(1).alias("k"), F.col("g2").alias("t")),
+                    F.when(
+                        F.col("rule") == len(rules.MIGRATIONS) - 1, F.struct(F.lit(1).alias("k"), F.col("g2").alias("t"))
+                    ),
                 ),
-                lambda x: x["t"].isNotNull(),
+                lambda x: x.isNotNull(),
             )
         ),
     )
@@ -99,13 +136,9 @@ def migration_hits(files: DataFrame) -> DataFrame:
     )
 
 
-def model_rows(files: DataFrame) -> DataFrame:
+def model_rows(files: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """E8 with owners: kind 0 nearest class before, 1 outermost class before, 2 none."""
-    found = regex_hits(
-        files,
-        [Rule(0, "(?mdU)" + rules.CLASS_PATTERN, (1, 2))]
-        + [Rule(n, "(?U)" + p, (2,)) for n, p in enumerate(rules.MODEL_PATTERNS, start=1)],
-    )
+    found = _family(files, hits, model_rules())
     before = Window.partitionBy(*FILE_KEY).orderBy("start").rangeBetween(Window.unboundedPreceding, -1)
     is_class = F.col("rule") == 0
     nearest = F.max(F.when(is_class, F.struct(F.col("start"), F.col("g2").alias("name")))).over(before)
@@ -147,14 +180,10 @@ def orm_class_map(models: DataFrame) -> DataFrame:
     )
 
 
-def orm_call_shapes(files: DataFrame) -> DataFrame:
+def orm_call_shapes(files: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """Every query shape once, with the class it names and the mode it implies."""
+    found = _family(files, hits, call_rules())
     n = len(rules.MODEL_QUERIES)
-    found = regex_hits(
-        files,
-        [Rule(i, "(?U)" + p, (1,)) for i, (p, _) in enumerate(rules.MODEL_QUERIES)]
-        + [Rule(n, "(?U)" + rules.MODEL_OBJECTS, (1, 2))],
-    )
     write = [i for i, (_, m) in enumerate(rules.MODEL_QUERIES) if m == "write"]
     mode = (
         F.when(F.col("rule") < n, F.when(F.col("rule").isin(write), "write").otherwise("read"))
@@ -164,22 +193,26 @@ def orm_call_shapes(files: DataFrame) -> DataFrame:
     return found.withColumn("access_mode", mode).filter(F.col("access_mode").isNotNull()).withColumnRenamed("g1", "class_name")
 
 
-def orm_query_hits(files: DataFrame, class_map: DataFrame) -> DataFrame:
+def orm_query_hits(files: DataFrame, class_map: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """Call shapes joined to the classes the project declares."""
-    calls = orm_call_shapes(files).join(class_map, ["project_id", "class_name"])
+    calls = orm_call_shapes(files, hits).join(class_map, ["project_id", "class_name"])
     return _table_rows(
         calls, F.col("table_name"), F.col("access_mode"), 2, F.col("rule"), F.col("start"), F.col("owner_key")
     )
 
 
-def table_hits(files: DataFrame) -> DataFrame:
+def all_rules() -> list[Rule]:
+    return [*sql_rules("sql"), *migration_rules(), *model_rules(), *call_rules()]
+
+
+def table_hits(files: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """E11, general branch: every table hit of the files that are not documentation."""
     code = files.filter(~is_doc(F.col("path")))
-    models = model_rows(code)
+    models = model_rows(code, hits)
     parts = [
         _table_rows(models, F.col("table_name"), F.lit("write"), 0, F.col("kind_no"), F.col("start")),
-        sql_hits(code),
-        migration_hits(code),
-        orm_query_hits(code, orm_class_map(models)),
+        sql_hits(code, hits),
+        migration_hits(code, hits),
+        orm_query_hits(code, orm_class_map(models), hits),
     ]
     return reduce(DataFrame.unionByName, parts)

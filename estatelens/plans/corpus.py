@@ -13,6 +13,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from estatelens.session import spread
+
 _ID = "concat(l_orderkey, '_', l_linenumber, '_', l_partkey)"
 
 # Placeholder to SQL over lineitem or supplier columns.
@@ -256,7 +258,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All landed files, stale commits, vendored and unwanted paths included."""
     supplier = table(spark, sf_dir, "supplier")
-    out = table(spark, sf_dir, "lineitem").selectExpr(*_select(_line_columns()))
+    out = spread(table(spark, sf_dir, "lineitem")).selectExpr(*_select(_line_columns()))
     for condition, path, content in ROOT_FILES:
         out = out.unionByName(
             supplier.filter(condition).selectExpr(*_select(_root_columns(path, sql_text(content))))

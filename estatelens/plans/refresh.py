@@ -23,19 +23,25 @@ from estatelens.operators.manifests import manifest_candidate, manifest_cli, man
 from estatelens.operators.profiles import build_profiles, degraded_sections
 from estatelens.operators.purpose import description_candidate, docstring_candidate, pick_purpose, readme_candidate
 from estatelens.operators.python_sites import python_call_sites, python_io
-from estatelens.operators.services import service_hits
-from estatelens.operators.tables import table_hits
-from estatelens.sources.admission import admit, cap_files, drop_vendored_go, project_shape
+from estatelens.operators.services import client_rules, service_hits
+from estatelens.operators.tables import all_rules, scan, table_hits
+from estatelens.session import small_side, stored
+from estatelens.sources.admission import admit, cap_files, drop_vendored_go, family, project_shape
 from estatelens.sources.landing import pin_files, with_branch
 
 
 @dataclass
 class Split:
-    """Admitted files by project shape."""
+    """Admitted files by project shape; ``laid_out`` files carry a ``family`` partition."""
 
     everything: DataFrame
     go: DataFrame
     other: DataFrame
+    laid_out: bool = False
+
+    def of(self, files: DataFrame, *families: str) -> DataFrame:
+        """The files of some families: partition pruning where they are laid out."""
+        return files.filter(F.col("family").isin(*families)) if self.laid_out else files
 
 
 def admitted_files(files: DataFrame, projects: DataFrame, cap: bool = True) -> DataFrame:
@@ -46,95 +52,118 @@ def admitted_files(files: DataFrame, projects: DataFrame, cap: bool = True) -> D
 
 def by_shape(files: DataFrame) -> Split:
     """Go projects and others apart. The shape is one row per project."""
-    shaped = files.join(project_shape(files.select("project_id", "path")), "project_id")
+    shape = small_side(project_shape(files.select("project_id", "path")))
+    shaped = files.join(shape, "project_id")
     go = shaped.filter("has_go").drop("has_go")
     other = drop_vendored_go(shaped.filter("NOT has_go").drop("has_go"))
     return Split(files, go, other)
 
 
-def all_table_hits(split: Split) -> DataFrame:
-    """E19 for tables, with a common discovery key."""
-    general = table_hits(split.other).withColumn("seq", F.struct(F.lit(0).alias("r"), F.to_json("seq").alias("s")))
-    return general.unionByName(
-        go_table_hits(split.go).withColumn("seq", F.struct(F.lit(1).alias("r"), F.to_json("seq").alias("s")))
-    )
-
-
-def tables_of(hits: DataFrame) -> DataFrame:
-    """A3 with nested locations; rows by name."""
-    spots = co.nest_locations(co.locations(hits, "table_name"), "table_name", by_path=False)
-    return co.coalesce_tables(hits).join(spots, ["project_id", "table_name"])
+def lay_out(files: DataFrame) -> Split:
+    """:func:`by_shape` on files written once, partitioned by shape and family.
 
+    Each extraction then reads its own partitions and not the whole landing.
+    """
+    shape = small_side(project_shape(files.select("project_id", "path")))
+    shaped = files.join(shape, "project_id").withColumn("family", family(F.col("path")))
+    kept = stored(shaped, ["has_go", "family"])
+    go = kept.filter("has_go").drop("has_go")
+    other = drop_vendored_go(kept.filter("NOT has_go").drop("has_go"))
+    return Split(kept.drop("has_go"), go, other, True)
 
-def services_of(hits: DataFrame) -> DataFrame:
-    """A1 with nested locations; rows by name."""
-    spots = co.nest_locations(co.locations(hits, "name"), "name", by_path=True)
-    return co.coalesce_services(hits).join(spots, ["project_id", "name"])
 
+def text_hits(files: DataFrame) -> DataFrame:
+    """All positional rules of the general branch in one pass over the texts, stored."""
+    return stored(scan(files, [*client_rules(), *all_rules()]))
 
-def go_services_of(hits: DataFrame) -> DataFrame:
-    """A2 with nested locations; rows in discovery order."""
-    spots = co.nest_locations(co.locations(hits, "name"), "name", by_path=False)
-    return co.coalesce_services_first(hits).join(spots, ["project_id", "name"])
 
-
-def profile_services(split: Split) -> DataFrame:
+def profile_services(split: Split, hits: DataFrame | None = None) -> DataFrame:
     """E19 for services: (project, name, kind, locations, order_key)."""
     none = F.struct(F.lit(0).alias("step"), F.lit("").alias("path"), F.lit(0).alias("sub"), F.lit(0).alias("pos"))
-    general = services_of(service_hits(split.other)).withColumn(
+    general = co.services_with_locations(service_hits(split.other, hits)).drop("first_seq").withColumn(
         "order_key", F.struct(none.alias("first"), F.col("name").alias("name"))
     )
-    go = go_services_of(go_service_hits(split.go)).select(
-        "project_id", "name", "kind", "source_locations",
+    go = co.services_with_locations(go_service_hits(split.of(split.go, "go")), first_kind=True).select(
+        "project_id",
+        "name",
+        "kind",
+        "source_locations",
         F.struct(F.col("first_seq").alias("first"), F.col("name").alias("name")).alias("order_key"),
     )
     return general.unionByName(go)
 
 
-def profile_tables(split: Split) -> DataFrame:
+def profile_tables(split: Split, hits: DataFrame | None = None) -> DataFrame:
     """E19 for tables: (project, table, mode, locations, order_key)."""
-    general = tables_of(table_hits(split.other))
-    go = tables_of(go_table_hits(split.go))
+    general = co.tables_with_locations(table_hits(split.other, hits))
+    go = co.tables_with_locations(go_table_hits(split.of(split.go, "go")))
     return general.unionByName(go).withColumn("order_key", F.col("table_name"))
 
 
-def io_hits(split: Split, py_sites: DataFrame | None = None, facts: DataFrame | None = None) -> DataFrame:
+@dataclass
+class Parsed:
+    """Rows that more than one section reads."""
+
+    python: DataFrame
+    facts: DataFrame
+
+
+def parse(split: Split, keep: bool = False) -> Parsed:
+    """Python sites and manifest facts; kept in storage when several sections read them."""
+    general = drop_vendored_go(split.everything)
+    python = python_call_sites(split.of(general, "python"))
+    facts = manifest_facts(split.of(general, "manifest"))
+    return Parsed(stored(python), stored(facts)) if keep else Parsed(python, facts)
+
+
+def io_hits(split: Split, parsed: Parsed | None = None, go_sites: DataFrame | None = None) -> DataFrame:
     """General rules over all files but vendored Go ones, Go rules over Go projects."""
     general = drop_vendored_go(split.everything)
-    py_sites = python_call_sites(general) if py_sites is None else py_sites
-    facts = manifest_facts(general) if facts is None else facts
-    parts = [js_io(general), java_io(general), yaml_cron(general), python_io(py_sites), manifest_cli(facts)]
-    parts.append(go_io(split.go, go_call_sites(split.go)))
+    parsed = parsed or parse(split)
+    go_files = split.of(split.go, "go", "manifest")
+    sites = go_call_sites(go_files) if go_sites is None else go_sites
+    parts = [
+        js_io(split.of(general, "script")),
+        java_io(split.of(general, "java")),
+        yaml_cron(split.of(general, "yaml")),
+        python_io(parsed.python),
+        manifest_cli(parsed.facts),
+        go_io(go_files, sites),
+    ]
     return reduce(DataFrame.unionByName, parts)
 
 
-def purpose_candidates(
-    projects: DataFrame, split: Split, py_sites: DataFrame | None = None, facts: DataFrame | None = None
-) -> DataFrame:
+def purpose_candidates(projects: DataFrame, split: Split, parsed: Parsed | None = None) -> DataFrame:
     """P1 to P6."""
     general = drop_vendored_go(split.everything)
-    py_sites = python_call_sites(general) if py_sites is None else py_sites
-    facts = manifest_facts(general) if facts is None else facts
+    parsed = parsed or parse(split)
     parts = [
-        readme_candidate(general),
+        readme_candidate(split.of(general, "readme")),
         description_candidate(projects),
-        manifest_candidate(facts),
-        docstring_candidate(general, py_sites),
-        gomod_candidates(split.go),
-        package_doc_candidate(split.go),
+        manifest_candidate(parsed.facts),
+        docstring_candidate(split.of(general, "script"), parsed.python),
+        gomod_candidates(split.of(split.go, "manifest")),
+        package_doc_candidate(split.of(split.go, "go")),
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
 def analyze(projects: DataFrame, files: DataFrame) -> DataFrame:
-    """Profiles of all projects whose branch exists."""
+    """Profiles of all projects whose branch exists.
+
+    Files are laid out once; the positional rules, the Python trees, the Go
+    sites and the manifests are each read once and shared by the sections.
+    """
     ready = with_branch(projects)
-    split = by_shape(admitted_files(files, ready))
+    split = lay_out(admitted_files(files, ready))
+    hits = text_hits(split.other)
+    parsed = parse(split, keep=True)
+    sites = stored(go_call_sites(split.of(split.go, "go")))
     return build_profiles(
         ready,
-        pick_purpose(ready, purpose_candidates(ready, split)),
-        co.dedup_io(io_hits(split)),
-        profile_services(split),
-        profile_tables(split),
-        degraded_sections(go_skips(split.go)),
+        pick_purpose(ready, purpose_candidates(ready, split, parsed)),
+        co.dedup_io(io_hits(split, parsed, sites)),
+        profile_services(split, hits),
+        profile_tables(split, hits),
+        degraded_sections(go_skips(split.of(split.go, "go"))),
     )

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+MAX_BROADCAST_ROWS = 1_000_000
 
 
 def local_session(cores: int = 8, app: str = "estatelens", memory: str = "12g") -> SparkSession:
@@ -28,13 +31,43 @@ def local_session(cores: int = 8, app: str = "estatelens", memory: str = "12g")
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the folder the cluster names.
+def scratch_folder(spark: SparkSession) -> str:
+    """A fresh folder below the shared one the cluster names in ``spark.checkpoint.dir``.
+
+    Only where the session names none, as in tests, a temporary one is used.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="estatelens-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/estatelens-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+    """``df`` written once to the scratch folder and read back.
+
+    For results that several branches of a plan read: they are computed once,
+    survive the loss of executors, and give later joins real sizes.
+    """
+    path = scratch_folder(df.sparkSession)
+    df.write.partitionBy(*(partition_by or [])).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """The small side of a join with file texts: broadcast only when its counted rows allow it.
+
+    Rows hold an id, a hash or a path and flags, so a row bound is a size
+    bound. Above it the join shuffles, and adaptive execution splits skew.
+    """
+    kept = stored(df)
+    return F.broadcast(kept) if kept.count() <= max_rows else kept
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over the cluster when the source has fewer partitions than there are cores.
 
-    A folder of our own is set only where the session names none, as in tests.
+    Costs a shuffle only for inputs that small; a large table passes unchanged.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or os.path.join(tempfile.mkdtemp(), "checkpoints"))
-    return df.checkpoint()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from estatelens import rules
+from estatelens.functions.patterns import file_ext
+from estatelens.session import small_side
 
 
 def _segments(path: Column) -> Column:
@@ -41,14 +43,14 @@ def admit_go(path: Column) -> Column:
     return (path != "") & wanted & ~_in_folder(path, ["vendor", "third_party"])
 
 
-def admit(files: DataFrame) -> DataFrame:
-    """The Go rule for projects with a root ``go.mod``, else the generic one.
+def with_go_mod(files: DataFrame) -> DataFrame:
+    """Ids of projects with a root ``go.mod``; reads paths only."""
+    return files.filter(F.col("path") == "go.mod").select("project_id").distinct()
 
-    The flag is the set of go.mod rows, one per project at most, so the file
-    table itself is never grouped: only the few manifest rows are shuffled or
-    broadcast, as their size decides.
-    """
-    modules = files.filter(F.col("path") == "go.mod").select("project_id").distinct().withColumn("_mod", F.lit(True))
+
+def admit(files: DataFrame) -> DataFrame:
+    """The Go rule for projects with a root ``go.mod``, else the generic one."""
+    modules = small_side(with_go_mod(files).withColumn("_mod", F.lit(True)))
     rule = F.when(F.col("_mod"), admit_go(F.col("path"))).otherwise(admit_generic(F.col("path")))
     return files.join(modules, "project_id", "left").filter(rule).drop("_mod")
 
@@ -56,21 +58,29 @@ def admit(files: DataFrame) -> DataFrame:
 def cap_files(files: DataFrame, n: int = rules.MAX_FILES_PER_PROJECT, spread: int = 64) -> DataFrame:
     """The first ``n`` admitted paths of each project, by path.
 
-    This is the admission limit of the feature. A first pass per (project,
+    This is the admission limit of the feature. Only projects over it need
+    work: their ``n``-th path becomes a bound that the file table is filtered
+    by, so file texts are never sorted or shuffled. A first pass per (project,
     slice of paths) keeps a huge project off a single task.
     """
-    sliced = files.withColumn("_slice", F.pmod(F.xxhash64("path"), F.lit(spread)))
+    paths = files.select("project_id", "path")
+    over = paths.groupBy("project_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > n).select("project_id")
     local = Window.partitionBy("project_id", "_slice").orderBy("path")
     whole = Window.partitionBy("project_id").orderBy("path")
-    keys = (
-        sliced.select("project_id", "path", "_slice")
+    bounds = (
+        paths.join(over, "project_id", "left_semi")
+        .withColumn("_slice", F.pmod(F.xxhash64("path"), F.lit(spread)))
         .withColumn("_n", F.row_number().over(local))
         .filter(F.col("_n") <= n)
         .withColumn("_n", F.row_number().over(whole))
-        .filter(F.col("_n") <= n)
-        .select("project_id", "path")
+        .filter(F.col("_n") == n)
+        .select("project_id", F.col("path").alias("_last"))
+    )
+    return (
+        files.join(small_side(bounds), "project_id", "left")
+        .filter(F.col("_last").isNull() | (F.col("path") <= F.col("_last")))
+        .drop("_last")
     )
-    return files.join(keys, ["project_id", "path"], "left_semi")
 
 
 def is_go_source(path: Column) -> Column:
@@ -106,3 +116,18 @@ def is_doc(path: Column) -> Column:
     """Documentation suffix in any case."""
     lower = F.lower(path)
     return reduce(lambda a, b: a | b, [lower.endswith(e) for e in rules.DOC_EXTENSIONS])
+
+
+def family(path: Column) -> Column:
+    """The kind of reader a path has, to lay files out for the extractions."""
+    ext = file_ext(path)
+    return (
+        F.when(path.isin("package.json", "pyproject.toml", "pom.xml", "go.mod"), "manifest")
+        .when(F.upper(path).startswith("README"), "readme")
+        .when(ext == ".py", "python")
+        .when(ext.isin(rules.JS_EXTENSIONS), "script")
+        .when(ext == ".java", "java")
+        .when(ext.isin(".yml", ".yaml"), "yaml")
+        .when(path.endswith(".go"), "go")
+        .otherwise("other")
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from estatelens import rules
 from estatelens.schemas import FILES, PROJECTS
+from estatelens.session import small_side
 
 
 def clean_projects(projects: DataFrame) -> DataFrame:
@@ -40,10 +41,11 @@ def with_branch(projects: DataFrame) -> DataFrame:
 def pin_files(files: DataFrame, projects: DataFrame) -> DataFrame:
     """S3: only files at the analysed commit of their project.
 
-    No broadcast is forced: Spark decides by the size of the project side, and
+    The project side is broadcast when its counted size allows it; otherwise
     adaptive execution splits a project that holds a large share of the files.
     """
-    return files.join(with_branch(projects).select("project_id", "commit_sha"), ["project_id", "commit_sha"], "left_semi")
+    pins = small_side(with_branch(projects).select("project_id", "commit_sha"))
+    return files.join(pins, ["project_id", "commit_sha"], "left_semi")
 
 
 def text_only(binary_files: DataFrame, limit: int = rules.MAX_FILE_BYTES) -> DataFrame:
