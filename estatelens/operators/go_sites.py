@@ -45,7 +45,7 @@ def _nested(depth: int) -> str:
 
 
 _INSIDE = _nested(DEPTH)
-_FUNC = rf"\bfunc\b\s*+(?:\([^()]*+\)\s*+)?+({_NAME})(?=\s*+[(\[])"
+_FUNC = rf"\bfunc\b\s*+(?:\(([^()]*+)\)\s*+)?+({_NAME})(?=\s*+[(\[])"
 _STRUCT = rf"[&*]?(?<![\w]){_RESERVED}{_CHAIN}\s*+\{{\s*+(?!default\b|case\b){_NAME}\s*+:(?!=){_INSIDE}\}}"
 _CALL = rf"(?<!\w)({_RESERVED}{_CHAIN})\s*+\(({_INSIDE})\)"
 SITE_PATTERN = rf"(?s){_ATOM}|{_FUNC}|{_STRUCT}|{_CALL}"
@@ -119,24 +119,24 @@ def _imports(content: Column) -> Column:
 def go_call_sites(files: DataFrame) -> DataFrame:
     """Calls and function declarations of every file that is not skipped.
 
-    Columns: key, start, line, kind (call or func), receiver (dotted, empty for
-    an unqualified call), method, args (array of argument texts), and whether
+    Columns: key, start, line, kind (call or func), receiver (dotted for a call,
+    the receiver clause for a method, else empty), method, args (array of argument texts), and whether
     the file imports the web and wiring libraries.
     """
     src = parsed_sources(files)
-    found = regex_hits(src, [Rule(0, SITE_PATTERN, (1, 2, 3))])
-    chain = F.regexp_replace("g2", r"\s+", "")
+    found = regex_hits(src, [Rule(0, SITE_PATTERN, (1, 2, 3, 4))])
+    chain = F.regexp_replace("g3", r"\s+", "")
     args = F.filter(
-        F.regexp_extract_all("g3", F.lit(ARG_PATTERN), F.lit(0)), lambda a: ~(a.startswith("//") | a.startswith("/*"))
+        F.regexp_extract_all("g4", F.lit(ARG_PATTERN), F.lit(0)), lambda a: ~(a.startswith("//") | a.startswith("/*"))
     )
-    is_func = F.coalesce(F.col("g1"), F.lit("")) != ""
-    sites = found.filter(is_func | (F.coalesce(F.col("g2"), F.lit("")) != "")).select(
+    is_func = F.coalesce(F.col("g2"), F.lit("")) != ""
+    sites = found.filter(is_func | (F.coalesce(F.col("g3"), F.lit("")) != "")).select(
         *FILE_KEY,
         "start",
         "line",
         F.when(is_func, "func").otherwise("call").alias("kind"),
-        F.when(is_func, "").otherwise(F.regexp_extract(chain, r"\A(.*)\.[^.]*\z", 1)).alias("receiver"),
-        F.when(is_func, F.col("g1")).otherwise(F.substring_index(chain, ".", -1)).alias("method"),
+        F.when(is_func, F.coalesce("g1", F.lit(""))).otherwise(F.regexp_extract(chain, r"\A(.*)\.[^.]*\z", 1)).alias("receiver"),
+        F.when(is_func, F.col("g2")).otherwise(F.substring_index(chain, ".", -1)).alias("method"),
         F.when(~is_func, F.transform(args, lambda a: F.regexp_replace(a, r"(?s)\s+\z", ""))).alias("args"),
     )
     flags = src.select(*FILE_KEY, _imports(F.col("content")).alias("im")).select(
@@ -315,6 +315,7 @@ def go_cli_io(sites: DataFrame, files: DataFrame) -> DataFrame:
         sites.filter(
             (F.col("kind") == "func")
             & (F.col("method") == "main")
+            & (F.col("receiver") == "")
             & ((named != "") | F.col("path").isin("cmd/main.go", "main.go"))
         )
         .groupBy(*FILE_KEY)
