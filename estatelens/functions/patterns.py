@@ -27,37 +27,29 @@ class Rule:
     view: str = "text"
 
 
-def _newlines(c: Column) -> Column:
-    return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+def sql_literal(text: str) -> str:
+    """A Spark SQL string literal of any text."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _matches(content: Column, rule: Rule, width: int) -> Column:
-    """Array of match structs of one rule; null when the pattern does not occur."""
-    pattern = F.lit(rule.pattern)
-    arrays = [
-        F.regexp_extract_all(content, pattern, F.lit(0)).alias("m"),
-        F.split(content, rule.pattern, -1).alias("gap"),
-    ]
-    for n, g in enumerate(rule.groups):
-        arrays.append(F.regexp_extract_all(content, pattern, F.lit(g)).alias(f"g{n + 1}"))
-    zipped = F.arrays_zip(*arrays)
-
-    def pack(x: Column, i: Column) -> Column:
-        return F.struct(
-            F.lit(rule.number).alias("rule"),
-            i.alias("i"),
-            *[
-                (x[f"g{n + 1}"] if n < len(rule.groups) else F.lit(None).cast("string")).alias(f"g{n + 1}")
-                for n in range(width)
-            ],
-            F.length(x["m"]).alias("m_len"),
-            _newlines(x["m"]).alias("m_nl"),
-            F.length(x["gap"]).alias("gap_len"),
-            _newlines(x["gap"]).alias("gap_nl"),
-        )
+def _newlines(c: str) -> str:
+    return f"length({c}) - length(replace({c}, chr(10), ''))"
+
 
-    found = F.transform(F.filter(zipped, lambda x: x["m"].isNotNull()), pack)
-    return F.when(content.rlike(rule.pattern), found)
+def _matches(rule: Rule, width: int) -> Column:
+    """Array of match structs of one rule; null when the pattern does not occur."""
+    text, pattern = f"_{rule.view}", sql_literal(rule.pattern)
+    groups = "".join(f", regexp_extract_all({text}, {pattern}, {g})" for g in rule.groups)
+    # Fields of the zipped arrays: 0 the match, 1 the text before it, 2.. the groups.
+    kept = "".join(
+        f", 'g{n + 1}', {f'x.`{n + 2}`' if n < len(rule.groups) else 'CAST(NULL AS STRING)'}" for n in range(width)
+    )
+    return F.expr(
+        f"CASE WHEN {text} RLIKE {pattern} THEN transform(filter("
+        f"arrays_zip(regexp_extract_all({text}, {pattern}, 0), split({text}, {pattern}, -1){groups}), x -> x.`0` IS NOT NULL),"
+        f" (x, i) -> named_struct('rule', {rule.number}, 'i', i{kept}, 'm_len', length(x.`0`), 'm_nl', {_newlines('x.`0`')},"
+        f" 'gap_len', length(x.`1`), 'gap_nl', {_newlines('x.`1`')})) END"
+    )
 
 
 def regex_hits(
@@ -76,7 +68,7 @@ def regex_hits(
     key = key or FILE_KEY
     views = {"text": F.col(content)} | (views or {})
     width = max(1, *(len(r.groups) for r in rules))
-    per_rule = [_matches(F.col(f"_{r.view}"), r, width) for r in rules]
+    per_rule = [_matches(r, width) for r in rules]
     hits = F.flatten(F.filter(F.array(*per_rule), lambda a: a.isNotNull()))
     rows = (
         files.select(*key, *[v.alias(f"_{name}") for name, v in views.items()])

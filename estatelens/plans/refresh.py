@@ -159,11 +159,12 @@ def analyze(projects: DataFrame, files: DataFrame) -> DataFrame:
     hits = text_hits(split.other)
     parsed = parse(split, keep=True)
     sites = stored(go_call_sites(split.of(split.go, "go")))
+    # Each section is a job of its own: small plans, and a lost stage repeats one section only.
     return build_profiles(
         ready,
-        pick_purpose(ready, purpose_candidates(ready, split, parsed)),
-        co.dedup_io(io_hits(split, parsed, sites)),
-        profile_services(split, hits),
-        profile_tables(split, hits),
+        stored(pick_purpose(ready, purpose_candidates(ready, split, parsed))),
+        stored(co.dedup_io(io_hits(split, parsed, sites))),
+        stored(profile_services(split, hits)),
+        stored(profile_tables(split, hits)),
         degraded_sections(go_skips(split.of(split.go, "go"))),
     )

@@ -23,6 +23,8 @@ def local_session(cores: int = 8, app: str = "estatelens", memory: str = "12g")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Call sites of columns are not recorded: building large plans takes half the time.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         # Source files may be 1 MiB each, so batches to Python stay small.
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
         .getOrCreate()
