@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,12 +35,10 @@ def local_session(cores: int = 8, app: str = "estatelens", memory: str = "12g")
 def scratch_folder(spark: SparkSession) -> str:
     """A fresh folder below the shared one the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the session names none, as in tests, a temporary one is used.
+    Where the session names none, as in tests, it lies in the warehouse, which
+    executors and driver share too; never in a machine's temporary folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="estatelens-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
     return f"{base.rstrip('/')}/estatelens-{uuid.uuid4().hex}"
 
 
