@@ -33,7 +33,7 @@ SEGMENT = 16
 BUCKETS = 1 << 17
 SHORTEST, LONGEST = 3, 5
 WIDTH = 4
-STEPS, RATE, CHANCE = 25, 0.02, 4.0
+STEPS, RATE, CHANCE = 25, 0.003, 6.0
 
 
 
@@ -42,6 +42,8 @@ class Subwords:
 
     def __init__(self) -> None:
         self.hasher = WordHasher()
+        # Here punctuation ends a word too.
+        self.hasher.space = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
         self.up = self.down = np.empty(0, dtype=np.uint64)
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,13 +114,22 @@ class _Bag:
 
 
 def worst_segments(table: np.ndarray, parts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    """The toxic logit of each text's worst segment, without bias; 0 for a text without words."""
+    """The toxic logit of each text's worst segment, without bias; 0 for a text without words.
+
+    Repeated words of a segment count once, and a segment of fewer words as
+    filled up with words of logit 0, so that one odd word does not stand out.
+    """
     bucket, word, first = parts
     worst = np.full(len(first) - 1, -np.inf)
     if len(word):
         mean = np.bincount(word, weights=table[bucket], minlength=first[-1]) / np.bincount(word, minlength=first[-1])
         starts, owner = segments_of(first)
-        np.maximum.at(worst, owner, np.add.reduceat(mean, starts[:-1]) / np.diff(starts))
+        segment = np.repeat(np.arange(len(owner)), np.diff(starts))
+        # Words of one segment with the same logit are one word said again.
+        order = np.lexsort((mean, segment))
+        again = np.concatenate([[False], (mean[order][1:] == mean[order][:-1]) & (segment[order][1:] == segment[order][:-1])])
+        mean[order[again]] = 0
+        np.maximum.at(worst, owner, np.add.reduceat(mean, starts[:-1]) / SEGMENT)
     return np.where(np.isfinite(worst), worst, 0.0)
 
 
