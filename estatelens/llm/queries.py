@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from estatelens.llm import fingerprints, language, mixing, toxicity
+from estatelens.llm import chat, fingerprints, language, mixing, toxicity
 
-_MODULES = (fingerprints, language, mixing, toxicity)
+_MODULES = (chat, fingerprints, language, mixing, toxicity)
 
 QUERIES = {name: run for m in _MODULES for name, run in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
