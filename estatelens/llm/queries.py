@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from estatelens.llm import chat, fingerprints, jaccard, language, mixing, packing, toxicity
+from estatelens.llm import chat, fingerprints, jaccard, language, mixing, packing, repeats, toxicity
 
-_MODULES = (chat, fingerprints, jaccard, language, mixing, packing, toxicity)
+_MODULES = (chat, fingerprints, jaccard, language, mixing, packing, repeats, toxicity)
 
 QUERIES = {name: run for m in _MODULES for name, run in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
