@@ -61,7 +61,8 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share
 
 
 def mix(docs: DataFrame, favour: str | None = None, seed: str = "") -> DataFrame:
-    """``docs`` without text, with size, source_size, target, copies and taken (copies times size).
+    """``docs`` without text, with size, source_size, target, copies and taken (copies times size),
+    and ``_tie``, the hash of the text, to find a row again.
 
     The cut in Pareto order is found without sorting a source in one task:
     words are summed by source and fine bins of the rank, running sums over
@@ -95,7 +96,7 @@ def mix(docs: DataFrame, favour: str | None = None, seed: str = "") -> DataFrame
     near = near.withColumn("_in", F.col("_sum") + F.col("size") / 2 <= F.col("_rest")).drop("_sum")
     drawn = sure.unionByName(near)
     drawn = drawn.withColumn("copies", F.col("_whole") + F.col("_in").cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    return drawn.drop("_whole", "_rest", "_q", "_bin", "_cut", "_in", "_tie")
+    return drawn.drop("_whole", "_rest", "_q", "_bin", "_cut", "_in")
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

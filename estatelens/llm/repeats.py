@@ -213,11 +213,29 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     return spans.groupBy("_id", "_tie").agg(F.collect_set("s").alias("spans"))
 
 
-ADDED = ["kept", "n_bytes", "n_removed", "n_spans"]
+ADDED = ["kept", "n_bytes", "n_removed", "n_spans", "kept_text"]
+
+
+def _without(text: bytes, runs: list[list[int]]) -> bytes:
+    """The bytes outside the runs (in order and apart)."""
+    edges = [0, *(x for r in runs for x in r), len(text)]
+    return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
+def _whole_characters(text: bytes, lo: int, hi: int) -> list[int]:
+    """The part of a run that holds whole characters only."""
+    while lo < hi and text[lo] & 0xC0 == 0x80:
+        lo += 1
+    while lo < hi < len(text) and text[hi] & 0xC0 == 0x80:
+        hi -= 1
+    return [lo, hi]
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``docs`` with ``kept`` (the remaining bytes), n_bytes, n_removed and n_spans (maximal removed runs)."""
+    """``docs`` with ``kept`` (the remaining bytes), n_bytes, n_removed, n_spans (maximal removed runs) and ``kept_text``.
+
+    ``kept_text`` keeps a character unless all its bytes are removed.
+    """
     docs = docs.drop(*[c for c in ADDED if c in docs.columns])
     spans = stored(repeated_spans(docs, length, gram))
     met = docs.withColumns(dict(zip(("_id", "_tie"), _identity(docs), strict=True))).join(spans, ["_id", "_tie"], "left").drop("_id", "_tie")
@@ -227,19 +245,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         for rows, texts in pieces_of(batches):
             out = []
             for t, own in zip(texts, rows.column(len(names)).to_pylist(), strict=True):
-                kept, runs, at = [], 0, 0
+                runs: list[list[int]] = []
                 for lo, hi in sorted((s["lo"], s["hi"]) for s in own or ()):
-                    if lo > at or not runs:
-                        kept.append(t[at:lo])
-                        runs += 1
-                    at = max(at, hi)
-                kept.append(t[at:])
-                left = b"".join(kept)
-                out.append((left, len(t), len(t) - len(left), runs))
-            kinds = [pa.binary()] + [pa.int64()] * 3
+                    if runs and lo <= runs[-1][1]:
+                        runs[-1][1] = max(runs[-1][1], hi)
+                    else:
+                        runs.append([lo, hi])
+                left = _without(t, runs)
+                out.append((left, len(t), len(t) - len(left), len(runs), _without(t, [_whole_characters(t, *r) for r in runs]).decode("utf-8", "replace")))
+            kinds = [pa.binary(), *[pa.int64()] * 3, pa.string()]
             yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], [*names, *ADDED])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("kept", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ADDED[1:])])
+    schema = T.StructType([*docs.schema.fields, T.StructField("kept", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ADDED[1:4]), T.StructField("kept_text", T.StringType())])
     return met.select(*names, "spans").mapInArrow(run, schema)
 
 
