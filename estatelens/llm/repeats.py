@@ -237,9 +237,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     ``kept_text`` keeps a character unless all its bytes are removed.
     """
     docs = docs.drop(*[c for c in ADDED if c in docs.columns])
-    spans = stored(repeated_spans(docs, length, gram))
-    met = docs.withColumns(dict(zip(("_id", "_tie"), _identity(docs), strict=True))).join(spans, ["_id", "_tie"], "left").drop("_id", "_tie")
     names = docs.columns
+    # Own columns get names that the table does not have.
+    by_id, by_tie, own_spans = (next(n for n in (f"_{c}{i}" for i in range(len(names) + 1)) if n not in names) for c in ("id", "tie", "spans"))
+    spans = stored(repeated_spans(docs, length, gram)).toDF(by_id, by_tie, own_spans)
+    met = docs.withColumns(dict(zip((by_id, by_tie), _identity(docs), strict=True))).join(spans, [by_id, by_tie], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in pieces_of(batches):
@@ -257,7 +259,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], [*names, *ADDED])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("kept", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ADDED[1:4]), T.StructField("kept_text", T.StringType())])
-    return met.select(*names, "spans").mapInArrow(run, schema)
+    return met.select(*names, own_spans).mapInArrow(run, schema)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
