@@ -21,8 +21,9 @@ from estatelens.operators import lookups as lk
 from estatelens.operators import snapshots as sn
 from estatelens.operators.profiles import check_flat, check_summaries
 from estatelens.operators.purpose import description_candidate, pick_purpose
-from estatelens.plans.corpus import corpus_projects, table
-from estatelens.sources.landing import missing_branch, with_branch
+from estatelens.plans.corpus import corpus_projects, corpus_sql, table
+from estatelens.session import scratch_folder
+from estatelens.sources.landing import missing_branch, read_projects, text_only, with_branch
 
 # --- table hits from order lines ----------------------------------------------
 
@@ -340,6 +341,20 @@ UNION ALL SELECT project_id, 'repeated_service', name FROM (SELECT {_SERVICE} FR
 """
 
 
+def landed_projects(spark, sf):
+    """Projects landed as a table and read back."""
+    path = scratch_folder(spark)
+    corpus_projects(spark, sf).write.parquet(path)
+    return read_projects(spark, path).select("project_id", "full_path", "branch", "description")
+
+
+def text_bodies(spark, sf):
+    """Documents as binary bodies, one in seven of them no UTF-8."""
+    body = F.expr("CASE WHEN doc_id % 7 = 0 THEN concat(unhex('FF'), cast(text AS binary)) ELSE cast(text AS binary) END")
+    bodies = table(spark, sf, "documents").select(F.col("doc_id").alias("project_id"), body.alias("content"))
+    return text_only(bodies).select("project_id", F.length("content").cast("long").alias("n_chars"), F.md5(F.col("content").cast("binary")).alias("body"))
+
+
 def capped(spark, sf):
     """The first files of each project by path, with the limit of the feature at 40."""
     from estatelens.sources.admission import cap_files
@@ -362,6 +377,9 @@ QUERIES = {
     "refresh_counts": counts,
     "refresh_totals": lambda spark, sf: co.refresh_totals(counts(spark, sf)),
     "shared_table_edges": edges,
+    "shared_table_edge_digest": lambda spark, sf: gr.shared_table_edge_digest(edges(spark, sf)),
+    "landed_projects": landed_projects,
+    "text_bodies": text_bodies,
     "hub_tables": lambda spark, sf: gr.hub_tables(line_tables(spark, sf)),
     "graph_nodes": lambda spark, sf: gr.graph_nodes(catalog(spark, sf), line_tables(spark, sf)),
     "graph_state": lambda spark, sf: gr.graph_state(catalog(spark, sf), line_tables(spark, sf)),
@@ -431,6 +449,12 @@ SELECT count(commit_sha) AS profiles_written, count(*) - count(commit_sha) AS sk
   CAST(sum(CASE WHEN commit_sha IS NULL THEN 0 ELSE coalesce(n, 0) END) AS BIGINT) AS files FROM projects LEFT JOIN n USING (project_id)
 """,
     "shared_table_edges": EDGES_SQL,
+    "shared_table_edge_digest": f"""
+SELECT project_id_a, project_id_b, count(*) AS n_edges,
+  CAST(sum(CAST('0x' || substr(md5(concat(table_name, '|', label)), 1, 8) AS BIGINT)) AS BIGINT) AS edges_hash FROM ({EDGES_SQL}) GROUP BY 1, 2
+""",
+    "landed_projects": f"WITH {corpus_sql()} SELECT project_id, full_path, branch, nullif(description, '') AS description FROM projects",
+    "text_bodies": "SELECT doc_id AS project_id, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS body FROM documents WHERE doc_id % 7 <> 0",
     "hub_tables": f"""
 WITH {TABLES_SQL} SELECT table_name, count(*) AS n_projects, CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) AS n_edges
 FROM tabs GROUP BY 1 HAVING count(*) > 1

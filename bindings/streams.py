@@ -57,8 +57,9 @@ def streamed_page_urls(spark, sf):
 def streamed_refresh(spark, sf):
     """R2: the landing consumed by micro-batches; the snapshot they publish."""
     store = SnapshotStore(spark, scratch_folder(spark))
+    landing = landing_stream(spark, _landing_path(spark, sf))
     query = stream_refresh(
-        landing_stream(spark, _landing_path(spark, sf)), lambda: corpus_projects(spark, sf), store, scratch_folder(spark)
+        landing, lambda: corpus_projects(spark, sf), lambda: landed(spark, sf), store, scratch_folder(spark)
     )
     query.awaitTermination()
     return store.current("profiles").select(

@@ -90,12 +90,12 @@ SUMMARY = (
 )
 SUMMARIES_SQL = (
     "summaries AS (SELECT doc_id AS project_id, concat('estate/doc', doc_id) AS full_path, "
-    f"{SUMMARY} AS purpose_summary FROM (SELECT doc_id, substr(text, 1, 900) AS short FROM documents))"
+    f"{SUMMARY} AS purpose_summary FROM (SELECT doc_id, text AS short FROM documents))"
 )
 
 
 def summaries(spark, sf):
-    short = table(spark, sf, "documents").selectExpr("doc_id", "substr(text, 1, 900) AS short")
+    short = table(spark, sf, "documents").selectExpr("doc_id", "text AS short")
     return short.selectExpr(
         "doc_id AS project_id", "concat('estate/doc', doc_id) AS full_path", f"{SUMMARY} AS purpose_summary"
     )

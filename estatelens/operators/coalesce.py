@@ -76,8 +76,7 @@ def _nested(by_path: bool) -> Column:
 def nest_locations(flat: DataFrame, name: str, by_path: bool) -> DataFrame:
     """Array of locations per thing.
 
-    For profile assembly only, where a project has at most
-    ``MAX_FILES_PER_PROJECT`` files of ``MAX_FILE_BYTES``.
+    For profile assembly only: one array per thing of a project.
     """
     return flat.groupBy("project_id", name).agg(_nested(by_path).alias("source_locations"))
 

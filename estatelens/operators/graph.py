@@ -36,6 +36,12 @@ def shared_table_edges(tables: DataFrame, catalog: DataFrame | None = None, bloc
     )
 
 
+def shared_table_edge_digest(edges: DataFrame) -> DataFrame:
+    """J1 per project pair: the number of its edges and a sum over hashes of all of them, whatever their order."""
+    code = F.conv(F.substring(F.md5(F.concat("table_name", F.lit("|"), "label")), 1, 8), 16, 10).cast("long")
+    return edges.groupBy("project_id_a", "project_id_b").agg(F.count(F.lit(1)).alias("n_edges"), F.sum(code).alias("edges_hash"))
+
+
 def hub_tables(tables: DataFrame) -> DataFrame:
     """J1 at a glance: projects and edges per shared table, without making the pairs."""
     n = F.count(F.lit(1))

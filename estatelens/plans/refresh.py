@@ -41,13 +41,17 @@ class Split:
 
     def of(self, files: DataFrame, *families: str) -> DataFrame:
         """The files of some families: partition pruning where they are laid out."""
-        return files.filter(F.col("family").isin(*families)) if self.laid_out else files
+        return files.filter(F.col("family").isin(*families, *(f"readme_{f}" for f in families))) if self.laid_out else files
 
+    def readmes(self, files: DataFrame) -> DataFrame:
+        """The files that may be root READMEs."""
+        return files.filter(F.col("family").startswith("readme_")) if self.laid_out else files
 
-def admitted_files(files: DataFrame, projects: DataFrame, cap: bool = True) -> DataFrame:
-    """Files at the analysed commit that are worth reading."""
+
+def admitted_files(files: DataFrame, projects: DataFrame, cap: int | None = None) -> DataFrame:
+    """S3, S6 and, where the caller sets a ``cap`` of files per project, S8: files at the analysed commit that are worth reading."""
     kept = admit(pin_files(files, projects))
-    return cap_files(kept) if cap else kept
+    return kept if cap is None else cap_files(kept, cap)
 
 
 def by_shape(files: DataFrame) -> Split:
@@ -138,7 +142,7 @@ def purpose_candidates(projects: DataFrame, split: Split, parsed: Parsed | None
     general = drop_vendored_go(split.everything)
     parsed = parsed or parse(split)
     parts = [
-        readme_candidate(split.of(general, "readme")),
+        readme_candidate(split.readmes(general)),
         description_candidate(projects),
         manifest_candidate(parsed.facts),
         docstring_candidate(split.of(general, "script"), parsed.python),

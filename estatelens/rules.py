@@ -202,7 +202,6 @@ BROKER_WORDS = [
 SQL_STATEMENT = (
     r"\b(INSERT\s+INTO|UPDATE\s+\w+\s+SET|DELETE\s+FROM|MERGE\s+INTO|REPLACE\s+INTO|UPSERT\s+INTO)\b"
 )
-SQL_STATEMENT_CHARS = 4096
 JS_EXTENSIONS = [".js", ".ts", ".jsx", ".tsx", ".mjs", ".cjs"]
 JS_ROUTE = (
     r"\b(?:app|router|server)\s*\.\s*(get|post|put|delete|patch|options|head)\s*\(\s*['\"`]([^'\"`]+)['\"`]"

@@ -55,10 +55,10 @@ def admit(files: DataFrame) -> DataFrame:
     return files.join(modules, "project_id", "left").filter(rule).drop("_mod")
 
 
-def cap_files(files: DataFrame, n: int = rules.MAX_FILES_PER_PROJECT, spread: int = 64) -> DataFrame:
+def cap_files(files: DataFrame, n: int, spread: int = 64) -> DataFrame:
     """The first ``n`` admitted paths of each project, by path.
 
-    This is the admission limit of the feature. Only projects over it need
+    The limit is the caller's; no plan sets one by itself. Only projects over it need
     work: their ``n``-th path becomes a bound that the file table is filtered
     by, so file texts are never sorted or shuffled. A first pass per (project,
     slice of paths) keeps a huge project off a single task.
@@ -121,9 +121,8 @@ def is_doc(path: Column) -> Column:
 def family(path: Column) -> Column:
     """The kind of reader a path has, to lay files out for the extractions."""
     ext = file_ext(path)
-    return (
+    reader = (
         F.when(path.isin("package.json", "pyproject.toml", "pom.xml", "go.mod"), "manifest")
-        .when(F.upper(path).startswith("README"), "readme")
         .when(ext == ".py", "python")
         .when(ext.isin(rules.JS_EXTENSIONS), "script")
         .when(ext == ".java", "java")
@@ -131,3 +130,6 @@ def family(path: Column) -> Column:
         .when(path.endswith(".go"), "go")
         .otherwise("other")
     )
+    # A root README is read for its prose and by the reader of its extension.
+    root_readme = ~path.rlike(r"[/\\\\]") & F.upper(path).startswith("README")
+    return F.when(root_readme, F.concat(F.lit("readme_"), reader)).otherwise(reader)

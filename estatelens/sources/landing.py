@@ -48,24 +48,25 @@ def pin_files(files: DataFrame, projects: DataFrame) -> DataFrame:
     return files.join(pins, ["project_id", "commit_sha"], "left_semi")
 
 
-def text_only(binary_files: DataFrame, limit: int = rules.MAX_FILE_BYTES) -> DataFrame:
-    """Bodies up to the size limit that are valid UTF-8, as text."""
+def text_only(binary_files: DataFrame, limit: int | None = None) -> DataFrame:
+    """Bodies that are valid UTF-8, as text; only those up to ``limit`` bytes where the caller sets one."""
+    small = binary_files if limit is None else binary_files.filter(F.length("content") <= limit)
     return (
-        binary_files.filter(F.length("content") <= limit)
-        .withColumn("content", F.try_validate_utf8(F.col("content").cast("string")))
+        small.withColumn("content", F.try_validate_utf8(F.col("content").cast("string")))
         .filter(F.col("content").isNotNull())
     )
 
 
-def read_tree(spark: SparkSession, path: str, project_id: int, commit_sha: str, glob: str = "*") -> DataFrame:
+def read_tree(spark: SparkSession, path: str, project_id: int, commit_sha: str, glob: str = "*", limit: int | None = None) -> DataFrame:
     """A checked-out tree through Spark's binary file source."""
     raw = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
         .load(path)
-        .filter(F.col("length") <= rules.MAX_FILE_BYTES)
     )
+    if limit is not None:
+        raw = raw.filter(F.col("length") <= limit)
     inside = F.regexp_replace(F.col("path"), rf"\A(?:file:)?/*\Q{path.strip('/')}\E/+", "")
     return text_only(
         raw.select(

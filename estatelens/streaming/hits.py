@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 
 def landing_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Landed Parquet files of source rows, as a stream."""
+    """Landed Parquet files of source rows, as a stream; the batch size changes no result."""
     return spark.readStream.schema(FILES).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from estatelens.operators.snapshots import SnapshotStore
 from estatelens.plans.refresh import analyze
+from estatelens.session import stored
 from estatelens.sources.landing import missing_branch
 
 MIN_INTERVAL_SECONDS = 60
@@ -28,14 +29,18 @@ def trigger(interval: str | None) -> dict:
     return {"processingTime": f"{seconds} seconds"}
 
 
-def publish(store: SnapshotStore, projects: DataFrame, files: DataFrame, batch_key: str | None = None) -> int:
+def publish(
+    store: SnapshotStore, projects: DataFrame, files: DataFrame, batch_key: str | None = None, full: bool = False
+) -> int:
     """One refresh: analyse ``projects``, carry the rest forward, commit. Any error fails the snapshot.
 
+    A ``full`` refresh replaces catalog and profiles: projects it does not name are gone.
+
     A batch that was committed before is not published again.
     """
     if batch_key is not None and (done := store.completed_batch(batch_key)) is not None:
         return done
-    parent = store.pointer()
+    parent = None if full else store.pointer()
     snapshot_id = store.begin_snapshot(
         "full" if parent is None else "single_project", parent, batch_key
     )
@@ -49,26 +54,30 @@ def publish(store: SnapshotStore, projects: DataFrame, files: DataFrame, batch_k
             store.write("skips", snapshot_id, skips)
         else:
             store.copy_forward(parent, snapshot_id, profiles, catalog, skips)
+        store.commit(snapshot_id)
     except Exception:
         store.abort(snapshot_id)
         raise
-    store.commit(snapshot_id)
     return snapshot_id
 
 
 def stream_refresh(
-    landed: DataFrame, read_projects, store: SnapshotStore, checkpoint: str, interval: str | None = None, name: str = "refresh"
+    landed: DataFrame, read_projects, read_files, store: SnapshotStore, checkpoint: str, interval: str | None = None
 ) -> StreamingQuery:
-    """R2: files in, snapshots out. ``read_projects()`` gives the projects as they are now.
+    """R2: files in, snapshots out. ``read_projects()`` and ``read_files()`` give projects and landed files as they are now.
 
-    A landing batch holds the whole tree of each project it changes. The batch
-    id is the commit key, so a replayed batch publishes nothing twice, and one
+    A batch only tells which projects changed; all their landed files are read
+    again, so it does not matter how batches cut a project. The query's own id
+    and the batch id are the commit key: a replayed batch publishes nothing
+    twice, and another query on the same store starts with keys of its own. One
     running batch per query takes the place of a job lock.
     """
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
-        changed = read_projects().join(batch.select("project_id").distinct(), "project_id", "left_semi")
-        publish(store, changed, batch, f"{name}:{batch_id}")
+        query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        ids = stored(batch.select("project_id").distinct())
+        changed = read_projects().join(ids, "project_id", "left_semi")
+        publish(store, changed, read_files().join(ids, "project_id", "left_semi"), f"{query_id}:{batch_id}")
 
     return (
         landed.writeStream.foreachBatch(refresh)

@@ -107,7 +107,8 @@ def test_readers(spark, tmp_path):
     (tree / "src" / "a.py").write_text("x = 1\n")
     (tree / "bad.py").write_bytes(b"\xff\xfe")
     (tree / "big.py").write_bytes(b"a" * (1048576 + 1))
-    assert [tuple(r) for r in read_tree(spark, str(tree), 5, "s").collect()] == [(5, "s", "src/a.py", "x = 1\n")]
+    assert [tuple(r) for r in read_tree(spark, str(tree), 5, "s", limit=1 << 20).collect()] == [(5, "s", "src/a.py", "x = 1\n")]
+    assert {r["path"] for r in read_tree(spark, str(tree), 5, "s").collect()} == {"src/a.py", "big.py"}
 
 
 def test_stream_hits_equal_batch_hits(spark, make_files, tmp_path):
@@ -131,7 +132,7 @@ def test_stream_refresh_publishes_once_and_carries_forward(spark, make_files, ma
     projects = make_projects((1, "g/a", "main", "sha", "one"), (2, "g/b", "main", "sha", "two"), (3, "g/c", "main", None, None))
 
     def run():
-        query = stream_refresh(landing_stream(spark, landing), lambda: projects, store, str(tmp_path / "check"))
+        query = stream_refresh(landing_stream(spark, landing, 1), lambda: projects, lambda: spark.read.parquet(landing), store, str(tmp_path / "check"))
         query.awaitTermination()
 
     make_files({"a.py": "q = 'SELECT 1 FROM t1'"}, 1).unionByName(make_files({"c.py": "x"}, 3)).coalesce(1).write.parquet(landing)
@@ -145,8 +146,22 @@ def test_stream_refresh_publishes_once_and_carries_forward(spark, make_files, ma
     assert got == {1: ["t1"], 2: ["t2"]} and store.pointer() > first
     # A replayed batch finds its key in the log and publishes nothing.
     before = store.commits().count()
-    assert publish(store, projects, make_files({"z.py": "x"}, 1), "refresh:1") == store.pointer()
+    key = store.commits().filter("batch_key IS NOT NULL").orderBy("snapshot_id", ascending=False).first()["batch_key"]
+    assert publish(store, projects, make_files({"z.py": "x"}, 1), key) == store.pointer()
     assert store.commits().count() == before
+    # A project cut over two batches keeps both; another query on the store has keys of its own.
+    make_files({"d.py": "q = 'SELECT 1 FROM t3'"}, 1).coalesce(1).write.mode("append").parquet(landing)
+    stream_refresh(landing_stream(spark, landing, 1), lambda: projects, lambda: spark.read.parquet(landing), store, str(tmp_path / "other")).awaitTermination()
+    got = {r["project_id"]: sorted(t["table_name"] for t in r["tables"]) for r in store.current("profiles").collect()}
+    assert got == {1: ["t1", "t3"], 2: ["t2"]}
+
+
+def test_a_full_refresh_replaces_the_scope(spark, make_files, make_projects, store):
+    both = make_projects((1, "g/a", "main", "sha", "one"), (2, "g/b", "main", "sha", "two"))
+    publish(store, both, make_files({"a.py": "x"}, 1).unionByName(make_files({"b.py": "x"}, 2)))
+    publish(store, both.filter("project_id = 2"), make_files({"b.py": "x"}, 2), full=True)
+    assert {r["project_id"] for r in store.current("catalog").collect()} == {2}
+    assert {r["project_id"] for r in store.current("profiles").collect()} == {2}
 
 
 def test_a_failed_refresh_leaves_the_old_snapshot_current(spark, make_files, make_projects, store):
