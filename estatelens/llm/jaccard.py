@@ -1,10 +1,10 @@
 """N-gram Jaccard join by vertical partitioning.
 
 A document's set is its distinct word shingles, known by 64-bit hashes. The
-global order of shingles is cut into ``FRAGMENTS`` ranges; for candidate pairs
-the overlap is counted in each fragment by itself and summed per pair.
-
-Candidates come in steps that keep the work near linear:
+global order of shingles is cut into ranges twice: every document's shingles
+are counted range by range in tasks of their own and summed per document, and
+the overlap of a candidate pair is counted in each of ``FRAGMENTS`` by itself
+and summed per pair.
 
 1. Shingles that no other document has are counted for every document (ranges
    of hashes, packed; a shingle repeated inside a batch is sent once, so a
@@ -12,10 +12,11 @@ Candidates come in steps that keep the work near linear:
    document has at most a 15 % share of them; all others are done.
 2. Equal sets become one.
 3. Prefix filter: of a linked pair, the first shingles in global order (as
-   many as may be missing, plus one) share one. Sets that share a prefix
-   shingle and are of like size are first compared with the smallest of them.
-4. Only sets that these links leave in different components are compared in
-   pairs, so a dense group of thousands never becomes all its pairs.
+   many as may be missing, plus one) share one. The sets of a prefix shingle
+   hang on one of them; candidate pairs lie in the components of that graph.
+4. A task compares the candidate pairs of some components, or of two blocks of
+   a large one, and returns the links that connect them: pairs that other
+   links connect need none, so a dense group gives no more links than members.
 
 Defined cases: null text and text without words have the empty set and link
 with nothing; a text with fewer words than a shingle is one shingle; rows of
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from estatelens.llm.components import components
@@ -40,6 +42,8 @@ WIDTH = 4
 #: Linked where PERCENT * union <= 100 * intersection.
 PERCENT = 85
 FRAGMENTS = 8
+#: Shingles of all sets that one side of a task compares.
+BLOCK = 1 << 20
 #: Bits of the filter that tells which documents to read again; a full filter only lets more through.
 FILTER_BITS = 26
 
@@ -73,15 +77,16 @@ def _ranges(docs: DataFrame, width: int, parts: int) -> DataFrame:
             cut = np.searchsorted(part, np.arange(parts + 1))
             cut_again = np.searchsorted(part_of(repeated), np.arange(parts + 1))
             repeated = repeated.astype(np.uint32)
-            home = int(ids[0]) % parts
+            home = ids % parts
             out = []
             for p in range(parts):
                 mine = owner[cut[p] : cut[p + 1]]
                 edge = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]])) if len(mine) else mine
                 count = np.diff(np.concatenate([edge, [len(mine)]])).astype(np.uint32) if len(mine) else np.empty(0, np.uint32)
-                own = (ids, size, known) if p == home else (ids[:0], size[:0], known[:0])
+                at_home = home == p
+                own = ids[at_home], size[at_home], known[at_home]
                 again = repeated[cut_again[p] : cut_again[p + 1]]
-                if len(mine) or len(again) or p == home:
+                if len(mine) or len(again) or len(own[0]):
                     out.append((p, *(np.ascontiguousarray(x).tobytes() for x in (ids[mine[edge]], count, grams[cut[p] : cut[p + 1]], again, *own))))
             kinds = [pa.int32()] + [pa.binary()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [c.split()[0] for c in _PACKED.split(", ")])
@@ -89,28 +94,50 @@ def _ranges(docs: DataFrame, width: int, parts: int) -> DataFrame:
     return docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _PACKED)
 
 
+def _joined(group: pa.Table, name: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(group.column(name).to_pylist()), dtype=kind)
+
+
 def set_sizes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Rows (doc_id, n, again): one with the set's size for each document, and any number with how many of its shingles others have too."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """doc_id, n (the size of its set) and ``open``: whether few enough of its shingles are its own to have a link.
 
-    def run(group: pa.Table) -> pa.Table:
-        def joined(name: str, kind: type) -> np.ndarray:
-            return np.frombuffer(b"".join(group.column(name).to_pylist()), dtype=kind)
+    A range's task counts how many of each document's shingles others have in
+    that range; these partial counts go packed to the documents' tasks and are
+    summed there. Rows of one doc_id are open together.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-        grams, again = joined("grams", np.uint32), joined("again", np.uint32)
-        docs_ = np.repeat(joined("docs", np.int64), joined("sizes", np.uint32))
+    def count(group: pa.Table) -> pa.Table:
+        grams, again = _joined(group, "grams", np.uint32), _joined(group, "again", np.uint32)
+        docs_ = np.repeat(_joined(group, "docs", np.int64), _joined(group, "sizes", np.uint32))
         every = np.concatenate([grams, again, again])
         order = np.argsort(every, kind="stable")
         same = every[order][1:] == every[order][:-1]
         many = np.zeros(len(every), dtype=bool)
         if len(every):
             many[order] = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        hit, count = np.unique(docs_[many[: len(grams)]], return_counts=True)
-        own = joined("own_docs", np.int64)
-        size = pa.array(np.concatenate([joined("own_sizes", np.uint32).astype(np.int64), np.zeros(len(hit), np.int64)]), mask=np.arange(len(own) + len(hit)) >= len(own))
-        return pa.table({"doc_id": np.concatenate([own, hit]), "n": size, "again": np.concatenate([joined("own_again", np.uint32).astype(np.int64), count.astype(np.int64)])})
-
-    return _ranges(docs, width, parts).groupBy("part").applyInArrow(run, "doc_id long, n long, again long")
+        hit, number = np.unique(docs_[many[: len(grams)]], return_counts=True)
+        home = hit % parts
+        order = np.argsort(home, kind="stable")
+        hit, number, home = hit[order], number[order].astype(np.uint32), home[order]
+        cut = np.searchsorted(home, np.arange(parts + 1))
+        rows = [(h, hit[cut[h] : cut[h + 1]].tobytes(), number[cut[h] : cut[h + 1]].tobytes(), b"", b"") for h in range(parts) if cut[h] < cut[h + 1]]
+        own = _joined(group, "own_docs", np.int64)
+        if len(own):
+            rows.append((int(own[0] % parts), own.tobytes(), _joined(group, "own_again", np.uint32).tobytes(), own.tobytes(), _joined(group, "own_sizes", np.uint32).tobytes()))
+        kinds = [pa.int32()] + [pa.binary()] * 4
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["home", "docs", "again", "own_docs", "own_sizes"])
+
+    def total(group: pa.Table) -> pa.Table:
+        own, size = _joined(group, "own_docs", np.int64), _joined(group, "own_sizes", np.uint32).astype(np.int64)
+        ids, place, rows = np.unique(own, return_inverse=True, return_counts=True)
+        again = np.bincount(np.searchsorted(ids, _joined(group, "docs", np.int64)), weights=_joined(group, "again", np.uint32), minlength=len(ids)).astype(np.int64)
+        n = np.bincount(place, weights=size, minlength=len(ids)).astype(np.int64)
+        few = (n > 0) & ((100 * (n - again) <= (100 - PERCENT) * n) | (rows > 1))
+        return pa.table({"doc_id": own, "n": size, "open": few[place]})
+
+    counted = _ranges(docs, width, parts).groupBy("part").applyInArrow(count, "home int, docs binary, again binary, own_docs binary, own_sizes binary")
+    return counted.groupBy("home").applyInArrow(total, "doc_id long, n long, open boolean")
 
 
 def _places(key: str) -> list[Column]:
@@ -150,64 +177,139 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int = WIDTH) -> DataFrame:
     return given.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "p0", "p1", "p2").mapInArrow(run, "doc_id long, name binary, n int, grams array<long>").filter("n > 0")
 
 
-def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, na, nb) that are linked: overlaps are counted by fragment and summed per pair."""
-    left = segments.select(F.col("key").alias("a"), "fragment", F.col("grams").alias("ga"))
-    right = segments.select(F.col("key").alias("b"), "fragment", F.col("grams").alias("gb"))
-    cut = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
-    met = cut.join(right, ["b", "fragment"]).join(left, ["a", "fragment"])
-    part = met.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("o"))
-    total = part.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
-    return total.filter((100 + PERCENT) * F.col("o") >= PERCENT * (F.col("na") + F.col("nb"))).select("a", "b")
-
-
-def linked_sets(sets: DataFrame) -> DataFrame:
-    """Links (a, b) between distinct sets (key, n, grams) that connect all pairs at or above the similarity."""
-    cut = F.transform(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)), lambda f: F.struct(f.cast("int").alias("fragment"), F.filter("grams", lambda g: (F.shiftright(g, 64 - FRAGMENTS.bit_length() + 1) + FRAGMENTS // 2).cast("int") == f).alias("grams")))
-    segments = stored(sets.select("key", F.explode(cut).alias("s")).select("key", "s.fragment", "s.grams").filter(F.size("grams") > 0))
+def needed(na: int, nb: int) -> int:
+    """The least overlap of linked sets of these sizes."""
+    return -(-PERCENT * (na + nb) // (100 + PERCENT))
+
+
+class _Groups:
+    """Union-find over a task's few sets."""
+
+    def __init__(self, n: int) -> None:
+        self.parent = list(range(n))
+
+    def find(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+
+def links_among(sets: list[np.ndarray], side: list[int]) -> list[tuple[int, int]]:
+    """Links that connect all linked pairs of these sets; where there are two sides, only pairs across them are compared.
+
+    Pairs that share a prefix shingle are compared by fragments of the global
+    order: partial overlaps are summed, and a pair ends once what is left can
+    no longer reach the overlap it needs. Pairs that earlier links connect are
+    not compared again.
+    """
+    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    edges = np.array([f * (1 << 64) // FRAGMENTS - (1 << 63) for f in range(1, FRAGMENTS)], dtype=np.int64)
+    cuts = [[0, *np.searchsorted(s, edges).tolist(), len(s)] for s in sets]
+    size = [len(s) for s in sets]
+    # As the larger set of a pair a set misses at most n - ceil(P n / 100), as the smaller n - ceil(2P n / (100 + P)).
+    large = [n + (-PERCENT * n // 100) + 1 for n in size]
+    small = [n + (-2 * PERCENT * n // (100 + PERCENT)) + 1 for n in size]
+    grams = np.concatenate([sets[i][: large[i]] for i in order])
+    place = np.repeat(np.arange(len(order)), [large[i] for i in order])
+    at = np.concatenate([np.arange(large[i]) for i in order])
+    by = np.lexsort((place, grams))
+    grams, place, at = grams[by], place[by], at[by]
+    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    ends = np.append(first[1:], len(grams))
+    many = ends - first > 1
+    groups, compared, found = _Groups(len(sets)), set(), []
+    two_sides = len(set(side)) > 1
+
+    def linked(x: int, y: int) -> bool:
+        need, total = needed(size[x], size[y]), 0
+        for f in range(FRAGMENTS):
+            a, b = sets[x][cuts[x][f] : cuts[x][f + 1]], sets[y][cuts[y][f] : cuts[y][f + 1]]
+            if len(a) and len(b):
+                where = np.minimum(np.searchsorted(b, a), len(b) - 1)
+                total += int(np.count_nonzero(b[where] == a))
+            if total + min(size[x] - cuts[x][f + 1], size[y] - cuts[y][f + 1]) < need:
+                return False
+        return total >= need
+
+    for lo, hi in zip(first[many].tolist(), ends[many].tolist(), strict=True):
+        members = [(order[p], q) for p, q in zip(place[lo:hi].tolist(), at[lo:hi].tolist(), strict=True)]
+        for i, (x, q) in enumerate(members):
+            if q >= small[x]:
+                continue
+            if len({groups.find(z) for z, _ in members[i:]}) < 2:
+                break
+            for y, _ in members[i + 1 :]:
+                if 100 * size[x] < PERCENT * size[y]:
+                    break
+                if (two_sides and side[x] == side[y]) or (x, y) in compared or groups.find(x) == groups.find(y):
+                    continue
+                compared.add((x, y))
+                if linked(x, y):
+                    found.append((x, y))
+                    groups.parent[groups.find(y)] = groups.find(x)
+    return found
+
+
+def task_of(*columns: str) -> Column:
+    """A task's number from a component and two of its blocks."""
+    return F.xxhash64(*columns).alias("task")
+
+
+def linked_sets(sets: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links (a, b) between the keys of ``sets`` (key, doc_id, n, grams) that connect all pairs at or above the similarity.
+
+    Equal sets share a key, and ``reps`` (key, rep, n) names the document whose
+    row stands for them: the arrays move once to be picked and once to a task.
+
+    All candidate pairs lie within components of the graph that hangs the sets
+    of each prefix shingle on one of them. Small components share tasks. A
+    component of more than ``BLOCK`` shingles is cut by set size into blocks,
+    and each two blocks of like sizes are a task.
+    """
     n = F.col("n").cast("long")
-    # As the smaller set of a pair a set misses at most n - ceil(2P n / (100 + P)), as the larger n - ceil(P n / 100).
-    small = n - F.ceil(2 * PERCENT * n / (100 + PERCENT)) + 1
-    large = n - F.ceil(PERCENT * n / 100) + 1
-    prefix = sets.select("key", "n", small.alias("small"), F.posexplode(F.slice("grams", F.lit(1), large.cast("int"))).alias("at", "gram"))
-    prefix = prefix.select("gram", "key", "n", (F.col("at") < F.col("small")).alias("first"))
-    shared = prefix.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gram")
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / PERCENT)))
-    prefix = stored(prefix.join(shared, "gram").withColumn("band", band))
-
-    centre = prefix.groupBy("gram", "band").agg(F.min(F.struct("n", "key")).alias("m"))
-    stars = prefix.join(centre, ["gram", "band"]).filter("key != m.key").select(F.col("m.key").alias("a"), F.col("key").alias("b"), F.col("m.n").alias("na"), F.col("n").alias("nb")).distinct()
-    links = stored(overlaps(stars, segments))
-
-    joined = components(links)
-    placed = prefix.join(joined, prefix["key"] == joined["id"], "left").select("gram", "key", "n", "first", F.coalesce("component_id", "key").alias("c"))
-    placed = stored(placed.join(placed.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("gram"), "gram"))
-    groups = placed.groupBy("gram", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    one, other = groups.toDF("gram", "c", "lo", "hi"), groups.toDF("gram", "d", "lo2", "hi2")
-    # Components that share a prefix shingle and whose sizes come near enough.
-    near = one.join(other, "gram").filter((F.col("c") < F.col("d")) & (100 * F.col("hi") >= PERCENT * F.col("lo2")) & (100 * F.col("hi2") >= PERCENT * F.col("lo"))).select("gram", "c", "d")
-    x, y = placed.toDF("gram", "a", "na", "fa", "c"), placed.toDF("gram", "b", "nb", "fb", "d")
-    fits = F.when(F.col("na") <= F.col("nb"), F.col("fa") & (100 * F.col("na") >= PERCENT * F.col("nb"))).otherwise(F.col("fb") & (100 * F.col("nb") >= PERCENT * F.col("na")))
-    rest = near.join(x, ["gram", "c"]).join(y, ["gram", "d"]).filter(fits).select("a", "b", "na", "nb").distinct()
-    return links.unionByName(stored(overlaps(rest, segments)))
+    prefix = stored(sets.select("key", F.explode(F.slice("grams", F.lit(1), (n - F.ceil(PERCENT * n / 100) + 1).cast("int"))).alias("gram")))
+    centre = prefix.groupBy("gram").agg(F.min("key").alias("m"), F.max("key").alias("other")).filter("m != other").select("gram", "m")
+    joined = components(prefix.join(centre, "gram").filter("key != m").select(F.col("m").alias("a"), F.col("key").alias("b")))
+
+    placed = stored(reps.select("key", "n").join(joined, reps["key"] == joined["id"]).select("key", "n", F.col("component_id").alias("c")))
+    total = stored(placed.groupBy("c").agg(F.sum("n").alias("grams")))
+    large, little = total.filter(F.col("grams") > BLOCK).select("c"), total.filter(F.col("grams") <= BLOCK).select("c", "grams")
+    by_size = placed.join(large, "c").groupBy("c", "n").agg(F.count(F.lit(1)).alias("m"))
+    run = W.partitionBy("c").orderBy("n").rowsBetween(W.unboundedPreceding, -1)
+    by_size = by_size.withColumn("before", F.coalesce(F.sum(F.col("m") * F.col("n")).over(run), F.lit(0)))
+    block = F.floor((F.col("before") + F.pmod(F.col("key"), F.col("m")) * F.col("n")) / BLOCK)
+    blocks = stored(placed.join(by_size, ["c", "n"]).select("key", "n", "c", block.alias("block")))
+    span = blocks.groupBy("c", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    near = span.join(span.toDF("c", "block2", "lo2", "hi2"), "c").filter((F.col("block") <= F.col("block2")) & (100 * F.col("hi") >= PERCENT * F.col("lo2")))
+    near = stored(near.select("c", "block", "block2"))
+    low = blocks.join(near, ["c", "block"]).select("key", task_of("c", "block", "block2"), F.lit(0).alias("side"))
+    high = blocks.join(near.filter("block < block2").toDF("c", "first", "block"), ["c", "block"]).select("key", task_of("c", "first", "block"), F.lit(1).alias("side"))
+    few = max(1, -(-(little.agg(F.sum("grams")).first()[0] or 0) // BLOCK))
+    alone = placed.join(little.select("c"), "c").select("key", F.pmod(F.xxhash64("c"), F.lit(few)).alias("task"), F.lit(0).alias("side"))
+
+    def run_task(group: pa.Table) -> pa.Table:
+        keys = group.column("key").to_pylist()
+        arrays = [np.asarray(x) for x in group.column("grams").combine_chunks().to_numpy(zero_copy_only=False)]
+        pairs = links_among(arrays, group.column("side").to_pylist())
+        return pa.table({"a": pa.array([keys[x] for x, _ in pairs], pa.int64()), "b": pa.array([keys[y] for _, y in pairs], pa.int64())})
+
+    tasks = alone.unionByName(low).unionByName(high).join(reps.select("key", F.col("rep").alias("doc_id")), "key")
+    met = sets.select("key", "doc_id", "grams").join(tasks, ["key", "doc_id"]).select("task", "key", "side", "grams")
+    return met.groupBy("task").applyInArrow(run_task, "a long, b long")
 
 
 def similar_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     counts = stored(set_sizes(docs, width))
-    total = counts.groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("again").alias("again"), F.count("n").alias("rows"))
-    open_ = total.filter((F.col("n") > 0) & ((100 * (F.col("n") - F.col("again")) <= (100 - PERCENT) * F.col("n")) | (F.col("rows") > 1)))
-    sets = stored(sets_of(docs, open_.select("doc_id"), width))
-    reps = sets.groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
-    keyed = stored(reps.withColumn("key", F.xxhash64("name")))
-    # One row of each set: the one of its smallest document.
-    kept = sets.join(keyed.select("name", "key", "rep"), "name").filter("doc_id = rep").dropDuplicates(["name"]).select("key", "n", "grams")
-    links = linked_sets(stored(kept))
+    sets = stored(sets_of(docs, counts.filter("open").select("doc_id"), width).withColumn("key", F.xxhash64("name")))
+    keyed = stored(sets.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")))
+    links = linked_sets(sets, keyed)
     at = keyed.select("key", "rep")
     between = links.join(at.toDF("a", "ra"), "a").join(at.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    copies = sets.select("name", "doc_id").join(keyed.select("name", "rep"), "name").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    copies = sets.select("key", "doc_id").join(at, "key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(between.unionByName(copies))
-    rows = counts.filter("n IS NOT NULL").select("doc_id", F.col("n").alias("n_shingles"))
+    rows = counts.select("doc_id", F.col("n").alias("n_shingles"))
     known = rows.join(found, rows["doc_id"] == found["id"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     nameless = docs.filter("doc_id IS NULL").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return known.unionByName(nameless)
