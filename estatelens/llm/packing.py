@@ -31,7 +31,7 @@ LENGTH = 2048
 END_ID = 1
 HASHED = 1024
 DIMS, BITS = 3, 16
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 
 
 def default_tokenizer() -> str:
@@ -42,38 +42,82 @@ def default_tokenizer() -> str:
 
 
 class WordTokenizer:
-    """Token ids of many texts, for tokenizers that drop white space: each distinct word is encoded once and cached."""
+    """Token ids of many texts, for tokenizers that drop white space and lower-case: each distinct unit is encoded once and cached.
+
+    A unit is a word, cut where one of ``.,!?;:`` follows an ASCII letter or
+    digit: the tokenizer ends a token in both places whatever stands around.
+    New units are encoded as one text, with a special token between them.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.hasher = WordHasher()
-        self.hasher.codes = byte_codes()  # case matters to special tokens
-        self.cache: dict[int, np.ndarray] = {}
+        special = self.tokenizer.get_added_tokens_decoder()
+        self.mark_id = min(special)
+        self.mark = special[self.mark_id].content
+        self.special = [t.content.encode() for t in special.values()]
+        self.hashers = WordHasher(), WordHasher()
+        self.hashers[1].codes = byte_codes()  # case matters to special tokens
+        ascii_ = [chr(i) if i < 128 else " " for i in range(256)]
+        self.alnum = np.array([c.isalnum() for c in ascii_])
+        self.punctuation = np.array([c in ".,!?;:" for c in ascii_])
+        self._clear()
+
+    def _clear(self) -> None:
+        self.rows: dict[int, int] = {}
+        self.start, self.size = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
+        self.flat, self.used = np.zeros(1 << 18, dtype=np.uint32), 0
+
+    def _encoded(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units in a row, and how many each has."""
+        if any(s.decode() in "".join(units) for s in self.special):
+            each = [e.ids for e in self.tokenizer.encode_batch(units, add_special_tokens=False)]
+            return np.array([i for ids in each for i in ids], dtype=np.uint32), np.array(list(map(len, each)))
+        ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(units)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        marks = np.flatnonzero(ids == self.mark_id)
+        return np.delete(ids, marks), np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1
+
+    def _learn(self, keys: list[int], units: list[str]) -> None:
+        ids, sizes = self._encoded(units)
+        at, n = len(self.rows), len(keys)
+        if at + n > len(self.start):
+            self.start, self.size = (np.resize(x, 2 * (at + n)) for x in (self.start, self.size))
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * (self.used + len(ids)))
+        self.size[at : at + n] = sizes
+        self.start[at : at + n] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.rows.update(zip(keys, range(at, at + n), strict=True))
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        word, first = self.hasher.words(texts)
-        kinds, example, kind = np.unique(word, return_index=True, return_inverse=True)
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
+        buffer = b" ".join([b"", *texts, b""])
+        hasher = self.hashers[any(s.lower() in buffer.lower() for s in self.special)]
+        data = np.frombuffer(buffer, dtype=np.uint8)
+        word = ~hasher.space[data]
+        cut = np.append(False, self.alnum[data[:-1]] & self.punctuation[data[1:]])
+        starts = np.flatnonzero(word & np.append(False, cut[1:] | ~word[:-1]))
+        ends = np.flatnonzero(word & np.append(cut[1:] | ~word[1:], True)) + 1
+        first = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+        kinds, example, kind = np.unique(hasher.hashes(data, starts, ends), return_index=True, return_inverse=True)
+        if len(self.rows) > CACHED_WORDS:
+            self._clear()
         keys = kinds.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.cache]
-        if new:
-            buffer, starts, ends, _ = self.hasher.spans(texts)
-            strings = [buffer[starts[example[i]] : ends[example[i]]].decode("utf-8", "replace") for i in new]
-            for i, e in zip(new, self.tokenizer.encode_batch(strings, add_special_tokens=False), strict=True):
-                self.cache[keys[i]] = np.array(e.ids, dtype=np.uint32)
-        parts = [self.cache[k] for k in keys]
-        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-        flat = np.concatenate(parts) if parts else np.empty(0, dtype=np.uint32)
-        size = sizes[kind]
-        ends = np.cumsum(size)
-        at = np.repeat((np.cumsum(sizes) - sizes)[kind] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-        ids = flat[at]
-        cut = np.concatenate([[0], ends])[first]
-        return [np.append(ids[a:b], np.uint32(END_ID)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        row = np.fromiter((self.rows.get(k, -1) for k in keys), dtype=np.int64, count=len(keys))
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            units = [buffer[a:b].decode("utf-8", "replace") for a, b in zip(starts[example[new]].tolist(), ends[example[new]].tolist(), strict=True)]
+            self._learn(kinds[new].tolist(), units)
+            row[new] = np.arange(len(self.rows) - len(new), len(self.rows))
+        each = row[kind]
+        size = self.size[each]
+        stop = np.cumsum(size)
+        total = int(stop[-1]) if len(stop) else 0
+        ids = self.flat[np.repeat(self.start[each] - (stop - size), size) + np.arange(total)]
+        at = np.concatenate([[0], stop])[first]
+        return [np.append(ids[a:b], np.uint32(END_ID)) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:

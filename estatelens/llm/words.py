@@ -66,12 +66,15 @@ class WordHasher:
     def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The hash of each word, and the first word of each text (one more at the end)."""
         buffer, starts, ends, first = self.spans(texts)
-        data = np.frombuffer(buffer, dtype=np.uint8)
+        return self.hashes(np.frombuffer(buffer, dtype=np.uint8), starts, ends), first
+
+    def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The hash of each stretch of ``data``; none starts at its first byte."""
         if len(self.up) < len(data):
             self.up, self.down = powers(BASE, 2 * len(data)), powers(BASE_INVERSE, 2 * len(data))
         total = np.cumsum(self.codes[data] * self.up[: len(data)], dtype=np.uint64)
         hashes = (total[ends - 1] - total[starts - 1]) * self.down[starts]
-        return mixed(hashes + (ends - starts).astype(np.uint64)), first
+        return mixed(hashes + (ends - starts).astype(np.uint64))
 
     def shingles(self, texts: list[bytes], width: int) -> Iterator[np.ndarray]:
         """For each text the sorted distinct hashes of its runs of ``width`` words.
