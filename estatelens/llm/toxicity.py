@@ -144,24 +144,21 @@ def fit(texts: list[bytes], toxic: np.ndarray, steps: int = STEPS, seed: int = 5
     """
     tune = np.arange(len(texts)) % 4 == 3 if len(texts) >= 40 else np.zeros(len(texts), dtype=bool)
     learned, label = [t for t, k in zip(texts, tune, strict=True) if not k], toxic[~tune].astype(np.float32)
-    bucket, word, first = Subwords()(learned)
-    words = int(first[-1])
+    # Equal words are computed once: each distinct word is taken apart as a text of its own.
+    subwords = Subwords()
+    buffer, starts, ends, first = subwords.hasher.spans(learned)
+    _, example, kind = np.unique(subwords.hasher.hashes(np.frombuffer(buffer, dtype=np.uint8), starts, ends), return_index=True, return_inverse=True)
+    bucket, word, _ = subwords([buffer[starts[i] : ends[i]] for i in example.tolist()])
     used, column = np.unique(bucket, return_inverse=True)
-    # Equal words are computed once; the sum of its n-grams' hashes tells a word.
-    code = np.bincount(word, weights=(mixed(bucket.astype(np.uint64)) >> np.uint64(24)).astype(np.float64), minlength=words)
-    _, example, kind = np.unique(code, return_index=True, return_inverse=True)
-    rank = np.full(words, -1)
-    rank[example] = np.arange(len(example))
-    mine = rank[word] >= 0
-    to_words = _Bag(rank[word[mine]], column[mine], np.bincount(word, minlength=words)[example], len(used))
+    size = np.bincount(word, minlength=len(example))
+    to_words = _Bag(word, column, size, len(used))
     held = np.unique(np.repeat(np.arange(len(learned)), np.diff(first)) * np.int64(len(example)) + kind)
     text_of, kind_of = held // len(example), held % len(example)
     distinct = np.bincount(text_of, minlength=len(learned))
     to_texts = _Bag(text_of, kind_of, distinct, len(example))
     # The norm of an n-gram's column, as if its words never met in a text.
     per_word = np.bincount(kind_of, weights=1.0 / distinct[text_of] ** 2, minlength=len(example))
-    size = np.bincount(word, minlength=words)[example]
-    norm = np.sqrt(np.bincount(column[mine], weights=(per_word / size**2)[rank[word[mine]]], minlength=len(used))).astype(np.float32)[:, None]
+    norm = np.sqrt(np.bincount(column, weights=(per_word / size**2)[word], minlength=len(used))).astype(np.float32)[:, None]
     out = np.random.default_rng(seed).normal(0, 1, (WIDTH, 2)).astype(np.float32)
     out /= np.linalg.norm(out[:, 1] - out[:, 0])
     vectors, bias = np.zeros((len(used), WIDTH), dtype=np.float32), np.zeros(2, dtype=np.float32)
@@ -184,7 +181,8 @@ def fit(texts: list[bytes], toxic: np.ndarray, steps: int = STEPS, seed: int = 5
     table[used] = (vectors / norm) @ (out[:, 1] - out[:, 0])
     checked = [x for x, k in zip(texts, tune, strict=True) if k] if tune.any() else texts
     marks = toxic[tune] if tune.any() else toxic
-    return table, *threshold(worst_segments(table, Subwords()(checked)), marks)
+    worst = np.concatenate([worst_segments(table, subwords(checked[i : i + 50])) for i in range(0, len(checked), 50)])
+    return table, *threshold(worst, marks)
 
 
 def threshold(worst: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
