@@ -40,8 +40,8 @@ from estatelens.session import stored
 
 LENGTH = 400
 GRAM = 32
-SHARD_BYTES = 1 << 20
-LARGEST_ANCHOR = 1 << 21
+SHARD_BYTES = 1 << 19
+LARGEST_ANCHOR = 1 << 20
 #: A longer text is read in sections that share LENGTH - 1 bytes.
 SECTION = 1 << 22
 _PLACE_BITS = 24
