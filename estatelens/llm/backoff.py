@@ -36,7 +36,7 @@ BACKOFF = 0.4
 #: Bytes of an n-gram's hash that travel; the range tells the rest. The chance that another of its range shares them is about one in 1e5.
 HASH_BYTES = 5
 #: Text bytes that one group of documents scores at once, about.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 16 << 20
 
 
 class Ngrams:
@@ -108,14 +108,15 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ngrams = Ngrams()
-        for rows, own in pieces_of(batches, limit=1 << 21):
+        for rows, own in pieces_of(batches, limit=1 << 22):
             ids, home = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-            found = [(i, h, k, c, _cuts(k, parts)) for i, h, (k, c, _) in zip(ids.tolist(), home.tolist(), ngrams(own), strict=True)]
+            by_home: dict[int, list[tuple]] = {}
+            for i, h, (k, c, _) in zip(ids.tolist(), home.tolist(), ngrams(own), strict=True):
+                by_home.setdefault(h, []).append((i, k, c, _cuts(k, parts)))
             out = []
-            for h in sorted(set(home.tolist())):
-                mine = [f for f in found if f[1] == h]
+            for h, mine in sorted(by_home.items()):
                 for p in range(parts):
-                    cut = [(i, k[x[p] : x[p + 1]], c[x[p] : x[p + 1]]) for i, _, k, c, x in mine if x[p] < x[p + 1]]
+                    cut = [(i, k[x[p] : x[p + 1]], c[x[p] : x[p + 1]]) for i, k, c, x in mine if x[p] < x[p + 1]]
                     if cut:
                         docs_, sizes = np.array([c[0] for c in cut], dtype="<i8"), np.array([len(c[1]) for c in cut], dtype="<u4")
                         out.append((p, h, docs_.tobytes(), sizes.tobytes(), _short(np.concatenate([c[1] for c in cut])), _small(np.concatenate([c[2] for c in cut]))))
