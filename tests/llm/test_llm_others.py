@@ -1,5 +1,6 @@
 """Vectors, conversations and the pipeline."""
 
+import collections
 import hashlib
 import random
 
@@ -8,7 +9,7 @@ import pytest
 from fixtures_llm import DOCUMENTS, corpus, frame, odd
 
 import corpus_pipeline
-from estatelens.llm import chat, vectors
+from estatelens.llm import chat, mixing, vectors
 from estatelens.llm.components import components
 
 
@@ -119,3 +120,42 @@ def test_queries_equal_their_sql(spark, name):
     ours = sorted(tuple(map(str, r)) for r in df.select(*cols).collect())
     theirs = con.sql(f"SELECT {', '.join(cols)} FROM ({entry.oracle_sql()[name]})").fetchall()
     assert ours == sorted(tuple(map(str, r)) for r in theirs)
+
+
+def test_pipeline_equals_brute_force(spark):
+    from test_llm_documents import brute_components
+
+    rows = [r for r in corpus(4, 20) if r[1] is None or len(r[1]) < 4000]
+    docs = frame(spark, rows)
+    groups = brute_components(rows)
+    near = corpus_pipeline.keep_one_of_each(spark, docs, "")
+    kept = sorted((r for r in rows if groups[r[0]][1] == r[0]), key=lambda r: r[0])
+    assert sorted(r.doc_id for r in near.collect()) == [r[0] for r in kept]
+
+    texts = [(r[1] or "").encode() for r in kept]
+    seen = collections.Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
+    left = {}
+    for r, t in zip(kept, texts, strict=True):
+        gone = bytearray(len(t))
+        for i in range(len(t) - 399):
+            if seen[t[i : i + 400]] > 1:
+                gone[i : i + 400] = b"\1" * 400
+        out, at = [], 0
+        for c in t.decode():
+            size = len(c.encode())
+            if not all(gone[at : at + size]):
+                out.append(c)
+            at += size
+        left[r[0]] = None if r[1] is None else "".join(out)
+    cut = spark.createDataFrame(corpus_pipeline.cut_repeats(spark, frame(spark, kept), "").collect(), DOCUMENTS)
+    assert {r.doc_id: r.text for r in cut.collect()} == left
+    assert all(r.n_chars == len(r.text) for r in cut.collect() if r.text is not None)
+
+    copies = {r.doc_id: r.copies for r in mixing.mix(cut).collect()}
+    mixed = spark.createDataFrame(corpus_pipeline.mix_sources(spark, cut, "").collect(), DOCUMENTS)
+    assert collections.Counter(r.doc_id for r in mixed.collect()) == {i: n for i, n in copies.items() if n}
+    tokens = collections.Counter()
+    for p in corpus_pipeline.pack_sequences(spark, mixed, "").collect():
+        tokens[p.doc_id] += p.length
+        assert len(p.ids) == 4 * p.length
+    assert set(tokens) == {i for i, n in copies.items() if n} and all(tokens[i] % copies[i] == 0 for i in tokens)
