@@ -108,7 +108,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ngrams = Ngrams()
-        for rows, own in pieces_of(batches, limit=1 << 22):
+        for rows, own in pieces_of(batches, limit=1 << 21):
             ids, home = rows.column(0).to_numpy(), rows.column(1).to_numpy()
             by_home: dict[int, list[tuple]] = {}
             for i, h, (k, c, _) in zip(ids.tolist(), home.tolist(), ngrams(own), strict=True):
@@ -142,7 +142,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 got.setdefault(d, []).append((r["part"], v))
         own = [x.encode("utf-8") for x in texts_.column("text").to_pylist()]
         out = []
-        for doc_id, row, (kinds, tf, place) in zip(texts_.column("doc_id").to_pylist(), texts_.column("row").to_pylist(), Ngrams()(own), strict=True):
+        ngrams = Ngrams()
+        found = (x for i in range(0, len(own), 64) for x in ngrams(own[i : i + 64]))
+        for doc_id, row, (_, _, place) in zip(texts_.column("doc_id").to_pylist(), texts_.column("row").to_pylist(), found, strict=True):
             n = (len(place) + 1) // 2
             if not n:
                 out.append((doc_id, 0, 0.0))
