@@ -507,7 +507,7 @@ QUERIES = {
     "io_all_distinct": all_io,
     "go_skipped_files": _files(go.go_skips, ["project_id", "path", "reason"], "go"),
     "degraded_sections": degraded,
-    "purpose_readme": _one_candidate(lambda s: readme_candidate(s.of(s.everything, "readme"))),
+    "purpose_readme": _one_candidate(lambda s: readme_candidate(s.readmes(s.everything))),
     "purpose_manifest": _one_candidate(lambda s: manifest_candidate(manifest_facts(s.of(s.everything, "manifest")))),
     "purpose_docstring": _one_candidate(lambda s: docstring_candidate(s.of(s.everything, "script"), python_call_sites(s.of(s.everything, "python")))),
     "purpose_go_module": _one_candidate(lambda s: go.gomod_candidates(s.of(s.go, "manifest"))),

@@ -41,3 +41,10 @@ def test_query_equals_its_sql(spark, duck, name):
     ours = sorted(tuple("" if v is None else str(v) for v in r) for r in df.select(*cols).collect())
     theirs = duck.sql(f"SELECT {', '.join(cols)} FROM ({entry.oracle_sql()[name]})").fetchall()
     assert ours == sorted(tuple("" if v is None else str(v) for v in r) for r in theirs)
+
+
+def test_root_readmes_of_their_own_query(spark, duck):
+    cols = "project_id, source, priority, path, text"
+    ours, every = (entry.queries()[name](spark, SF).select(*cols.split(", ")).collect() for name in ("purpose_readme", "purpose_candidates"))
+    theirs = duck.sql(f"SELECT {cols} FROM ({entry.oracle_sql()['purpose_readme']})").fetchall()
+    assert len(ours) > 0 and sorted(map(tuple, ours)) == sorted(theirs) == sorted(tuple(r) for r in every if r.source == "readme")
