@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from estatelens.llm import jaccard, language, mixing, packing, repeats
 from estatelens.session import stored
 
+#: Near duplicates share 80 % of their shingles of five words; op10's query has values of its own.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
+
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a learned language; texts without letters go."""
@@ -22,7 +25,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates, once; a null id belongs to no group."""
-    groups = stored(jaccard.similar_documents(docs))
+    groups = stored(jaccard.similar_documents(docs, NEAR_WIDTH, NEAR_PERCENT))
     kept = docs.join(groups.filter("doc_id != component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
     again = stored(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1 AND doc_id IS NOT NULL").select("doc_id"))
     if again.isEmpty():

@@ -9,7 +9,7 @@ and summed per pair.
 1. Shingles that no other document has are counted for every document (ranges
    of hashes, packed; a shingle repeated inside a batch is sent once, so a
    shingle of every document reaches a range at most once per batch). A linked
-   document has at most a 15 % share of them; all others are done.
+   document has at most a share of 100 - percent of them; all others are done.
 2. Equal sets become one.
 3. Prefix filter: of a linked pair, the first shingles in global order (as
    many as may be missing, plus one) share one. The sets of a prefix shingle
@@ -39,7 +39,7 @@ from estatelens.llm.words import WordHasher, pieces_of
 from estatelens.session import stored
 
 WIDTH = 4
-#: Linked where PERCENT * union <= 100 * intersection.
+#: Linked where percent * union <= 100 * intersection; op10's width and percentage, which callers may set otherwise.
 PERCENT = 85
 FRAGMENTS = 8
 #: Shingles of all sets that one side of a task compares.
@@ -98,7 +98,7 @@ def _joined(group: pa.Table, name: str, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(group.column(name).to_pylist()), dtype=kind)
 
 
-def set_sizes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def set_sizes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n (the size of its set) and ``open``: whether few enough of its shingles are its own to have a link.
 
     A range's task counts how many of each document's shingles others have in
@@ -133,7 +133,7 @@ def set_sizes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         ids, place, rows = np.unique(own, return_inverse=True, return_counts=True)
         again = np.bincount(np.searchsorted(ids, _joined(group, "docs", np.int64)), weights=_joined(group, "again", np.uint32), minlength=len(ids)).astype(np.int64)
         n = np.bincount(place, weights=size, minlength=len(ids)).astype(np.int64)
-        few = (n > 0) & ((100 * (n - again) <= (100 - PERCENT) * n) | (rows > 1))
+        few = (n > 0) & ((100 * (n - again) <= (100 - percent) * n) | (rows > 1))
         return pa.table({"doc_id": own, "n": size, "open": few[place]})
 
     counted = _ranges(docs, width, parts).groupBy("part").applyInArrow(count, "home int, docs binary, again binary, own_docs binary, own_sizes binary")
@@ -177,9 +177,9 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int = WIDTH) -> DataFrame:
     return given.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "p0", "p1", "p2").mapInArrow(run, "doc_id long, name binary, n int, grams array<long>").filter("n > 0")
 
 
-def needed(na: int, nb: int) -> int:
+def needed(na: int, nb: int, percent: int = PERCENT) -> int:
     """The least overlap of linked sets of these sizes."""
-    return -(-PERCENT * (na + nb) // (100 + PERCENT))
+    return -(-percent * (na + nb) // (100 + percent))
 
 
 class _Groups:
@@ -195,7 +195,7 @@ class _Groups:
         return x
 
 
-def links_among(sets: list[np.ndarray], side: list[int]) -> list[tuple[int, int]]:
+def links_among(sets: list[np.ndarray], side: list[int], percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that connect all linked pairs of these sets; where there are two sides, only pairs across them are compared.
 
     Pairs that share a prefix shingle are compared by fragments of the global
@@ -208,8 +208,8 @@ def links_among(sets: list[np.ndarray], side: list[int]) -> list[tuple[int, int]
     cuts = [[0, *np.searchsorted(s, edges).tolist(), len(s)] for s in sets]
     size = [len(s) for s in sets]
     # As the larger set of a pair a set misses at most n - ceil(P n / 100), as the smaller n - ceil(2P n / (100 + P)).
-    large = [n + (-PERCENT * n // 100) + 1 for n in size]
-    small = [n + (-2 * PERCENT * n // (100 + PERCENT)) + 1 for n in size]
+    large = [n + (-percent * n // 100) + 1 for n in size]
+    small = [n + (-2 * percent * n // (100 + percent)) + 1 for n in size]
     grams = np.concatenate([sets[i][: large[i]] for i in order])
     place = np.repeat(np.arange(len(order)), [large[i] for i in order])
     at = np.concatenate([np.arange(large[i]) for i in order])
@@ -222,7 +222,7 @@ def links_among(sets: list[np.ndarray], side: list[int]) -> list[tuple[int, int]
     two_sides = len(set(side)) > 1
 
     def linked(x: int, y: int) -> bool:
-        need, total = needed(size[x], size[y]), 0
+        need, total = needed(size[x], size[y], percent), 0
         for f in range(FRAGMENTS):
             a, b = sets[x][cuts[x][f] : cuts[x][f + 1]], sets[y][cuts[y][f] : cuts[y][f + 1]]
             if len(a) and len(b):
@@ -240,7 +240,7 @@ def links_among(sets: list[np.ndarray], side: list[int]) -> list[tuple[int, int]
             if len({groups.find(z) for z, _ in members[i:]}) < 2:
                 break
             for y, _ in members[i + 1 :]:
-                if 100 * size[x] < PERCENT * size[y]:
+                if 100 * size[x] < percent * size[y]:
                     break
                 if (two_sides and side[x] == side[y]) or (x, y) in compared or groups.find(x) == groups.find(y):
                     continue
@@ -256,7 +256,7 @@ def task_of(*columns: str) -> Column:
     return F.xxhash64(*columns).alias("task")
 
 
-def linked_sets(sets: DataFrame, reps: DataFrame) -> DataFrame:
+def linked_sets(sets: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between the keys of ``sets`` (key, doc_id, n, grams) that connect all pairs at or above the similarity.
 
     Equal sets share a key, and ``reps`` (key, rep, n) names the document whose
@@ -268,7 +268,7 @@ def linked_sets(sets: DataFrame, reps: DataFrame) -> DataFrame:
     and each two blocks of like sizes are a task.
     """
     n = F.col("n").cast("long")
-    prefix = stored(sets.select("key", F.explode(F.slice("grams", F.lit(1), (n - F.ceil(PERCENT * n / 100) + 1).cast("int"))).alias("gram")))
+    prefix = stored(sets.select("key", F.explode(F.slice("grams", F.lit(1), (n - F.ceil(percent * n / 100) + 1).cast("int"))).alias("gram")))
     centre = prefix.groupBy("gram").agg(F.min("key").alias("m"), F.max("key").alias("other")).filter("m != other").select("gram", "m")
     joined = components(prefix.join(centre, "gram").filter("key != m").select(F.col("m").alias("a"), F.col("key").alias("b")))
 
@@ -281,7 +281,7 @@ def linked_sets(sets: DataFrame, reps: DataFrame) -> DataFrame:
     block = F.floor((F.col("before") + F.pmod(F.col("key"), F.col("m")) * F.col("n")) / BLOCK)
     blocks = stored(placed.join(by_size, ["c", "n"]).select("key", "n", "c", block.alias("block")))
     span = blocks.groupBy("c", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    near = span.join(span.toDF("c", "block2", "lo2", "hi2"), "c").filter((F.col("block") <= F.col("block2")) & (100 * F.col("hi") >= PERCENT * F.col("lo2")))
+    near = span.join(span.toDF("c", "block2", "lo2", "hi2"), "c").filter((F.col("block") <= F.col("block2")) & (100 * F.col("hi") >= percent * F.col("lo2")))
     near = stored(near.select("c", "block", "block2"))
     low = blocks.join(near, ["c", "block"]).select("key", task_of("c", "block", "block2"), F.lit(0).alias("side"))
     high = blocks.join(near.filter("block < block2").toDF("c", "first", "block"), ["c", "block"]).select("key", task_of("c", "first", "block"), F.lit(1).alias("side"))
@@ -291,7 +291,7 @@ def linked_sets(sets: DataFrame, reps: DataFrame) -> DataFrame:
     def run_task(group: pa.Table) -> pa.Table:
         keys = group.column("key").to_pylist()
         arrays = [np.asarray(x) for x in group.column("grams").combine_chunks().to_numpy(zero_copy_only=False)]
-        pairs = links_among(arrays, group.column("side").to_pylist())
+        pairs = links_among(arrays, group.column("side").to_pylist(), percent)
         return pa.table({"a": pa.array([keys[x] for x, _ in pairs], pa.int64()), "b": pa.array([keys[y] for _, y in pairs], pa.int64())})
 
     tasks = alone.unionByName(low).unionByName(high).join(reps.select("key", F.col("rep").alias("doc_id")), "key")
@@ -299,12 +299,12 @@ def linked_sets(sets: DataFrame, reps: DataFrame) -> DataFrame:
     return met.groupBy("task").applyInArrow(run_task, "a long, b long")
 
 
-def similar_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
-    counts = stored(set_sizes(docs, width))
+    counts = stored(set_sizes(docs, width, percent))
     sets = stored(sets_of(docs, counts.filter("open").select("doc_id"), width).withColumn("key", F.xxhash64("name")))
     keyed = stored(sets.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")))
-    links = linked_sets(sets, keyed)
+    links = linked_sets(sets, keyed, percent)
     at = keyed.select("key", "rep")
     between = links.join(at.toDF("a", "ra"), "a").join(at.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     copies = sets.select("key", "doc_id").join(at, "key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

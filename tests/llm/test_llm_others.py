@@ -6,10 +6,10 @@ import random
 
 import numpy as np
 import pytest
-from fixtures_llm import DOCUMENTS, corpus, frame, odd
+from fixtures_llm import DOCUMENTS, corpus, frame, odd, prose, shingles
 
 import corpus_pipeline
-from estatelens.llm import chat, mixing, vectors
+from estatelens.llm import chat, jaccard, mixing, vectors
 from estatelens.llm.components import components
 
 
@@ -159,3 +159,33 @@ def test_pipeline_equals_brute_force(spark):
         tokens[p.doc_id] += p.length
         assert len(p.ids) == 4 * p.length
     assert set(tokens) == {i for i, n in copies.items() if n} and all(tokens[i] % copies[i] == 0 for i in tokens)
+
+
+def test_near_duplicates_stage_at_five_words_and_four_fifths(spark):
+    rng = random.Random(8)
+    base = prose(rng, 1000).split()
+
+    def edited(n, step):
+        return " ".join(f"edit{n}x{i}" if i % step == step // 2 and i // step < n else w for i, w in enumerate(base))
+
+    texts = [" ".join(base), edited(21, 45), edited(25, 40), prose(rng, 300), prose(rng, 30)]
+    rows = [(i, t, "en", "s1", len(t)) for i, t in enumerate(texts)]
+    sets = [shingles(t, 5) for t in texts]
+    linked = [(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert linked == [(0, 1)] and 0.80 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) <= 0.82
+    four = [shingles(t, 4) for t in texts]
+    assert 100 * len(four[0] & four[1]) < 85 * len(four[0] | four[1])
+    assert {r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, frame(spark, rows), "").collect()} == {0, 2, 3, 4}
+
+
+@pytest.mark.parametrize("block", [1 << 20, 400])
+def test_near_duplicates_stage_equals_all_pairs(monkeypatch, spark, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rows = corpus()
+    sets = {r[0]: shingles(r[1], 5) for r in rows}
+    near = {a: [b for b in sets if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])] for a in sets}
+    component = {a: a for a in sets}
+    for _ in sets:
+        component = {a: min([component[a], *(component[b] for b in near[a])]) for a in sets}
+    got = {r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, frame(spark, rows), "").collect()}
+    assert got == {a for a in sets if component[a] == a}
