@@ -15,6 +15,8 @@ from estatelens.session import stored
 
 #: Near duplicates share 80 % of their shingles of five words; op10's query has values of its own.
 NEAR_WIDTH, NEAR_PERCENT = 5, 80
+#: Passages of over 50 words that repeat go, whatever their bytes; op2's query looks at 400 bytes alone.
+PASSAGE_WORDS = 51
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,15 +36,20 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
 
 
-def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that occur more than once; a character goes if all its bytes do."""
-    cut = repeats.remove_repeats(docs)
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int | None = None) -> DataFrame:
+    """Texts without the strings of 400 bytes, or of ``words`` whole words, that occur more than once; a character goes if all its bytes do."""
+    cut = repeats.remove_repeats(docs, words=words)
     changed = {"text": F.when(F.col("text").isNotNull(), F.col("kept_text"))}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col("text").isNotNull(), F.char_length("kept_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return cut.withColumns(changed).select(*docs.columns)
 
 
+def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """:func:`cut_repeats` of passages of over 50 words too."""
+    return cut_repeats(spark, docs, sf_dir, PASSAGE_WORDS)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     tie = F.xxhash64("text").alias("_tie")
@@ -62,7 +69,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("language", keep_languages),
     ("near_duplicates", keep_one_of_each),
-    ("repeats", cut_repeats),
+    ("repeats", cut_passages),
     ("mix", mix_sources),
     ("pack", pack_sequences),
 ]

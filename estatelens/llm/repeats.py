@@ -17,7 +17,10 @@ without comparing texts with each other:
    not fit a shard; its windows are counted by 128-bit hash instead, spread
    over all tasks.
 
-Results go back to every place of a piece. Defined cases: null text is empty
+Results go back to every place of a piece. Where a number of words is given,
+strings of so many whole words that occur more than once go too, whatever their
+bytes: windows of words meet by an anchor of words as in 1 and 2, and those of
+an anchor's different pieces are counted by 128-bit hash as in 4. Defined cases: null text is empty
 and stays null in the text column; texts shorter than ``LENGTH`` lose nothing;
 repeated rows and equal texts count as copies of each other; a null doc_id is
 an id like others; an empty table gives no rows. Extra columns are kept, those
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from estatelens.llm.suffixes import repeated_starts
-from estatelens.llm.words import BASE, BASE_INVERSE, byte_codes, mixed, pieces_of, powers
+from estatelens.llm.words import BASE, BASE_INVERSE, WordHasher, byte_codes, mixed, pieces_of, powers
 from estatelens.session import stored
 
 LENGTH = 400
@@ -213,6 +216,114 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     return spans.groupBy("_id", "_tie").agg(F.collect_set("s").alias("spans"))
 
 
+PASSAGE_GRAM = 8
+
+
+class Passages:
+    """Windows of whole words and their pieces: as :class:`Anchors`, with words in place of bytes."""
+
+    def __init__(self, words: int, gram: int = PASSAGE_GRAM) -> None:
+        self.words, self.gram = words, gram
+        self.one, self.two = WordHasher(), WordHasher()
+        self.one.codes, self.two.codes = byte_codes(21), byte_codes(77)  # letters keep their case
+
+    def sections(self, texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
+        """Batches of (text, first byte, bytes); the sections of a long text share all but one word of a window."""
+        batch: list[tuple[int, int, bytes]] = []
+        size = 0
+        for i, t in enumerate(texts):
+            if len(t) > SECTION:
+                _, starts, ends, _ = self.one.spans([t])
+                for at in range(0, max(0, len(starts) - self.words + 1), SECTION // 8):
+                    lo, hi = starts[at] - 1, ends[min(at + SECTION // 8 + self.words - 2, len(ends) - 1)] - 1
+                    yield [(i, int(lo), t[lo:hi])]
+                continue
+            if batch and size + len(t) > SECTION:
+                yield batch
+                batch, size = [], 0
+            batch.append((i, 0, t))
+            size += len(t)
+        if batch:
+            yield batch
+
+    def windows(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        """The joined texts, first and past-last byte of each word, and of each window its text and first word; where each text begins."""
+        buffer, starts, ends, first = self.one.spans(texts)
+        many = np.maximum(np.diff(first) - self.words + 1, 0)
+        text = np.repeat(np.arange(len(texts)), many)
+        word = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many) + first[:-1][text]
+        begin = np.cumsum([1, *(len(t) + 1 for t in texts)])[:-1]
+        return np.frombuffer(buffer, dtype=np.uint8), starts, ends, text, word, begin
+
+    def pieces(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Text, first and past-last byte, anchor and content hash of each piece."""
+        import xxhash
+
+        data, starts, ends, text, word, begin = self.windows(texts)
+        if not len(word):
+            return tuple(np.empty(0, dtype=np.int64) for _ in range(5))
+        m = len(starts) - self.gram + 1
+        hashes = self.one.hashes(data, starts[:m], ends[self.gram - 1 :])
+        least = (hashes >> np.uint64(_PLACE_BITS) << np.uint64(_PLACE_BITS)) | np.arange(m, dtype=np.uint64)
+        width, have = self.words - self.gram + 1, 1
+        while 2 * have <= width:
+            least = np.minimum(least[:-have], least[have:])
+            have *= 2
+        if have < width:
+            least = np.minimum(least[: have - width], least[width - have :])
+        anchor = (least[word] & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
+        new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))
+        last = np.append(new[1:], len(word)) - 1
+        lo, hi, own = starts[word[new]], ends[word[last] + self.words - 1], text[new]
+        view = memoryview(data)
+        content = np.array([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], dtype=np.uint64)
+        return own, lo - begin[own], hi - begin[own], hashes[anchor[new]].view(np.int64), content.view(np.int64)
+
+    def hashed(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Text, first and past-last byte and both hashes of each window."""
+        data, starts, ends, text, word, begin = self.windows(texts)
+        lo, hi = starts[word], ends[word + self.words - 1]
+        return text, lo - begin[text], hi - begin[text], self.one.hashes(data, lo, hi).view(np.int64), self.two.hashes(data, lo, hi).view(np.int64)
+
+
+def passage_spans(docs: DataFrame, words: int) -> DataFrame:
+    """As :func:`repeated_spans`, of strings of ``words`` whole words."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passages = Passages(words)
+        for rows, texts in pieces_of(batches):
+            for batch in passages.sections(texts):
+                own, lo, hi, anchor, content = passages.pieces([b for _, _, b in batch])
+                text, at = np.array([i for i, _, _ in batch])[own], np.array([a for _, a, _ in batch])[own]
+                columns = [rows.column(0).take(pa.array(text)), rows.column(1).take(pa.array(text)), *map(pa.array, (lo + at, hi + at, anchor, content))]
+                yield pa.RecordBatch.from_arrays(columns, ["_id", "_tie", "lo", "hi", "anchor", "content"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passages = Passages(words)
+        for rows, texts in pieces_of(batches):
+            given = [(p, t[p["lo"] : p["hi"]]) for t, ps in zip(texts, rows.column(1).to_pylist(), strict=True) for p in ps]
+            own, lo, hi, one, two = passages.hashed([b for _, b in given])
+            anchor, content, copies = (np.array([p[c] for p, _ in given], dtype=np.int64)[own] for c in ("anchor", "content", "copies"))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (anchor, content, copies, lo, hi, one, two))], ["anchor", "content", "copies", "lo", "hi", "h1", "h2"])
+
+    given = docs.select(*_identity(docs), F.col("text").cast("string").alias("text"))
+    places = stored(given.mapInArrow(cut, "_id long, _tie long, lo long, hi long, anchor long, content long"))
+    by_anchor = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("one"), F.max("content").alias("other")).filter("n > 1").select("anchor", (F.col("one") != F.col("other")).alias("differ"))
+    distinct = places.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("_id", "_tie", "lo", "hi")).alias("at"))
+    distinct = stored(distinct.join(by_anchor, "anchor"))
+    unsure = distinct.groupBy("anchor").agg(F.min("copies").alias("fewest"), F.bool_or("differ").alias("differ")).filter("differ AND fewest = 1").select("anchor")
+    piece = F.struct(F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"), "anchor", "content", "copies")
+    wanted = distinct.join(unsure, "anchor").groupBy(F.col("at._id").alias("_id"), F.col("at._tie").alias("_tie")).agg(F.collect_list(piece).alias("pieces"))
+    windows = given.join(wanted, ["_id", "_tie"]).select("text", "pieces").mapInArrow(count, "anchor long, content long, copies long, lo long, hi long, h1 long, h2 long")
+    windows = stored(windows.dropDuplicates(["anchor", "content", "lo"]))  # a repeated row meets its pieces again
+    many = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h1", "h2")
+    # Pieces with copies repeat whole; the others have one place each.
+    found = windows.filter("copies = 1").join(many, ["h1", "h2"]).select("anchor", "content", F.col("lo").alias("a"), F.col("hi").alias("b"))
+    copied = distinct.filter("copies > 1").select("anchor", "content", F.lit(0).cast("long").alias("a"), (F.col("at.hi") - F.col("at.lo")).alias("b"))
+    spans = places.join(found.unionByName(copied), ["anchor", "content"]).select("_id", "_tie", F.struct((F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi")).alias("s"))
+    return spans.groupBy("_id", "_tie").agg(F.collect_set("s").alias("spans"))
+
+
 ADDED = ["kept", "n_bytes", "n_removed", "n_spans", "kept_text"]
 
 
@@ -231,16 +342,20 @@ def _whole_characters(text: bytes, lo: int, hi: int) -> list[int]:
     return [lo, hi]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int | None = None) -> DataFrame:
     """``docs`` with ``kept`` (the remaining bytes), n_bytes, n_removed, n_spans (maximal removed runs) and ``kept_text``.
 
-    ``kept_text`` keeps a character unless all its bytes are removed.
+    ``kept_text`` keeps a character unless all its bytes are removed. With
+    ``words``, strings of so many whole words that occur more than once go too.
     """
     docs = docs.drop(*[c for c in ADDED if c in docs.columns])
     names = docs.columns
     # Own columns get names that the table does not have.
     by_id, by_tie, own_spans = (next(n for n in (f"_{c}{i}" for i in range(len(names) + 1)) if n not in names) for c in ("id", "tie", "spans"))
-    spans = stored(repeated_spans(docs, length, gram)).toDF(by_id, by_tie, own_spans)
+    spans = repeated_spans(docs, length, gram)
+    if words is not None:
+        spans = spans.unionByName(passage_spans(docs, words)).groupBy("_id", "_tie").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = stored(spans).toDF(by_id, by_tie, own_spans)
     met = docs.withColumns(dict(zip((by_id, by_tie), _identity(docs), strict=True))).join(spans, [by_id, by_tie], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

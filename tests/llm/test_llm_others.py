@@ -3,13 +3,14 @@
 import collections
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
 from fixtures_llm import DOCUMENTS, corpus, frame, odd, prose, shingles
 
 import corpus_pipeline
-from estatelens.llm import chat, jaccard, mixing, vectors
+from estatelens.llm import chat, jaccard, mixing, repeats, vectors
 from estatelens.llm.components import components
 
 
@@ -189,3 +190,48 @@ def test_near_duplicates_stage_equals_all_pairs(monkeypatch, spark, block):
         component = {a: min([component[a], *(component[b] for b in near[a])]) for a in sets}
     got = {r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, frame(spark, rows), "").collect()}
     assert got == {a for a in sets if component[a] == a}
+
+
+def brute_gone(texts, words=51, length=400):
+    """Flags of the bytes in strings of so many bytes or whole words that occur more than once."""
+    at = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for t in texts]
+    spans = [[(i, i + length) for i in range(len(t) - length + 1)] + [(w[i][0], w[i + words - 1][1]) for i in range(len(w) - words + 1)] for t, w in zip(texts, at, strict=True)]
+    kinds = [[len(t) - length + 1 > k for k in range(len(s))] for t, s in zip(texts, spans, strict=True)]
+    seen = collections.Counter((k, t[a:b]) for t, s, ks in zip(texts, spans, kinds, strict=True) for (a, b), k in zip(s, ks, strict=True))
+    gone = [bytearray(len(t)) for t in texts]
+    for t, s, ks, g in zip(texts, spans, kinds, gone, strict=True):
+        for (a, b), k in zip(s, ks, strict=True):
+            if seen[k, t[a:b]] > 1:
+                g[a:b] = b"\1" * (b - a)
+    return gone
+
+
+def test_sections_of_a_long_text_hold_all_its_passages(monkeypatch):
+    monkeypatch.setattr(repeats, "SECTION", 1 << 10)
+    passages, text = repeats.Passages(51), prose(random.Random(9), 2000).encode()
+    found = set()
+    for batch in passages.sections([b"short", text, b""]):
+        own, lo, hi, *_ = passages.hashed([b for _, _, b in batch])
+        found |= {(batch[o][0], batch[o][1] + a, batch[o][1] + b) for o, a, b in zip(own.tolist(), lo.tolist(), hi.tolist(), strict=True)}
+    at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+    assert found == {(1, at[i][0], at[i + 50][1]) for i in range(len(at) - 50)}
+
+
+def test_repeats_stage_removes_passages_of_over_fifty_words(spark):
+    rng = random.Random(6)
+    short, fifty, case = (" ".join(rng.choice("abcdefgh") + str(rng.randrange(99)) for _ in range(n)) for n in (51, 50, 60))
+    texts = [f"{prose(rng, 30)} {p} {prose(rng, 30)}" for p in (short, short, fifty, fifty, case, case.upper())]
+    # Two neighbouring repeats of under 51 words each are no repeat of over 50.
+    texts += [fifty + " " + short[:120] + " end"]
+    rows = [(i, t, "en", "s1", len(t)) for i, t in enumerate(texts)] + [(100 + i, t, "en", "s1", n) for i, t, _, _, n in corpus(4, 20)]
+    rows.append(rows[0])
+    every = [(t or "").encode() for _, t, *_ in rows]
+    gone = brute_gone(every)
+    assert 102 <= sum(gone[1]) < 400 and not any(gone[2]) and not any(gone[4])
+    left = {}
+    for r, own in zip(rows, gone, strict=True):
+        ends = np.cumsum([len(c.encode()) for c in r[1] or ""]).tolist()
+        left[r[0]] = None if r[1] is None else "".join(c for c, a, b in zip(r[1], [0, *ends], ends, strict=False) if not all(own[a:b]))
+    stage = dict(corpus_pipeline.STAGES)["repeats"]
+    got = stage(spark, spark.createDataFrame(rows, DOCUMENTS).repartition(3), "").collect()
+    assert len(got) == len(rows) and {r.doc_id: r.text for r in got} == left
