@@ -3,9 +3,9 @@
 The expression's first alternatives consume comments, string, raw and rune
 literals, so nothing inside them is taken for code. A call is consumed with its
 whole argument list, nested brackets included to a fixed depth, so a call in an
-argument is no site of its own. Known gaps: brackets nested deeper than
-``DEPTH`` end the argument text early, and comments between a name and its
-bracket hide the call.
+argument is no site of its own. Known gaps: a call or struct literal with
+brackets nested deeper than ``DEPTH`` is lost, and calls inside it become sites
+in its place; comments between a name and its bracket hide the call.
 """
 
 from __future__ import annotations
