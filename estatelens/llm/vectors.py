@@ -5,17 +5,16 @@ Vectors of unit length are centred, rotated into balanced binary codes
 code is cut into chunks. A table per chunk finds vectors whose chunk differs in
 at most one bit; pairs within a Hamming radius are then compared as they are,
 by cosine in double precision. The number of rotations follows from the chunk
-width and the threshold, so that a pair at the threshold is met with a
+width and from the cosine that a pair at the threshold has after centring, so that a pair at the threshold is met with a
 probability of 0.999 if bits err independently.
 
 The mean and rotations are learned from at most ``MOST_SAMPLED`` vectors, the
-first in hash order; every vector is indexed and searched.
+first in hash order, of each dimension; every vector is indexed and searched.
 
 Vectors with equal numbers are one for the search, with their count, so large
 groups of copies cost nothing. Defined cases: a null vector, one with a null,
 infinite or not-a-number component, without components or of zero length links
-with nothing; vectors of another dimension than most sampled ones are compared
-among their like only by equality; a null vec_id is a vector of its own that
+with nothing; vectors of each dimension are searched by themselves; a null vec_id is a vector of its own that
 others cannot name; an empty table gives no rows. Extra columns are not read.
 """
 
@@ -23,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -61,14 +61,20 @@ class Codes:
         self.dim = sample.shape[1]
         self.bits = min(64, self.dim)
         self.width = max(1, min(self.bits, max(8, min(24, math.ceil(math.log2(max(2, vectors)))))))
-        err = math.acos(cosine) / math.pi
+        self.mean = sample.mean(axis=0)
+        # A pair keeps its distance when the mean goes, but not its lengths: the shortest in a hundred count.
+        left = max(1e-9, float(np.quantile(((sample - self.mean) ** 2).sum(axis=1), 0.01)))
+        centred = min(cosine, 1 - (1 - cosine) / left)
+        # Where vectors all lie near their mean, too little would be left: they are taken as they are.
+        if centred < 0.5:
+            centred, self.mean = cosine, np.zeros(self.dim)
+        err = math.acos(centred) / math.pi
         met = (1 - err) ** self.width + self.width * err * (1 - err) ** (self.width - 1)
         self.chunks = max(1, self.bits // self.width)
         wanted = math.ceil(math.log(MISSED) / math.log(max(1e-9, 1 - met))) if met < 1 else 1
         self.rotations = max(1, math.ceil(wanted / self.chunks))
         #: Bits of a code that may differ: the mean at the threshold and four deviations.
         self.radius = min(self.bits, math.ceil(self.bits * err + 4 * math.sqrt(self.bits * err * (1 - err))))
-        self.mean = sample.mean(axis=0)
         self.turns = np.concatenate([rotation(sample - self.mean, self.bits, s) for s in range(self.rotations)], axis=1)
 
     def __call__(self, unit: np.ndarray) -> np.ndarray:
@@ -98,12 +104,14 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     good = good.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
     whole = stored(good.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")}))
     kinds = stored(whole.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")).withColumn("key", F.xxhash64("h1", "h2")))
-    rows = kinds.count()
-    sample = kinds.select("v").orderBy("key").limit(MOST_SAMPLED).toArrow().column("v").to_pylist() if rows else []
-    dims = [len(v) for v in sample]
-    dim = max(set(dims), key=lambda d: (dims.count(d), d)) if dims else 0
+    dims = kinds.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").collect()
     whole_rows = whole.select("vec_id", "h1", "h2").join(kinds.select("h1", "h2", "rep", "copies", "key"), ["h1", "h2"]).select("vec_id", "rep", "copies", "key")
-    found = stored(_pairs(kinds.filter(F.size("v") == dim), np.array([v for v in sample if len(v) == dim]), rows, dim, cosine)) if dim else None
+    searched = []
+    for dim, rows in dims:
+        alike = kinds.filter(F.size("v") == dim)
+        sample = np.array(alike.select("v").orderBy("key").limit(MOST_SAMPLED).toArrow().column("v").to_pylist())
+        searched.append(stored(_pairs(alike, sample, rows, dim, cosine)))
+    found = reduce(DataFrame.unionByName, searched) if searched else None
     if found is None:
         ends = degree = None
     else:

@@ -235,3 +235,26 @@ def test_repeats_stage_removes_passages_of_over_fifty_words(spark):
     stage = dict(corpus_pipeline.STAGES)["repeats"]
     got = stage(spark, spark.createDataFrame(rows, DOCUMENTS).repartition(3), "").collect()
     assert len(got) == len(rows) and {r.doc_id: r.text for r in got} == left
+
+
+def test_codes_meet_pairs_of_vectors_with_a_strong_mean():
+    rng = np.random.default_rng(3)
+    v = 0.8 * np.eye(64)[0] + 0.6 * rng.normal(size=(3500, 64)) / 8
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    x, cosine = v[2000:], rng.uniform(0.9, 0.95, (1500, 1))
+    aside = rng.normal(size=x.shape)
+    aside -= (aside * x).sum(axis=1, keepdims=True) * x
+    y = cosine * x + np.sqrt(1 - cosine**2) * aside / np.linalg.norm(aside, axis=1, keepdims=True)
+    codes = vectors.Codes(v[:2000], 20_000)
+    differ = (codes(x) ^ codes(y)).view(np.uint64)
+    chunks = np.stack([differ >> np.uint64(c * codes.width) & np.uint64((1 << codes.width) - 1) for c in range(codes.chunks)])
+    met = (np.bitwise_count(chunks) <= 1) & (np.bitwise_count(differ) <= codes.radius)
+    assert met.any(axis=(0, 2)).mean() >= 0.99
+
+
+def test_vectors_of_every_dimension_are_searched(spark):
+    rng = np.random.default_rng(7)
+    rows = [(100 * k + i, x.tolist()) for k, dim in enumerate((32, 16)) for i, x in enumerate(rng.normal(size=(40 - 10 * k, dim)))]
+    rows += [(1000 + i, [c * 1.01 if n % 2 else c for n, c in enumerate(rows[i][1])]) for i in (0, 45)]
+    got = {r.vec_id: r for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got[1000].component_id == 0 and got[1045].component_id == 105 and got[105].n_links == 1
