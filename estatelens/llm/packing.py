@@ -15,6 +15,7 @@ table gives no pieces. Extra columns are not read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,6 +33,8 @@ END_ID = 1
 HASHED = 1024
 DIMS, BITS = 3, 16
 CACHED_WORDS = 500_000
+#: One word to the tokenizer, lower-cased by Python as by it, and in normal form already.
+LATIN_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
 
 def default_tokenizer() -> str:
@@ -46,14 +49,26 @@ class WordTokenizer:
 
     A unit is a word, cut where one of ``.,!?;:`` follows an ASCII letter or
     digit: the tokenizer ends a token in both places whatever stands around.
-    New units are encoded as one text, with a special token between them.
+    New units are encoded as one text, with a special token between them. Units
+    of Latin letters alone are one word whose case is all there is to normalize,
+    so they go to the vocabulary's merges without the search for word ends; their
+    last tokens carry the word end.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, end_id: int = END_ID) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
+        self.end_id = end_id
         self.tokenizer = Tokenizer.from_file(path)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.merges = Tokenizer.from_file(path) if suffix else None
+        if suffix:
+            self.merges.normalizer = None
+            self.merges.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.word_end = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+            self.word_end[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
         special = self.tokenizer.get_added_tokens_decoder()
         self.mark_id = min(special)
         self.mark = special[self.mark_id].content
@@ -66,12 +81,14 @@ class WordTokenizer:
         self._clear()
 
     def _clear(self) -> None:
-        self.rows: dict[int, int] = {}
+        self.keys, self.rows = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)  # sorted hashes of known units, their numbers
         self.start, self.size = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
         self.flat, self.used = np.zeros(1 << 18, dtype=np.uint32), 0
 
     def _encoded(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all units in a row, and how many each has."""
+        if not units:
+            return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
         if any(s.decode() in "".join(units) for s in self.special):
             each = [e.ids for e in self.tokenizer.encode_batch(units, add_special_tokens=False)]
             return np.array([i for ids in each for i in ids], dtype=np.uint32), np.array(list(map(len, each)))
@@ -79,9 +96,20 @@ class WordTokenizer:
         marks = np.flatnonzero(ids == self.mark_id)
         return np.delete(ids, marks), np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1
 
-    def _learn(self, keys: list[int], units: list[str]) -> None:
-        ids, sizes = self._encoded(units)
-        at, n = len(self.rows), len(keys)
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """:func:`_encoded` of units of Latin letters."""
+        if not words:
+            return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+        ids = np.array(self.merges.encode_batch_fast([" ".join(words).lower()], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        return ids, np.diff(np.concatenate([[-1], np.flatnonzero(self.word_end[ids])]))
+
+    def _learn(self, keys: np.ndarray, units: list[str]) -> np.ndarray:
+        """Keeps the ids of new units, whose sorted hashes are ``keys``; their numbers."""
+        plain = np.array([bool(self.merges and LATIN_WORD(u)) for u in units], dtype=bool)
+        letters, others = np.flatnonzero(plain), np.flatnonzero(~plain)
+        (ids, sizes), (rest, more) = self._merged([units[i] for i in letters.tolist()]), self._encoded([units[i] for i in others.tolist()])
+        ids, sizes = np.concatenate([ids, rest]), np.concatenate([sizes, more])
+        at, n = len(self.keys), len(keys)
         if at + n > len(self.start):
             self.start, self.size = (np.resize(x, 2 * (at + n)) for x in (self.start, self.size))
         if self.used + len(ids) > len(self.flat):
@@ -90,7 +118,11 @@ class WordTokenizer:
         self.start[at : at + n] = self.used + np.cumsum(sizes) - sizes
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
-        self.rows.update(zip(keys, range(at, at + n), strict=True))
+        number = np.empty(n, dtype=np.int64)
+        number[np.concatenate([letters, others])] = np.arange(at, at + n)
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.rows = np.insert(self.keys, place, keys), np.insert(self.rows, place, number)
+        return number
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         buffer = b" ".join([b"", *texts, b""])
@@ -102,22 +134,24 @@ class WordTokenizer:
         ends = np.flatnonzero(word & np.append(cut[1:] | ~word[1:], True)) + 1
         first = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
         kinds, example, kind = np.unique(hasher.hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.rows) > CACHED_WORDS:
+        if len(self.keys) > CACHED_WORDS:
             self._clear()
-        keys = kinds.tolist()
-        row = np.fromiter((self.rows.get(k, -1) for k in keys), dtype=np.int64, count=len(keys))
+        row = np.full(len(kinds), -1, dtype=np.int64)
+        if len(self.keys):
+            place = np.minimum(np.searchsorted(self.keys, kinds), len(self.keys) - 1)
+            known = self.keys[place] == kinds
+            row[known] = self.rows[place[known]]
         new = np.flatnonzero(row < 0)
         if len(new):
             units = [buffer[a:b].decode("utf-8", "replace") for a, b in zip(starts[example[new]].tolist(), ends[example[new]].tolist(), strict=True)]
-            self._learn(kinds[new].tolist(), units)
-            row[new] = np.arange(len(self.rows) - len(new), len(self.rows))
+            row[new] = self._learn(kinds[new], units)
         each = row[kind]
         size = self.size[each]
         stop = np.cumsum(size)
         total = int(stop[-1]) if len(stop) else 0
         ids = self.flat[np.repeat(self.start[each] - (stop - size), size) + np.arange(total)]
         at = np.concatenate([[0], stop])[first]
-        return [np.append(ids[a:b], np.uint32(END_ID)) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return [np.append(ids[a:b], np.uint32(self.end_id)) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
