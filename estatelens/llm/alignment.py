@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from estatelens.llm.words import pieces_of
+from estatelens.llm.words import WordHasher, byte_codes, pieces_of
 from estatelens.session import stored
 
 #: Text bytes of one slice; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 21
-#: Texts with longer runs of white space go to the library that reads them without recursion.
+#: Longer runs of white space go to the library that reads them without recursion.
 LONG_SPACE = re.compile(r"\s{1000}")
+#: Units and tokens that a task remembers, and units encoded in one call.
+KNOWN_UNITS, KNOWN_TOKENS, ROW = 500_000, 1 << 22, 256
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -47,8 +50,17 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(hidden)}
 
 
+#: A text's ids by either tokenizer, and the ends of its tokens in bytes.
+Tokens = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
 class TokenPair:
-    """Ids of both tokenizers for one text, checked against its bytes."""
+    """Tokens of both tokenizers for many texts, checked against their bytes; each distinct unit is encoded once and remembered.
+
+    A unit starts at a space after a byte that is sure to end no white space.
+    There both tokenizers start a token whatever stands around: the first cuts
+    words before their space, and no piece of the second goes on past one.
+    """
 
     def __init__(self, byte_path: str, piece_path: str) -> None:
         import public_tokenizers
@@ -68,81 +80,159 @@ class TokenPair:
         self.b_bytes = [bytes([int(self.pieces.id_to_piece(i)[3:5], 16)]) if self.pieces.is_byte(i) else self.pieces.id_to_piece(i).replace("▁", " ").encode() for i in range(n)]
         self.a_size, self.b_size = (np.array(list(map(len, x))) for x in (self.a_bytes, self.b_bytes))
         self.a_name, self.b_name = [str(i) for i in range(len(self.a_bytes))], [str(i) for i in range(n)]
-
-    def __call__(self, raw: bytes) -> tuple[list[int], list[int]]:
-        text = raw.decode("utf-8", "replace")
-        spaced = " " + text
-        if LONG_SPACE.search(spaced):
-            a = self.library.encode(spaced, add_special_tokens=False).ids
+        self.separable = not any("▁" in self.pieces.id_to_piece(i).lstrip("▁") for i in range(n))
+        # The last bytes of wide white space are 80 to 8A, 9F, A0, A8, A9 and AF.
+        self.solid = np.array([32 < i != 127 and not 0x7F < i < 0x8B and i not in (0x9F, 0xA0, 0xA8, 0xA9, 0xAF) for i in range(256)])
+        self.hasher = WordHasher()
+        self.hasher.codes = byte_codes()
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.rows = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)  # sorted hashes of known units, their numbers
+        self.spelt = np.zeros(0, dtype=bool)
+        self.ids = [np.zeros(0, dtype=np.int64)] * 2
+        self.start, self.size = [np.zeros(0, dtype=np.int64)] * 2, [np.zeros(0, dtype=np.int64)] * 2
+
+    def _alone(self, unit: str) -> tuple[list[int], list[int], bool]:
+        """Ids of one unit, and whether they spell it."""
+        if LONG_SPACE.search(unit):
+            a = self.library.encode(unit, add_special_tokens=False).ids
         else:
-            a = self.fast.encode_ordinary(spaced)
-        b = self.pieces.encode(text, num_threads=1)
-        whole = b" " + raw
-        if not raw or b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
-            return [], []
-        return a, b
+            a = self.fast.encode_ordinary(unit)
+        # The space before a text is added by the second tokenizer itself, but not to an empty one.
+        b = self.pieces.encode(unit[1:], num_threads=1) if len(unit) > 1 else [self.pieces.piece_to_id("▁")]
+        whole = unit.encode()
+        return a, b, b"".join(map(self.a_bytes.__getitem__, a)) == whole == b"".join(map(self.b_bytes.__getitem__, b))
+
+    def _in_rows(self, units: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]] | None:
+        """Ids of all units one after the other, and how many each has, by either tokenizer; none if they do not spell the units."""
+        texts = [b"".join(units[i : i + ROW]).decode("utf-8", "replace") for i in range(0, len(units), ROW)]
+        ids = list(chain.from_iterable(map(self.fast.encode_ordinary, texts))), list(chain.from_iterable(self.pieces.encode([t[1:] for t in texts], num_threads=1)))
+        whole, ends = b"".join(units), np.cumsum(list(map(len, units)))
+        out, sizes = [], []
+        for own, size, spelling in zip(ids, (self.a_size, self.b_size), (self.a_bytes, self.b_bytes), strict=True):
+            if b"".join(map(spelling.__getitem__, own)) != whole:
+                return None
+            out.append(np.array(own, dtype=np.int64))
+            last = np.searchsorted(np.cumsum(size[out[-1]]), ends)
+            sizes.append(np.diff(np.concatenate([[-1], last])))
+        return out, sizes
+
+    def _learn(self, keys: np.ndarray, units: list[bytes]) -> np.ndarray:
+        """Remembers new units, whose sorted hashes are ``keys``; their numbers."""
+        row = np.array([self.separable and self.solid[u[-1]] and len(u) < 1000 for u in units], dtype=bool)
+        told = self._in_rows([u for u, r in zip(units, row.tolist(), strict=True) if r]) if row.any() else None
+        if told is None:
+            row[:] = False
+        rest = [self._alone(units[i].decode("utf-8", "replace")) for i in np.flatnonzero(~row).tolist()]
+        order = np.concatenate([np.flatnonzero(row), np.flatnonzero(~row)])
+        n = len(self.keys)
+        for side in (0, 1):
+            more = np.array([len(x[side]) for x in rest], dtype=np.int64)
+            new = [*([told[0][side]] if told else []), np.array(list(chain.from_iterable(x[side] for x in rest)), dtype=np.int64)]
+            size = np.concatenate([*([told[1][side]] if told else []), more])
+            self.start[side] = np.concatenate([self.start[side], len(self.ids[side]) + np.cumsum(size) - size])
+            self.size[side] = np.concatenate([self.size[side], size])
+            self.ids[side] = np.concatenate([self.ids[side], *new])
+        self.spelt = np.concatenate([self.spelt, np.ones(int(row.sum()), dtype=bool), np.array([x[2] for x in rest], dtype=bool)])
+        number = np.empty(len(units), dtype=np.int64)
+        number[order] = np.arange(n, n + len(units))
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.rows = np.insert(self.keys, place, keys), np.insert(self.rows, place, number)
+        return number
+
+    def __call__(self, texts: list[bytes]) -> Iterator[Tokens]:
+        """The tokens of each text; none for texts that are empty or that a tokenizer does not spell."""
+        if len(self.keys) > KNOWN_UNITS or max(map(len, self.ids)) > KNOWN_TOKENS:
+            self._clear()
+        buffer = b" " + b" ".join([b"", *texts])
+        data = np.frombuffer(buffer, dtype=np.uint8)
+        sizes = np.array([len(t) + 1 for t in texts])
+        edges = 1 + np.concatenate([[0], np.cumsum(sizes)])
+        begins = np.zeros(len(data), dtype=bool)
+        begins[1:] = (data[1:] == 32) & self.solid[data[:-1]]
+        begins[edges[:-1]] = True
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], len(data))
+        first = np.searchsorted(starts, edges)
+        kinds, example, kind = np.unique(self.hasher.hashes(data, starts, ends), return_index=True, return_inverse=True)
+        row = np.full(len(kinds), -1, dtype=np.int64)
+        if len(self.keys):
+            place = np.minimum(np.searchsorted(self.keys, kinds), len(self.keys) - 1)
+            known = self.keys[place] == kinds
+            row[known] = self.rows[place[known]]
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            row[new] = self._learn(kinds[new], [buffer[a:b] for a, b in zip(starts[example[new]].tolist(), ends[example[new]].tolist(), strict=True)])
+        each = row[kind]
+        wrong = np.concatenate([[0], np.cumsum(~self.spelt[each])])
+        sides = []
+        for side, bytes_of in ((0, self.a_size), (1, self.b_size)):
+            size = self.size[side][each]
+            stop = np.cumsum(size)
+            ids = self.ids[side][np.repeat(self.start[side][each] - (stop - size), size) + np.arange(stop[-1])]
+            sides.append((ids, np.cumsum(bytes_of[ids]), np.concatenate([[0], stop])[first]))
+        (a, a_ends, a_at), (b, b_ends, b_at) = sides
+        for n, text in enumerate(texts):
+            if text and wrong[first[n]] == wrong[first[n + 1]]:
+                own, other = slice(a_at[n], a_at[n + 1]), slice(b_at[n], b_at[n + 1])
+                a_before, b_before = (x[s.start - 1] if s.start else 0 for x, s in ((a_ends, own), (b_ends, other)))
+                yield a[own], b[other], a_ends[own] - a_before, b_ends[other] - b_before
+            else:
+                yield a[:0], b[:0], a_ends[:0], b_ends[:0]
+
 
-    def ends(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-        return np.cumsum(self.a_size[a]).tolist(), np.cumsum(self.b_size[b]).tolist()
+#: (straight, first and end index in the first list, first and end index in the second).
+Stretch = tuple[bool, int, int, int, int]
 
 
-def stretches(a: list[int], b: list[int]) -> Iterator[tuple[bool, int, int, int, int]]:
-    """(straight, first and end index in a, first and end index in b) of consecutive stretches.
+def stretches(a: list[int], b: list[int]) -> tuple[list[Stretch], list[int], list[int]]:
+    """Consecutive stretches of two lists of increasing ends with the same last one, and the indices of all token pairs whose bytes overlap, in order.
 
-    ``a`` and ``b`` are increasing ends with the same last one. A straight
-    stretch pairs its tokens one to one; any other is a single group.
+    A straight stretch pairs its tokens one to one; any other is a single group.
     """
+    out: list[Stretch] = []
+    left: list[int] = []
+    right: list[int] = []
     i = j = 0
     n = len(a)
     while i < n:
+        x, y = i, j
         if a[i] == b[j]:
-            first, shift, step = i, j - i, 1
+            shift, step = j - i, 1
             i += 1
             while a[i : i + step] == b[i + shift : i + shift + step] and i < n:
-                i = min(n, i + step)
+                i += step
                 step *= 2
             while step > 1 and i < n:
                 step //= 2
                 if a[i : i + step] == b[i + shift : i + shift + step]:
-                    i = min(n, i + step)
-            yield True, first, i, j, i + shift
+                    i += step
+            i = min(i, n)
             j = i + shift
+            out.append((True, x, i, y, j))
+            left.extend(range(x, i))
+            right.extend(range(y, j))
         else:
-            x, y, end, other = i, j, a[i], b[j]
+            end, other = a[i], b[j]
             while end != other:
+                left.append(i)
+                right.append(j)
                 if end < other:
                     i += 1
                     end = a[i]
                 else:
                     j += 1
                     other = b[j]
-            i += 1
-            j += 1
-            yield False, x, i, y, j
-
-
-def links(parts: list[tuple[bool, int, int, int, int]], a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    """Indices of all token pairs whose bytes overlap, in order."""
-    left: list[int] = []
-    right: list[int] = []
-    for straight, i, i2, j, j2 in parts:
-        if straight:
-            left.extend(range(i, i2))
-            right.extend(range(j, j2))
-            continue
-        while True:
             left.append(i)
             right.append(j)
-            if a[i] == b[j]:
-                break
-            if a[i] < b[j]:
-                i += 1
-            else:
-                j += 1
-    return left, right
+            i += 1
+            j += 1
+            out.append((False, x, i, y, j))
+    return out, left, right
 
 
-def group_text(parts: list[tuple[bool, int, int, int, int]], a: list[str], b: list[str]) -> str:
+def group_text(parts: list[Stretch], a: list[str], b: list[str]) -> str:
     """``a1,a2|b1;a3|b2,b3``: the ids of each group."""
     out: list[str] = []
     for straight, i, i2, j, j2 in parts:
@@ -167,11 +257,10 @@ def alignments(docs: DataFrame, byte_tokenizer: str | None = None, piece_tokeniz
         pair = TokenPair(*paths)
         for rows, texts in pieces_of(batches):
             out = []
-            for raw in texts:
-                a, b = pair(raw)
-                a_ends, b_ends = pair.ends(a, b)
-                cuts = [(x, y) for straight, i, i2, j, j2 in stretches(a_ends, b_ends) for x, y in (zip(range(i + 1, i2 + 1), range(j + 1, j2 + 1), strict=True) if straight else [(i2, j2)])]
-                out.append((a, b, [x for x, _ in cuts], [y for _, y in cuts], [a_ends[x - 1] for x, _ in cuts]))
+            for a, b, a_ends, b_ends in pair(texts):
+                a_list = a_ends.tolist()
+                cuts = [(x, y) for straight, i, i2, j, j2 in stretches(a_list, b_ends.tolist())[0] for x, y in (zip(range(i + 1, i2 + 1), range(j + 1, j2 + 1), strict=True) if straight else [(i2, j2)])]
+                out.append((a, b, [x for x, _ in cuts], [y for _, y in cuts], [a_list[x - 1] for x, _ in cuts]))
             columns = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(c, pa.list_(pa.int32())) for c in columns)], ["doc_id", "a_ids", "b_ids", "a_ends", "b_ends", "byte_ends"])
 
@@ -216,16 +305,13 @@ def aligned(docs: DataFrame, byte_tokenizer: str | None = None, piece_tokenizer:
         number = TaskContext.get().partitionId() << 32
         for rows, texts in pieces_of(batches, limit=SLICE_BYTES):
             out, own = [], []
-            for doc_id, raw in zip(rows.column(0).to_pylist(), texts, strict=True):
-                a, b = pair(raw)
-                a_ends, b_ends = pair.ends(a, b)
-                parts = list(stretches(a_ends, b_ends))
-                left, right = links(parts, a_ends, b_ends)
-                linked = np.array(a, dtype=np.int64)[left] << 32 | np.array(b, dtype=np.int64)[right]
+            for doc_id, (a, b, a_ends, b_ends) in zip(rows.column(0).to_pylist(), pair(texts), strict=True):
+                parts, left, right = stretches(a_ends.tolist(), b_ends.tolist())
+                linked = a[np.array(left, dtype=np.int64)] << 32 | b[np.array(right, dtype=np.int64)]
                 kinds, times = np.unique(linked, return_counts=True)
-                text = group_text(parts, [pair.a_name[x] for x in a], [pair.b_name[x] for x in b])
+                text = group_text(parts, list(map(pair.a_name.__getitem__, a.tolist())), list(map(pair.b_name.__getitem__, b.tolist())))
                 groups = sum(i2 - i if straight else 1 for straight, i, i2, _, _ in parts)
-                out.append((number, doc_id, len(a), len(b), groups, len(left), hashlib.sha256(text.encode()).hexdigest() if a else ""))
+                out.append((number, doc_id, len(a), len(b), groups, len(left), hashlib.sha256(text.encode()).hexdigest() if len(a) else ""))
                 own.append((kinds, times))
             pairs, place = np.unique(np.concatenate([k for k, _ in own]), return_inverse=True)
             held = np.split(place, np.cumsum([len(k) for k, _ in own])[:-1])
