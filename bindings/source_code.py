@@ -257,14 +257,18 @@ _PART = "regexp_extract(path, '_(\\d+)(?:_|\\.|/)', 1)"
 _NUM = "CAST(regexp_extract(path, '_([0-9]+)(_repos?|_adapter)?(\\.[a-z]+|/main\\.go)$', 1) AS BIGINT)"
 # What each template of the corpus says, by the name of its file: an account of
 # the facts that owes nothing to the lexer under test.
-GO_FACTS_SQL = f"""gp AS (SELECT project_id, path, {_NUM} AS k FROM go_files WHERE regexp_matches(path, '^(internal/(web|jobs|mq|io)|cmd)/')),
+GO_FACTS_SQL = f"""gp AS (SELECT project_id, path, {_NUM} AS k FROM go_files WHERE regexp_matches(path, '^(internal/(web|jobs|mq|io|deep)|cmd)/')),
 gq AS (SELECT *, k % 24 AS m, concat(' at ', path, ':') AS w FROM gp),
 go_http AS (SELECT project_id, unnest(['in', 'out', 'in', 'out', 'in', 'out']) AS direction,
   unnest(['http_request', 'http_response', 'http_request', 'http_response', 'http_request', 'http_response']) AS category,
   unnest([concat('HTTP GET /p', k, ' via http.HandleFunc()', w, 8), concat('HTTP GET response for /p', k, ' via http.HandleFunc()', w, 8),
    concat('HTTP ANY /h', m, ' via mux.Handle()', w, 9), concat('HTTP ANY response for /h', m, ' via mux.Handle()', w, 9),
    concat('HTTP request <dynamic', w, '10 on mux>'), concat('HTTP response <dynamic', w, '10 on mux>')]) AS description
-  FROM gq WHERE regexp_matches(path, '^internal/web/')),
+  FROM gq WHERE regexp_matches(path, '^internal/web/')
+  UNION ALL SELECT project_id, unnest(['in', 'out', 'in', 'out']), unnest(['http_request', 'http_response', 'http_request', 'http_response']),
+  unnest([concat('HTTP ANY /deep/p', k, ' via http.HandleFunc()', w, 8), concat('HTTP ANY response for /deep/p', k, ' via http.HandleFunc()', w, 8),
+   concat('HTTP request <dynamic', w, '9 on mux>'), concat('HTTP response <dynamic', w, '9 on mux>')])
+  FROM gq WHERE regexp_matches(path, '^internal/deep/')),
 go_sched AS (SELECT project_id, 'in' AS direction, 'scheduled_event' AS category, unnest(
   CASE WHEN regexp_matches(path, '^internal/jobs/j') THEN
    [concat('scheduled (cron, seconds-precision) 0 ', m, ' * * * * via c.AddFunc()', w, 5), concat('scheduled (cron, seconds-precision) <dynamic> via c.AddJob()', w, 6),
@@ -273,17 +277,21 @@ go_sched AS (SELECT project_id, 'in' AS direction, 'scheduled_event' AS category
   FROM gq WHERE regexp_matches(path, '^internal/jobs/')),
 go_mq AS (SELECT project_id, unnest(['in', 'out']) AS direction, unnest(['message_consumed', 'message_published']) AS category,
   unnest([concat('activemq message consumed from Q', m, '.IN via sub.Subscribe()', w, 4), concat('activemq message published to <dynamic> via q.SendMessage()', w, 5)]) AS description
-  FROM gq WHERE regexp_matches(path, '^internal/mq/')),
+  FROM gq WHERE regexp_matches(path, '^internal/mq/')
+  UNION ALL SELECT project_id, 'in', 'message_consumed', concat('activemq message consumed from D', m, '.IN via sub.Subscribe()', w, 10) FROM gq WHERE regexp_matches(path, '^internal/deep/')),
 go_fio AS (SELECT project_id, unnest(['in', 'out', 'in', 'in', 'out']) AS direction, unnest(['file_read', 'file_written', 'file_read', 'file_read', 'file_written']) AS category,
   unnest([concat('file read in', m, '.csv via os.Open()', w, 4), concat('file written <dynamic> via ioutil.WriteFile()', w, 5), concat('file read a', m, '.log via os.OpenFile()', w, 6),
    concat('file read b', m, '.log via os.OpenFile()', w, 7), concat('file written b', m, '.log via os.OpenFile()', w, 7)]) AS description
-  FROM gq WHERE regexp_matches(path, '^internal/io/')),
+  FROM gq WHERE regexp_matches(path, '^internal/io/')
+  UNION ALL SELECT project_id, 'in', 'file_read', unnest([concat('file read <dynamic> via os.Open()', w, 11), concat('file read d', m, '.csv via os.Open()', w, 12)])
+  FROM gq WHERE regexp_matches(path, '^internal/deep/')),
 go_cli AS (SELECT project_id, 'in' AS direction, 'cli_argument' AS category, unnest([concat('binary ', split_part(path, '/', 2), ' via func main()', w, 4),
    concat('flag f', m, ' via flag.String()', w, 5), concat('flag parsing invoked via flag.Parse()', w, 6)]) AS description
   FROM gq WHERE regexp_matches(path, '^cmd/'))"""
-CALL_SITES_SQL = f"""gs AS (SELECT project_id, path FROM go_files WHERE regexp_matches(path, '^(internal/(web|jobs|mq|io|repository)/|cmd/|internal/helper)')),
+CALL_SITES_SQL = f"""gs AS (SELECT project_id, path FROM go_files WHERE regexp_matches(path, '^(internal/(web|jobs|mq|io|deep|repository)/|cmd/|internal/helper)')),
 facts AS (SELECT project_id, path, unnest(CASE
   WHEN regexp_matches(path, '^internal/web/') THEN ['7|func||Routes|-1', '8|call|http|HandleFunc|2', '9|call|mux|Handle|2', '10|call|mux|Handle|2']
+  WHEN regexp_matches(path, '^internal/deep/') THEN ['7|func||Run|-1', '8|call|http|HandleFunc|2', '9|call|mux|Handle|2', '10|call|sub|Subscribe|4', '11|call|os|Open|1', '12|call|os|Open|1']
   WHEN regexp_matches(path, '^internal/jobs/j') THEN ['3|func||Run|-1', '4|call|cron|New|1', '5|call|c|AddFunc|2', '6|call|c|AddJob|2', '7|call|time|NewTicker|2']
   WHEN regexp_matches(path, '^internal/jobs/k') THEN ['3|func||Run|-1', '4|call|s|AddFunc|2', '5|call|time|AfterFunc|2']
   WHEN regexp_matches(path, '^internal/mq/') THEN ['3|func||Run|-1', '4|call|sub|Subscribe|4', '5|call|q|SendMessage|4']

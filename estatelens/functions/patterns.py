@@ -36,7 +36,7 @@ def _newlines(c: str) -> str:
     return f"length({c}) - length(replace({c}, chr(10), ''))"
 
 
-def _matches(rule: Rule, width: int) -> Column:
+def _matches(rule: Rule, width: int, texts: bool) -> Column:
     """Array of match structs of one rule; null when the pattern does not occur."""
     text, pattern = f"_{rule.view}", sql_literal(rule.pattern)
     groups = "".join(f", regexp_extract_all({text}, {pattern}, {g})" for g in rule.groups)
@@ -44,6 +44,7 @@ def _matches(rule: Rule, width: int) -> Column:
     kept = "".join(
         f", 'g{n + 1}', {f'x.`{n + 2}`' if n < len(rule.groups) else 'CAST(NULL AS STRING)'}" for n in range(width)
     )
+    kept += ", 'm', x.`0`, 'gap', x.`1`" * texts
     return F.expr(
         f"CASE WHEN {text} RLIKE {pattern} THEN transform(filter("
         f"arrays_zip(regexp_extract_all({text}, {pattern}, 0), split({text}, {pattern}, -1){groups}), x -> x.`0` IS NOT NULL),"
@@ -58,17 +59,19 @@ def regex_hits(
     content: str = "content",
     key: list[str] | None = None,
     views: dict[str, Column] | None = None,
+    texts: bool = False,
 ) -> DataFrame:
     """One row per match: key, rule, g1.., start, end and line of the match.
 
     All rules share one pass over the texts, one exchange and one sort by file
-    key. A file is at most one megabyte by admission, which bounds every
-    window. ``views`` are other renderings of the same text, of equal length.
+    key; a window holds the matches of one file. ``views`` are other renderings
+    of the same text, of equal length. With ``texts`` the match (m) and the text
+    before it since the last match (gap) come too.
     """
     key = key or FILE_KEY
     views = {"text": F.col(content)} | (views or {})
     width = max(1, *(len(r.groups) for r in rules))
-    per_rule = [_matches(r, width) for r in rules]
+    per_rule = [_matches(r, width, texts) for r in rules]
     hits = F.flatten(F.filter(F.array(*per_rule), lambda a: a.isNotNull()))
     rows = (
         files.select(*key, *[v.alias(f"_{name}") for name, v in views.items()])
@@ -86,6 +89,7 @@ def regex_hits(
         (end - F.col("m_len")).cast("int").alias("start"),
         end.cast("int").alias("end"),
         line.cast("int").alias("line"),
+        *["m", "gap"] * texts,
     )
 
 

@@ -1,11 +1,12 @@
-"""Go sources: call sites by one regular expression, classified by columns.
+"""Go sources: call sites by their tokens, classified by columns.
 
 The expression's first alternatives consume comments, string, raw and rune
-literals, so nothing inside them is taken for code. A call is consumed with its
-whole argument list, nested brackets included to a fixed depth, so a call in an
-argument is no site of its own. Known gaps: a call or struct literal with
-brackets nested deeper than ``DEPTH`` is lost, and calls inside it become sites
-in its place; comments between a name and its bracket hide the call.
+literals, so nothing inside them is taken for code. Heads of calls and of struct
+literals are paired with their closing bracket by depth, whatever the nesting
+(:mod:`estatelens.operators.brackets`). A call is consumed with its whole
+argument list, so a call in an argument is no site of its own; one whose bracket
+is not closed by its own kind is no site, and what it holds is looked at alone.
+Known gap: comments between a name and its bracket hide the call.
 """
 
 from __future__ import annotations
@@ -17,13 +18,12 @@ from pyspark.sql import functions as F
 
 from estatelens import rules
 from estatelens.functions.identifiers import binary_name, module_tail, route_path, route_verb
-from estatelens.functions.patterns import FILE_KEY, Rule, regex_hits
+from estatelens.functions.patterns import FILE_KEY
 from estatelens.functions.text import collapse_ws, strip_ws, truncate_words
+from estatelens.operators.brackets import NAMED_MARK, PLAIN_MARK, constructs, filled
 from estatelens.operators.io_rows import IO_COLS, hit, io_seq, text
 from estatelens.sources.admission import is_go_source
 
-DEPTH = 8
-
 # Go's lexical shapes. Possessive loops keep long literals off the JVM stack.
 _LINE_COMMENT = r"//[^\n]*+"
 _BLOCK_COMMENT = r"/\*(?:[^*]|\*(?!/))*+\*/"
@@ -36,29 +36,23 @@ _CHAIN = rf"{_NAME}(?:\s*+\.\s*+{_NAME})*+"
 _RESERVED = r"(?!(?:func|struct|interface|type|import|package|const|var)\b)"
 
 
-def _nested(depth: int) -> str:
-    """Text with balanced brackets down to ``depth``, as one possessive loop."""
-    body = rf"(?:{_ATOM}|[^()\[\]{{}}\"'`/]|/(?![/*]))*+"
-    for _ in range(depth):
-        body = rf"(?:{_ATOM}|[^()\[\]{{}}\"'`/]|/(?![/*])|[(\[{{]{body}[)\]}}])*+"
-    return body
-
-
-_INSIDE = _nested(DEPTH)
 _FUNC = rf"\bfunc\b\s*+(?:\(([^()]*+)\)\s*+)?+({_NAME})(?=\s*+[(\[])"
-_STRUCT = rf"[&*]?(?<![\w]){_RESERVED}{_CHAIN}\s*+\{{\s*+(?!default\b|case\b){_NAME}\s*+:(?!=){_INSIDE}\}}"
-_CALL = rf"(?<!\w)({_RESERVED}{_CHAIN})\s*+\(({_INSIDE})\)"
-SITE_PATTERN = rf"(?s){_ATOM}|{_FUNC}|{_STRUCT}|{_CALL}"
+_STRUCT = rf"[&*]?(?<![\w]){_RESERVED}{_CHAIN}\s*+\{{(?=\s*+(?!default\b|case\b){_NAME}\s*+:(?!=))"
+_CALL = rf"(?<!\w){_RESERVED}{_CHAIN}\s*+\("
+_FUNC_HEAD = rf"\Afunc\b\s*+(?:\(([^()]*+)\)\s*+)?+({_NAME})\z"
+TOKEN_PATTERN = rf"(?s){_ATOM}|{_FUNC}|{_STRUCT}|{_CALL}|[()\[\]{{}},]"
 
+# Over direct texts, where a mark with a number stands for what a bracket holds.
+_REST = rf"(?:{_STRING}|{_RAW}|{_RUNE}|[^,\"'`])"
 _ARG_VALUE = (
-    rf"{_LINE_COMMENT}|{_BLOCK_COMMENT}|{_STRING}|{_RAW}|\d[\w.]*+"
-    rf"|{_RESERVED}{_CHAIN}\s*+\({_INSIDE}\)"
-    rf"|[&*]?{_RESERVED}{_CHAIN}\s*+\{{\s*+{_NAME}\s*+:(?!=){_INSIDE}\}}"
+    rf"{_STRING}|{_RAW}|\d[\w.]*+"
+    rf"|{_RESERVED}{_CHAIN}\s*+\({PLAIN_MARK}\d++{PLAIN_MARK}\)"
+    rf"|[&*]?{_RESERVED}{_CHAIN}\s*+\{{{NAMED_MARK}\d++{NAMED_MARK}\}}"
     rf"|{_RESERVED}{_CHAIN}"
-    rf"|(?:{_ATOM}|[^,()\[\]{{}}\"'`/]|/(?![/*])|[(\[{{]{_INSIDE}[)\]}}])++"
+    rf"|{_REST}++"
 )
 ARG_PATTERN = rf"(?s)(?![\s,])(?:{_ARG_VALUE})"
-FIELD_PATTERN = rf"(?s){_NAME}\s*+:\s*+(?:{_ATOM}|[^,()\[\]{{}}\"'`/]|/(?![/*])|[(\[{{]{_INSIDE}[)\]}}])*+"
+FIELD_PATTERN = rf"(?s){_NAME}\s*+:\s*+{_REST}*+"
 
 _IS_LITERAL = r"(?s)\A(?:\".*\"|`.*`)\z"
 
@@ -124,20 +118,21 @@ def go_call_sites(files: DataFrame) -> DataFrame:
     the file imports the web and wiring libraries.
     """
     src = parsed_sources(files)
-    found = regex_hits(src, [Rule(0, SITE_PATTERN, (1, 2, 3, 4))])
-    chain = F.regexp_replace("g3", r"\s+", "")
-    args = F.filter(
-        F.regexp_extract_all("g4", F.lit(ARG_PATTERN), F.lit(0)), lambda a: ~(a.startswith("//") | a.startswith("/*"))
+    found = constructs(src, TOKEN_PATTERN, "content", FILE_KEY, ("call", "func"))
+    is_func = F.col("kind") == "func"
+    chain = F.regexp_replace(F.regexp_replace("head", r"\(\z", ""), r"\s+", "")
+    args = F.transform(
+        F.regexp_extract_all("direct", F.lit(ARG_PATTERN), F.lit(0)),
+        lambda a: F.regexp_replace(filled(a, F.col("inner")), r"(?s)\s+\z", ""),
     )
-    is_func = F.coalesce(F.col("g2"), F.lit("")) != ""
-    sites = found.filter(is_func | (F.coalesce(F.col("g3"), F.lit("")) != "")).select(
+    sites = found.select(
         *FILE_KEY,
         "start",
         "line",
-        F.when(is_func, "func").otherwise("call").alias("kind"),
-        F.when(is_func, F.coalesce("g1", F.lit(""))).otherwise(F.regexp_extract(chain, r"\A(.*)\.[^.]*\z", 1)).alias("receiver"),
-        F.when(is_func, F.col("g2")).otherwise(F.substring_index(chain, ".", -1)).alias("method"),
-        F.when(~is_func, F.transform(args, lambda a: F.regexp_replace(a, r"(?s)\s+\z", ""))).alias("args"),
+        "kind",
+        F.when(is_func, F.regexp_extract("head", _FUNC_HEAD, 1)).otherwise(F.regexp_extract(chain, r"\A(.*)\.[^.]*\z", 1)).alias("receiver"),
+        F.when(is_func, F.regexp_extract("head", _FUNC_HEAD, 2)).otherwise(F.substring_index(chain, ".", -1)).alias("method"),
+        F.when(~is_func, args).alias("args"),
     )
     flags = src.select(*FILE_KEY, _imports(F.col("content")).alias("im")).select(
         *FILE_KEY,
@@ -254,11 +249,15 @@ def go_broker_io(sites: DataFrame) -> DataFrame:
     rows = _calls(sites).filter(subscribe | send).withColumn(
         "literal", F.when(F.col("method") == "Subscribe", _arg(2)).otherwise(_arg(3))
     )
-    body = F.regexp_extract("literal", r"(?s)\A[^{]*\{(.*)\}\z", 1)
-    fields = F.regexp_extract_all(body, F.lit(FIELD_PATTERN), F.lit(0))
+    place_key = [*FILE_KEY, "at"]
+    literals = rows.select(*FILE_KEY, F.col("start").alias("at"), "literal")
+    bodies = constructs(literals, TOKEN_PATTERN, "literal", place_key, ("struct",)).filter("start = 0")
+    fields = F.regexp_extract_all("direct", F.lit(FIELD_PATTERN), F.lit(0))
     place = F.get(F.filter(fields, lambda f: f.rlike(r"\ADestination\s*:")), F.lit(0))
     value = F.regexp_extract(place, rf"(?s)\ADestination\s*:\s*({_STRING}|{_RAW})", 1)
-    destination = F.when(F.length(value) >= 2, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise("<dynamic>")
+    told = bodies.select(*FILE_KEY, F.col("at").alias("start"), value.alias("value"))
+    rows = rows.join(told, [*FILE_KEY, "start"], "left")
+    destination = F.when(F.length("value") >= 2, F.substring("value", F.lit(2), F.length("value") - 2)).otherwise("<dynamic>")
     recv = F.coalesce(F.nullif("receiver", F.lit("")), F.lit("<unqualified>"))
     took = hit("in", "message_consumed", text("activemq message consumed from ", destination, _via(recv)))
     gave = hit("out", "message_published", text("activemq message published to ", destination, _via(recv)))

@@ -89,6 +89,12 @@ OTHER_FILES = [
     ("app/x@id@.py", "def broken(:\n    SELECT * FROM @t@\n"),
 ]
 
+
+
+def _nested(depth: int, inner: str) -> str:
+    return "w(" * depth + inner + ")" * depth
+
+
 GO_FILES = [
     (
         "internal/repository/r@id@_repo.go",
@@ -146,6 +152,13 @@ GO_FILES = [
         'package adapter\n\nimport (\n\t"go.elastic.co/apm/v2"\n)\n\nconst u = "http://apm@b@:8200"\n',
     ),
     ("ops/@id@.yaml", "cron: '1 1 * * *'\n"),
+    (
+        "internal/deep/d@id@.go",
+        'package deep\n\nimport (\n\t"net/http"\n)\n\nfunc Run() {\n'
+        f'\thttp.HandleFunc("/deep/@t@", {_nested(8, "get")})\n\tmux.Handle({_nested(30, "x, y")}, h)\n'
+        f'\tsub.Subscribe(ctx, a, domain.SubscriberConfig{{Opts: []T{{{_nested(20, "y")}}}, Destination: "D@b@.IN"}}, h)\n'
+        f'\tos.Open({_nested(12, "p[1:2]")})\n\tos.Open("d@b@.csv")\n}}\n',
+    ),
 ]
 
 GO_PROJECT = "s_suppkey % 4 = 0"
