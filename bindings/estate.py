@@ -167,6 +167,35 @@ def conflicts(spark, sf):
     return cf.find_conflicts(summaries(spark, sf))
 
 
+def conflict_numbers(spark, sf):
+    return cf.conflict_counts(cf.responsibility_members(summaries(spark, sf)))
+
+
+def conflict_class_rows(spark, sf):
+    return cf.conflict_classes(cf.responsibility_members(summaries(spark, sf))).drop("set_id")
+
+
+def asked_conflicts(spark, sf):
+    """J4 for the projects that suppliers ask about."""
+    asked = table(spark, sf, "supplier").selectExpr("s_suppkey AS project_id")
+    return cf.conflicts_of(cf.responsibility_members(summaries(spark, sf)), asked)
+
+
+CONFLICT_COUNTS_SQL = f"""
+WITH c AS ({CONFLICTS_SQL}), {TOKENS_SQL.removeprefix('WITH ')},
+m AS (SELECT *, array_to_string(list_sort(ts), ' ') AS whole FROM keyed WHERE purpose_summary <> 'unknown' AND resp_key IS NOT NULL),
+sides AS (SELECT project_id_a AS project_id, basis FROM c UNION ALL SELECT project_id_b, basis FROM c),
+n AS (SELECT project_id, count(*) FILTER (basis = 'overlap') AS n_overlap, count(*) FILTER (basis <> 'overlap') AS n_contradictory FROM sides GROUP BY 1)
+SELECT m.project_id, resp_key, min(m.project_id) OVER (PARTITION BY resp_key, whole) AS representative,
+  coalesce(n_overlap, 0) AS n_overlap, coalesce(n_contradictory, 0) AS n_contradictory FROM m LEFT JOIN n USING (project_id)
+"""
+CONFLICT_CLASSES_SQL = f"""
+WITH {TOKENS_SQL}, m AS (SELECT *, array_to_string(list_sort(ts), ' ') AS whole FROM keyed WHERE purpose_summary <> 'unknown' AND resp_key IS NOT NULL)
+SELECT resp_key, min(project_id) AS representative, count(*) AS n_projects, count(*) FILTER (stance = 'owner') AS n_owners,
+  count(*) FILTER (stance = 'delegator') AS n_delegators FROM m GROUP BY resp_key, whole
+"""
+
+
 # Each project is asked about with its neighbour and with a far one.
 _ASKED = "SELECT doc_id AS project_id_a, doc_id + {n} AS project_id_b FROM documents"
 
@@ -381,10 +410,18 @@ QUERIES = {
     "landed_projects": landed_projects,
     "text_bodies": text_bodies,
     "hub_tables": lambda spark, sf: gr.hub_tables(line_tables(spark, sf)),
+    "edge_classes": lambda spark, sf: gr.edge_classes(line_tables(spark, sf), catalog(spark, sf)),
+    "project_edges": lambda spark, sf: gr.project_edges(line_tables(spark, sf), catalog(spark, sf)),
+    "edges_of_projects": lambda spark, sf: gr.edges_of(
+        line_tables(spark, sf), table(spark, sf, "nation").selectExpr("n_nationkey AS project_id"), catalog(spark, sf)
+    ),
     "graph_nodes": lambda spark, sf: gr.graph_nodes(catalog(spark, sf), line_tables(spark, sf)),
     "graph_state": lambda spark, sf: gr.graph_state(catalog(spark, sf), line_tables(spark, sf)),
     "tables_in_scope": lambda spark, sf: gr.profiles_in_scope(line_tables(spark, sf), catalog(spark, sf)),
     "purpose_conflicts": conflicts,
+    "conflict_counts": conflict_numbers,
+    "conflict_classes": conflict_class_rows,
+    "conflicts_of_projects": asked_conflicts,
     "classify_pairs": classified,
     "pick_purpose": purposes,
     "projects_missing_branch": lambda spark, sf: missing_branch(corpus_projects(spark, sf)),
@@ -458,6 +495,19 @@ SELECT project_id_a, project_id_b, count(*) AS n_edges,
     "hub_tables": f"""
 WITH {TABLES_SQL} SELECT table_name, count(*) AS n_projects, CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) AS n_edges
 FROM tabs GROUP BY 1 HAVING count(*) > 1
+""",
+    "edge_classes": f"""
+WITH {_SCOPED}, c AS (SELECT table_name, count(*) AS n_projects, count(*) FILTER (access_mode = 'unknown') AS n_unknown FROM scoped GROUP BY 1),
+e AS (SELECT table_name, count(*) AS n_edges, count(*) FILTER (contains(label, '[access: unknown]')) AS n_unknown_edges FROM ({EDGES_SQL}) GROUP BY 1)
+SELECT * FROM c JOIN e USING (table_name)
+""",
+    "project_edges": f"""
+WITH e AS ({EDGES_SQL}), s AS (SELECT project_id_a AS project_id, table_name, label FROM e UNION ALL SELECT project_id_b, table_name, label FROM e)
+SELECT project_id, count(DISTINCT table_name) AS n_tables, count(*) AS n_edges, count(*) FILTER (contains(label, '[access: unknown]')) AS n_unknown_edges,
+  CAST(sum(CAST('0x' || substr(md5(concat(table_name, '|', label)), 1, 8) AS BIGINT)) % 1000000000000000 AS BIGINT) AS edges_hash FROM s GROUP BY 1
+""",
+    "edges_of_projects": f"""
+SELECT * FROM ({EDGES_SQL}) WHERE project_id_a IN (SELECT n_nationkey FROM nation) OR project_id_b IN (SELECT n_nationkey FROM nation)
 """,
     "graph_nodes": f"""
 WITH {_SCOPED}, e AS (SELECT a.project_id AS x, b.project_id AS y FROM scoped a JOIN scoped b ON a.table_name = b.table_name AND a.project_id < b.project_id)
@@ -472,6 +522,11 @@ SELECT CASE WHEN c.n = 0 THEN 'empty_catalog' WHEN e.n = 0 THEN 'no_shared_depen
 """,
     "tables_in_scope": f"WITH {_SCOPED} SELECT * FROM scoped",
     "purpose_conflicts": CONFLICTS_SQL,
+    "conflict_counts": CONFLICT_COUNTS_SQL,
+    "conflict_classes": CONFLICT_CLASSES_SQL,
+    "conflicts_of_projects": f"""
+SELECT * FROM ({CONFLICTS_SQL}) WHERE project_id_a IN (SELECT s_suppkey FROM supplier) OR project_id_b IN (SELECT s_suppkey FROM supplier)
+""",
     "classify_pairs": CLASSIFY_SQL,
     "pick_purpose": PURPOSE_SQL,
     "projects_missing_branch": """

@@ -1,10 +1,12 @@
+import collections
+import hashlib
 import itertools
 import random
 
 import pytest
 
-from estatelens.operators.conflicts import classify_pairs, find_conflicts
-from estatelens.operators.graph import connected_projects, graph_nodes, graph_state, hub_tables, shared_table_edges
+from estatelens.operators.conflicts import classify_pairs, conflict_classes, conflict_counts, conflicts_of, find_conflicts, responsibility_members
+from estatelens.operators.graph import connected_projects, edge_classes, edges_of, graph_nodes, graph_state, hub_tables, project_edges, shared_table_edges
 from estatelens.operators.pairs import shared_key_pairs
 
 MODES = ["read", "write", "read_write", "unknown"]
@@ -62,6 +64,43 @@ def test_pairs_of_a_hot_key_spread_over_many_join_keys(spark):
     assert pairs.filter("a_id >= b_id").count() == 0
 
 
+def _code(edge):
+    return int(hashlib.md5(f"{edge[2]}|{edge[3]}".encode()).hexdigest()[:8], 16)
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_factorised_edges_say_what_all_pairs_say(spark, seed):
+    rng = random.Random(seed)
+    rows = [(p, "hub", rng.choice(MODES)) for p in range(60)]
+    rows += [(p, f"t{t}", rng.choice(MODES)) for p, t in {(rng.randrange(60), rng.randrange(30)) for _ in range(90)}]
+    ids = [i for i in range(60) if i % 7]
+    tables, catalog, edges = _tables(spark, rows).repartition(5), _catalog(spark, ids), brute_edges(rows, ids)
+    by_table = collections.Counter(e[2] for e in edges)
+    unknown = collections.Counter(e[2] for e in edges if "unknown" in e[3])
+    got = {r.table_name: (r.n_edges, r.n_unknown_edges) for r in edge_classes(tables, catalog).collect()}
+    assert got == {t: (n, unknown[t]) for t, n in by_table.items()}
+    per = collections.defaultdict(list)
+    for e in edges:
+        per[e[0]].append(e)
+        per[e[1]].append(e)
+    found = {r.project_id: (r.n_tables, r.n_edges, r.n_unknown_edges, r.edges_hash) for r in project_edges(tables, catalog).collect()}
+    assert found == {p: (len({e[2] for e in own}), len(own), sum("unknown" in e[3] for e in own), sum(map(_code, own)) % 10**15) for p, own in per.items()}
+    for asked in ([1, 2, 3, 58, 999], ids, []):
+        df = spark.createDataFrame([(i,) for i in asked + asked[:1]], "project_id long")
+        listed = [tuple(r) for r in edges_of(tables, df, catalog).collect()]
+        assert len(listed) == len(set(listed)) and set(listed) == {e for e in edges if e[0] in asked or e[1] in asked}
+
+
+def test_a_hub_makes_no_pairs(spark):
+    hub = spark.range(200_000).selectExpr("id AS project_id", "'hub' AS table_name", "if(id % 10 = 0, 'unknown', 'read') AS access_mode")
+    row = edge_classes(hub).first()
+    assert (row.n_projects, row.n_edges, row.n_unknown_edges) == (200_000, 200_000 * 199_999 // 2, 200_000 * 199_999 // 2 - 180_000 * 179_999 // 2)
+    totals = project_edges(hub).selectExpr("count(*) AS n", "sum(n_edges) AS e").first()
+    assert (totals.n, totals.e) == (200_000, 200_000 * 199_999)
+    asked = spark.createDataFrame([(7,)], "project_id long")
+    assert edges_of(hub, asked).count() == 199_999
+
+
 PALETTE = [
     "Is responsible for billing invoices and refunds",
     "is responsible for billing invoices and refunds",
@@ -99,6 +138,33 @@ def test_conflicts_equal_classified_pairs(spark, seed):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_conflict_classes_say_what_all_pairs_say(spark, seed):
+    rng = random.Random(seed)
+    texts = [rng.choice(PALETTE) for _ in range(40)]
+    texts += ["account ledger " + " ".join(rng.sample([f"word{i}" for i in range(12)], rng.randint(1, 9))) for _ in range(30)]
+    texts += [t.replace("account", "owns account") for t in texts[-8:]] + ["must not account ledger word1", "does not own account ledger"]
+    profiles = _summaries(spark, texts)
+    members = responsibility_members(profiles)
+    pairs = [tuple(r) for r in find_conflicts(profiles).select("project_id_a", "project_id_b", "basis", "justification").collect()]
+    want = collections.Counter((p, basis) for a, b, basis, _ in pairs for p in (a, b))
+    got = {r.project_id: r for r in conflict_counts(members, block=4).collect()}
+    assert set(got) == {r.project_id for r in members.collect()}
+    assert all((r.n_overlap, r.n_contradictory) == (want[p, "overlap"], want[p, "contradictory_ownership"]) for p, r in got.items())
+    assert sum(r.n_projects for r in conflict_classes(members).collect()) == len(got)
+    assert all(got[r.representative].representative == r.representative for r in got.values())
+    for asked in ([0, 3, 41, 999], list(range(len(texts))), []):
+        df = spark.createDataFrame([(i,) for i in asked + asked[:1]], "project_id long")
+        listed = sorted(map(tuple, conflicts_of(members, df, block=4).collect()))
+        assert listed == sorted(p for p in pairs if p[0] in asked or p[1] in asked)
+
+
+def test_copies_make_no_pairs(spark):
+    half = spark.range(60_000).selectExpr("id AS project_id", "concat('g/', id) AS full_path", "if(id % 2 = 0, 'is responsible for billing invoices', 'must not billing invoices') AS purpose_summary")
+    totals = conflict_counts(responsibility_members(half)).selectExpr("count(*) AS n", "sum(n_overlap + n_contradictory) AS c").first()
+    assert (totals.n, totals.c) == (60_000, 60_000 * 59_999)
+
+
 def test_classification_texts(spark):
     texts = ["unknown", "Is responsible for billing invoices", "must not billing invoices x y z w v u t", "other things", "unknown"]
     pairs = spark.createDataFrame([(0, 1), (0, 4), (1, 2), (1, 3)], "project_id_a long, project_id_b long")
