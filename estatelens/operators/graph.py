@@ -57,12 +57,21 @@ def edge_classes(tables: DataFrame, catalog: DataFrame | None = None) -> DataFra
     """
     if catalog is not None:
         tables = profiles_in_scope(tables, catalog)
-    n, u = F.col("n_projects"), F.col("n_unknown")
-    known = n - u
+    return classes_of_counts(table_counts(tables))
+
+
+def table_counts(tables: DataFrame) -> DataFrame:
+    """How many projects use a table, and how many of them with unknown access."""
+    return tables.groupBy("table_name").agg(
+        F.count(F.lit(1)).alias("n_projects"), F.count(F.when(F.col("access_mode") == "unknown", 1)).alias("n_unknown")
+    )
+
+
+def classes_of_counts(counts: DataFrame) -> DataFrame:
+    """The class rows of :func:`edge_classes` from :func:`table_counts`."""
+    known = F.col("n_projects") - F.col("n_unknown")
     return (
-        tables.groupBy("table_name")
-        .agg(F.count(F.lit(1)).alias("n_projects"), F.count(F.when(F.col("access_mode") == "unknown", 1)).alias("n_unknown"))
-        .filter(n > 1)
+        counts.filter(F.col("n_projects") > 1)
         .withColumn("n_edges", F.expr("n_projects * (n_projects - 1) div 2"))
         .withColumn("n_unknown_edges", F.col("n_edges") - (known * (known - 1) / 2).cast("long"))
     )

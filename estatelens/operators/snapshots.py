@@ -1,19 +1,28 @@
 """Versioned tables on plain Parquet.
 
 Data is written first, under its snapshot id; one small commit file makes it
-visible. Readers resolve the current snapshot once and then read only its
-partition. One writer at a time is assumed, as a streaming query gives.
+visible. Readers resolve the current snapshot once and then read only its chain
+of partitions: a whole one and, newest last, what later snapshots changed. A
+chain of ``COMPACT_AFTER`` partitions is followed by a whole one. Rows lie in
+order of project with bloom filters, so a question about a few projects skips
+the files that do not hold them. One writer at a time is assumed, as a streaming
+query gives.
 """
 
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from estatelens import schemas
+from estatelens.session import stored
 
+#: Partitions of one chain.
+COMPACT_AFTER = 16
 TABLES = {"profiles": schemas.PROFILES, "catalog": schemas.CATALOG, "skips": schemas.SKIPS}
 
 
@@ -59,9 +68,10 @@ def snapshot_metadata(commits: DataFrame, profiles: DataFrame) -> DataFrame:
 class SnapshotStore:
     """Snapshot tables below one folder of a file system Spark can reach."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, compact_after: int = COMPACT_AFTER):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.compact_after = compact_after
 
     # --- commit log -------------------------------------------------------
 
@@ -98,15 +108,17 @@ class SnapshotStore:
     # --- N1, N4 -----------------------------------------------------------
 
     def begin_snapshot(self, trigger: str = "full", parent: int | None = None, batch_key: str | None = None) -> int:
-        """A new id in progress. A parent is required for, and only for, ``single_project``."""
+        """A new id in progress. A parent is required for, and only for, ``single_project``; its chain goes on until it is full."""
         if (trigger == "single_project") != (parent is not None):
             raise ValueError("a parent goes with single_project, and only with it")
         top = self.commits().agg(F.max("snapshot_id").alias("n")).first()["n"]
         new_id = (top or 0) + 1
+        before = [] if parent is None else self.chain(parent)
         self._append(
             {
                 "snapshot_id": new_id, "status": "in_progress", "trigger": trigger, "parent_snapshot_id": parent,
                 "started_at": datetime.now(timezone.utc), "batch_key": batch_key,
+                "chain": [*(before if len(before) < self.compact_after else []), new_id],
             }
         )
         return new_id
@@ -126,18 +138,51 @@ class SnapshotStore:
         row = self.commits().filter((F.col("batch_key") == batch_key) & (F.col("status") == "completed")).first()
         return row["snapshot_id"] if row else None
 
+    def chain(self, snapshot_id: int) -> list[int]:
+        """The snapshots whose partitions make this one, the whole one first; at most ``compact_after``."""
+        row = self.commits().filter(F.col("snapshot_id") == snapshot_id).first()
+        return list(row["chain"]) if row is not None and row["chain"] else [snapshot_id]
+
     # --- S13, N5 ----------------------------------------------------------
 
-    def write(self, table: str, snapshot_id: int, rows: DataFrame) -> None:
-        """The rows of one snapshot, replacing an earlier attempt at the same snapshot."""
-        fields = TABLES[table].fieldNames()
-        rows.select(*fields).write.mode("overwrite").parquet(f"{self.root}/{table}/snapshot_id={snapshot_id}")
+    def write(self, table: str, snapshot_id: int, rows: DataFrame, schema: StructType | None = None) -> None:
+        """The rows of one snapshot, replacing an earlier attempt at the same snapshot; in order of their first column."""
+        fields = (schema or TABLES[table]).fieldNames()
+        key = fields[0]
+        (
+            rows.select(*fields)
+            .repartitionByRange(key)
+            .sortWithinPartitions(key)
+            .write.mode("overwrite")
+            .option(f"parquet.bloom.filter.enabled#{key}", "true")
+            .parquet(f"{self.root}/{table}/snapshot_id={snapshot_id}")
+        )
 
-    def snapshot(self, table: str, snapshot_id: int) -> DataFrame:
-        path = f"{self.root}/{table}/snapshot_id={snapshot_id}"
+    def written(self, table: str, snapshot_id: int, schema: StructType | None = None) -> DataFrame:
+        """What one snapshot wrote: all its rows, or those it changed."""
+        path, schema = f"{self.root}/{table}/snapshot_id={snapshot_id}", schema or TABLES[table]
         if not self._exists(path):
-            return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(path)
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path)
+
+    def newest(self, table: str, chain: list[int], schema: StructType | None = None, changed_by: str | None = None) -> DataFrame:
+        """N2, read: the rows of a chain, each project's from the last snapshot that changed it.
+
+        ``changed_by`` names the table whose rows say which projects a snapshot
+        changed, where a project may have many rows or none.
+        """
+        base = self.written(table, chain[0], schema)
+        if len(chain) == 1:
+            return base
+        deltas = [self.written(table, i, schema).withColumn("_n", F.lit(n)) for n, i in enumerate(chain) if n]
+        told = [self.written(changed_by or table, i).select("project_id", F.lit(n).alias("_n")) for n, i in enumerate(chain) if n]
+        last = reduce(DataFrame.unionByName, told).groupBy("project_id").agg(F.max("_n").alias("_n"))
+        changed = reduce(DataFrame.unionByName, deltas).join(last, ["project_id", "_n"], "left_semi").drop("_n")
+        return base.join(last.select("project_id"), "project_id", "left_anti").unionByName(changed).select(*base.columns)
+
+    def snapshot(self, table: str, snapshot_id: int) -> DataFrame:
+        """All rows of a snapshot; skips are those of its own refresh."""
+        return self.newest(table, [snapshot_id] if table == "skips" else self.chain(snapshot_id))
 
     def pointer(self) -> int | None:
         """The current snapshot id, resolved once by the caller for all tables it reads."""
@@ -154,7 +199,11 @@ class SnapshotStore:
     # --- N2 ---------------------------------------------------------------
 
     def copy_forward(self, parent: int, snapshot_id: int, profiles: DataFrame, catalog: DataFrame, skips: DataFrame) -> None:
-        """The parent with the changed projects replaced. A skipped project keeps its old profile."""
-        self.write("profiles", snapshot_id, carry_forward(self.snapshot("profiles", parent), profiles))
-        self.write("catalog", snapshot_id, carry_forward(self.snapshot("catalog", parent), catalog))
+        """The changed projects only, read over the parent's chain; a snapshot that begins a chain gets all rows.
+
+        A skipped project keeps its old profile.
+        """
+        whole = len(self.chain(snapshot_id)) == 1
+        for table, rows in (("profiles", profiles), ("catalog", catalog)):
+            self.write(table, snapshot_id, carry_forward(self.snapshot(table, parent), stored(rows)) if whole else rows)
         self.write("skips", snapshot_id, skips)

@@ -11,6 +11,7 @@ from estatelens.operators.snapshots import SnapshotStore
 from estatelens.plans.refresh import analyze
 from estatelens.session import stored
 from estatelens.sources.landing import missing_branch
+from estatelens.streaming.views import EstateViews
 
 MIN_INTERVAL_SECONDS = 60
 _SECONDS = {"": 1, "s": 1, "m": 60, "h": 3600, "d": 86400}
@@ -30,13 +31,19 @@ def trigger(interval: str | None) -> dict:
 
 
 def publish(
-    store: SnapshotStore, projects: DataFrame, files: DataFrame, batch_key: str | None = None, full: bool = False
+    store: SnapshotStore,
+    projects: DataFrame,
+    files: DataFrame,
+    batch_key: str | None = None,
+    full: bool = False,
+    views: EstateViews | None = None,
 ) -> int:
     """One refresh: analyse ``projects``, carry the rest forward, commit. Any error fails the snapshot.
 
     A ``full`` refresh replaces catalog and profiles: projects it does not name are gone.
 
-    A batch that was committed before is not published again.
+    A batch that was committed before is not published again. ``views`` are kept
+    up within the same snapshot.
     """
     if batch_key is not None and (done := store.completed_batch(batch_key)) is not None:
         return done
@@ -54,6 +61,8 @@ def publish(
             store.write("skips", snapshot_id, skips)
         else:
             store.copy_forward(parent, snapshot_id, profiles, catalog, skips)
+        if views is not None:
+            views.keep_up(snapshot_id, parent)
         store.commit(snapshot_id)
     except Exception:
         store.abort(snapshot_id)
@@ -62,7 +71,13 @@ def publish(
 
 
 def stream_refresh(
-    landed: DataFrame, read_projects, read_files, store: SnapshotStore, checkpoint: str, interval: str | None = None
+    landed: DataFrame,
+    read_projects,
+    read_files,
+    store: SnapshotStore,
+    checkpoint: str,
+    interval: str | None = None,
+    views: EstateViews | None = None,
 ) -> StreamingQuery:
     """R2: files in, snapshots out. ``read_projects()`` and ``read_files()`` give projects and landed files as they are now.
 
@@ -77,7 +92,7 @@ def stream_refresh(
         query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         ids = stored(batch.select("project_id").distinct())
         changed = read_projects().join(ids, "project_id", "left_semi")
-        publish(store, changed, read_files().join(ids, "project_id", "left_semi"), f"{query_id}:{batch_id}")
+        publish(store, changed, read_files().join(ids, "project_id", "left_semi"), f"{query_id}:{batch_id}", views=views)
 
     return (
         landed.writeStream.foreachBatch(refresh)

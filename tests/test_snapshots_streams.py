@@ -1,13 +1,19 @@
+import random
+
 import pytest
 
 from estatelens.operators import lookups as lk
 from estatelens.operators.coalesce import group_report
+from estatelens.operators.conflicts import conflict_counts
+from estatelens.operators.graph import edge_classes
 from estatelens.operators.snapshots import SnapshotStore, upsert_last
 from estatelens.rules import ACCESS_MODES
 from estatelens.schemas import CATALOG, PROFILES, SKIPS
 from estatelens.sources.landing import read_projects, read_tree
 from estatelens.streaming.hits import landing_stream, stream_service_hits
+from estatelens.session import stored
 from estatelens.streaming.refresh import publish, stream_refresh, trigger
+from estatelens.streaming.views import KEPT, SUMS, EstateViews, kept_rows
 
 
 @pytest.fixture
@@ -171,3 +177,78 @@ def test_a_failed_refresh_leaves_the_old_snapshot_current(spark, make_files, mak
         publish(store, projects, make_files({"a.py": "x"}).drop("content"))
     assert store.pointer() == first
     assert store.commits().filter("status = 'failed'").count() == 1
+
+
+def _estate(rng, ids):
+    """Random profiles: tables shared by many, summaries that overlap and contradict, and unknown ones."""
+    texts = ["Is responsible for billing invoices and refunds", "must not billing invoices daily", "billing invoices", "billing invoices refunds x y", "delegates shipping labels", "is the owner of shipping labels", "shipping labels printing", "unknown"]
+    rows = []
+    for i in ids:
+        names = ["hub", *rng.sample([f"t{n}" for n in range(8)], rng.randrange(4))]
+        tables = [(t, rng.choice(["read", "write", "unknown"]), [("f", 1)]) for t in names if rng.random() < 0.8]
+        rows.append((i, f"g/{i}", "main", str(rng.random()), None, rng.choice(texts), None, [], [], [("api", "other", [("f", 1)])], tables, []))
+    return rows
+
+
+@pytest.mark.parametrize("compact_after", [3])
+def test_views_equal_a_rebuild_after_any_refreshes(spark, tmp_path, compact_after):
+    rng = random.Random(compact_after)
+    store = SnapshotStore(spark, str(tmp_path / "store"), compact_after)
+    views = EstateViews(store)
+    now, parent = {}, None
+    for step in range(4):
+        ids = range(24) if step == 0 else rng.sample(range(30), rng.choice([1, 4]))
+        rows = _estate(rng, ids)
+        now |= {r[0]: r for r in rows}
+        sid = store.begin_snapshot("full" if parent is None else "single_project", parent)
+        profiles = spark.createDataFrame(rows, PROFILES)
+        catalog = profiles.select("project_id", "full_path")
+        none = spark.createDataFrame([], SKIPS)
+        if parent is None:
+            store.write("profiles", sid, profiles)
+            store.write("catalog", sid, catalog)
+        else:
+            store.copy_forward(parent, sid, profiles, catalog, none)
+        views.keep_up(sid, parent)
+        store.commit(sid)
+        parent = sid
+        assert len(store.chain(sid)) <= compact_after
+    current = store.current("profiles")
+    assert {r.project_id: r.commit_sha for r in current.collect()} == {i: r[3] for i, r in now.items()}
+    whole = spark.createDataFrame(list(now.values()), PROFILES)
+    rebuilt = kept_rows(whole)
+    for name, rows in rebuilt.items():
+        assert sorted(map(str, views.kept(name, sid).collect())) == sorted(map(str, rows.select(*KEPT[name].fieldNames()).collect()))
+    assert sorted(map(tuple, views.edge_classes(sid).collect())) == sorted(map(tuple, edge_classes(rebuilt["tables"]).collect()))
+    want = {(r.project_id, r.n_overlap, r.n_contradictory) for r in conflict_counts(stored(rebuilt["claims"])).collect()}
+    assert {(r.project_id, r.n_overlap, r.n_contradictory) for r in views.conflict_counts(sid).collect()} == want and any(r[1] or r[2] for r in want)
+
+
+def test_a_small_refresh_writes_only_what_changed(spark, store):
+    first = store.begin_snapshot()
+    rng = random.Random(1)
+    store.write("profiles", first, spark.createDataFrame(_estate(rng, range(300)), PROFILES))
+    views = EstateViews(store)
+    views.keep_up(first, None)
+    store.commit(first)
+    second = store.begin_snapshot("single_project", first)
+    one = spark.createDataFrame(_estate(rng, [7]), PROFILES)
+    store.copy_forward(first, second, one, one.select("project_id", "full_path"), spark.createDataFrame([], SKIPS))
+    views.keep_up(second, first)
+    store.commit(second)
+    assert store.written("profiles", second).count() == 1 and store.current("profiles").count() == 300
+    assert store.written("view_table_counts", second, SUMS["table_counts"]).count() <= 8
+    assert store.written("view_tables", second, KEPT["tables"]).count() <= 4
+
+
+def test_lookups_of_a_snapshot_skip_files(spark, store):
+    sid = store.begin_snapshot()
+    store.write("profiles", sid, spark.createDataFrame(_estate(random.Random(2), range(2000)), PROFILES).repartition(4))
+    store.commit(sid)
+    ids = spark.createDataFrame([(7,), (1999,), (5000,), (None,)], "project_id long")
+    found = lk.project_dependencies(store.current("profiles"), ids)
+    assert sorted(r.project_id for r in found.collect()) == [7, 1999]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "In(project_id" in plan
+    many = spark.range(1500).withColumnRenamed("id", "project_id")
+    assert lk.project_profile(store.current("profiles"), many).count() == 1500
