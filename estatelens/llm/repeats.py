@@ -8,8 +8,9 @@ without comparing texts with each other:
    anchor), so equal windows have equal anchors wherever they stand. Windows
    in a row with one anchor make a piece, and an anchor met once cannot repeat.
 2. Equal pieces of an anchor become one with its number of copies; windows of
-   a piece with copies repeat. Anchors that also have a piece without a copy
-   go to shards, whole, by hash.
+   a piece with copies repeat. If an anchor also has a piece without a copy,
+   those of its pieces that share what stands left or right of the anchor with
+   another (as far as half a window) go to shards, an anchor's together.
 3. A shard's pieces are one text: its suffix array is built by induced
    sorting, and a window repeats if its permuted common prefix with either
    neighbour in the array reaches ``LENGTH``.
@@ -18,8 +19,8 @@ without comparing texts with each other:
    over all tasks.
 
 Results go back to every place of a piece. Where a number of words is given,
-strings of so many whole words that occur more than once go too, whatever their
-bytes: windows of words meet by an anchor of words as in 1 and 2, and those of
+strings of so many whole words that occur more than once are found too, whatever
+their bytes: windows of words meet by an anchor of words as in 1 and 2, and those of
 an anchor's different pieces are counted by 128-bit hash as in 4. Defined cases: null text is empty
 and stays null in the text column; texts shorter than ``LENGTH`` lose nothing;
 repeated rows and equal texts count as copies of each other; a null doc_id is
@@ -39,7 +40,7 @@ from pyspark.sql import types as T
 
 from estatelens.llm.suffixes import repeated_starts
 from estatelens.llm.words import BASE, BASE_INVERSE, WordHasher, byte_codes, mixed, pieces_of, powers
-from estatelens.session import stored
+from estatelens.session import small_side, stored
 
 LENGTH = 400
 GRAM = 32
@@ -58,15 +59,19 @@ class Anchors:
         self.codes = byte_codes(21)
         self.up = self.down = np.empty(0, dtype=np.uint64)
 
-    def gram_hashes(self, data: np.ndarray, gram: int) -> np.ndarray:
+    def totals(self, data: np.ndarray) -> np.ndarray:
+        """Running sums from which the hash of any stretch follows."""
         if len(self.up) <= len(data):
             self.up, self.down = powers(BASE, 2 * len(data) + 1), powers(BASE_INVERSE, 2 * len(data) + 1)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.codes[data] * self.up[: len(data)], dtype=np.uint64)])
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.codes[data] * self.up[: len(data)], dtype=np.uint64)])
+
+    def gram_hashes(self, data: np.ndarray, gram: int) -> np.ndarray:
+        total = self.totals(data)
         m = len(data) - gram + 1
         return mixed((total[gram:] - total[:m]) * self.down[:m])
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        """Text, first window, number of windows, anchor and content hash of each piece."""
+        """Text, first window, number of windows, anchor, content hash and both sides (see :func:`_side`) of each piece."""
         import xxhash
 
         sections = []  # text, first byte, bytes
@@ -81,13 +86,15 @@ class Anchors:
             out.append(self._pieces(sections[at:to], xxhash.xxh3_64_intdigest))
             at = to
         if not out:
-            return tuple(np.empty(0, dtype=np.int64) for _ in range(5))
+            return tuple(np.empty(0, dtype=np.int64) for _ in range(7))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def _pieces(self, sections: list[tuple[int, int, bytes]], digest) -> tuple[np.ndarray, ...]:
         buffer = b"".join(s[2] for s in sections)
         data = np.frombuffer(buffer, dtype=np.uint8)
-        hashes = self.gram_hashes(data, self.gram)
+        total = self.totals(data)
+        m = len(data) - self.gram + 1
+        hashes = mixed((total[self.gram :] - total[:m]) * self.down[:m])
         least = (hashes >> np.uint64(_PLACE_BITS) << np.uint64(_PLACE_BITS)) | np.arange(len(hashes), dtype=np.uint64)
         width, have = self.length - self.gram + 1, 1
         while 2 * have <= width:
@@ -107,20 +114,58 @@ class Anchors:
         view = memoryview(buffer)
         content = np.array([digest(view[a:b]) for a, b in zip(first.tolist(), (first + count + self.length - 1).tolist(), strict=True)], dtype=np.uint64)
         text = np.array([s[0] for s in sections])[own]
-        return text, first - begin[own] + np.array([s[1] for s in sections])[own], count, hashes[anchor[new]].view(np.int64), content.view(np.int64)
+        at, half = anchor[new], (self.length - self.gram) // 2
+        sides = []
+        for lo, there in ((at - half, at - half >= first), (at + self.gram, at + self.gram + half <= first + count + self.length - 1)):
+            lo = np.where(there, lo, 0)
+            sides.append(_side((total[lo + half * there] - total[lo]) * self.down[lo], there))
+        return text, first - begin[own] + np.array([s[1] for s in sections])[own], count, hashes[at].view(np.int64), content.view(np.int64), *sides
+
+
+def _side(hashes: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Hashes of what stands next to each anchor, as far as half of what a window has besides it; 0 where the piece is shorter there.
+
+    Equal windows have their anchor at the same place, and on one side of it at
+    least half of the rest, so their pieces share that side.
+    """
+    return np.where(there, mixed(hashes) | np.uint64(1), np.uint64(0)).view(np.int64)
 
 
 def pieces_in(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Every piece of every text: id and tie of its row, first window, number of windows, anchor and content hash."""
+    """Every piece of every text: id and tie of its row, first window, number of windows, anchor, content hash and sides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(length, gram)
         for rows, texts in pieces_of(batches, limit=1 << 20):
-            text, first, count, anchor, content = anchors(texts)
-            columns = [rows.column(0).take(pa.array(text)), rows.column(1).take(pa.array(text)), pa.array(first), pa.array(count), pa.array(anchor), pa.array(content)]
-            yield pa.RecordBatch.from_arrays(columns, ["_id", "_tie", "first", "windows", "anchor", "content"])
+            text, *numbers = anchors(texts)
+            columns = [rows.column(0).take(pa.array(text)), rows.column(1).take(pa.array(text)), *map(pa.array, numbers)]
+            yield pa.RecordBatch.from_arrays(columns, ["_id", "_tie", "first", "windows", "anchor", "content", "left", "right"])
+
+    kinds = ", ".join(f"{n} long" for n in ("_id", "_tie", "first", "windows", "anchor", "content", "left", "right"))
+    return docs.select(*_identity(docs), F.col("text").cast("string").alias("text")).mapInArrow(run, kinds)
 
-    return docs.select(*_identity(docs), F.col("text").cast("string").alias("text")).mapInArrow(run, "_id long, _tie long, first long, windows long, anchor long, content long")
+
+def _meeting(pieces: DataFrame) -> DataFrame:
+    """Those pieces (stored) whose anchor is met more than once, with ``differ``: whether it has different pieces.
+
+    Most anchors are met once, so their pieces are made again rather than kept.
+    """
+    by_anchor = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("one"), F.max("content").alias("other"))
+    by_anchor = small_side(by_anchor.filter("n > 1").select("anchor", (F.col("one") != F.col("other")).alias("differ")))
+    return stored(pieces.join(by_anchor, "anchor"))
+
+
+def _unsure(distinct: DataFrame) -> DataFrame:
+    """The different pieces of each anchor that has one without a copy, as far as they share a side with another: only these can hold equal windows beyond copies."""
+    differing = distinct.filter("differ")
+    alone = differing.groupBy("anchor").agg(F.min("copies").alias("fewest")).filter("fewest = 1").select("anchor")
+    open_ = stored(differing.join(alone, "anchor"))
+    shared = None
+    for side in ("left", "right"):
+        many = open_.filter(F.col(side) != 0).groupBy("anchor", side).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", side)
+        own = open_.join(many, ["anchor", side], "left_semi").select("anchor", "content")
+        shared = own if shared is None else shared.unionByName(own)
+    return stored(open_.join(shared.distinct(), ["anchor", "content"], "left_semi"))
 
 
 def _identity(docs: DataFrame) -> list[Column]:
@@ -192,31 +237,35 @@ def _by_hash(cut: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """For each text with repeats its row's id and tie, and ``spans``: (lo, hi) byte ranges, which may overlap."""
-    places = stored(pieces_in(docs, length, gram))
-    distinct = places.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.first("windows").alias("windows"), F.min(F.struct("_id", "_tie", "first")).alias("at"))
+    places = _meeting(pieces_in(docs, length, gram))
+    distinct = stored(
+        places.groupBy("anchor", "content").agg(
+            F.count(F.lit(1)).alias("copies"), F.first("windows").alias("windows"), F.first("differ").alias("differ"),
+            F.first("left").alias("left"), F.first("right").alias("right"), F.min(F.struct("_id", "_tie", "first")).alias("at"),
+        )
+    )
+    unsure = _unsure(distinct)
     size = F.col("windows") + length - 1
-    by_anchor = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("one"), F.max("content").alias("other")).filter("n > 1").select("anchor", (F.col("one") != F.col("other")).alias("differ"))
-    distinct = stored(distinct.join(by_anchor, "anchor"))
-    unsure = distinct.filter("differ").groupBy("anchor").agg(F.min("copies").alias("fewest"), F.sum(size).alias("bytes")).filter("fewest = 1").select("anchor", (F.col("bytes") > LARGEST_ANCHOR).alias("large"), "bytes")
-    unsure = stored(unsure)
-    total = unsure.filter("NOT large").agg(F.sum("bytes")).first()[0] or 0
+    large = unsure.groupBy("anchor").agg(F.sum(size).alias("bytes")).filter(F.col("bytes") > LARGEST_ANCHOR).select("anchor")
+    total = unsure.join(large, "anchor", "left_anti").agg(F.sum(size)).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
 
     piece = F.struct(F.col("at.first").alias("first"), "windows", "anchor", "content", "copies")
 
-    def wanted(large: bool) -> DataFrame:
-        chosen = distinct.join(unsure.filter(F.col("large") == large).select("anchor"), "anchor")
+    def wanted(is_large: bool) -> DataFrame:
+        chosen = unsure.join(large, "anchor", "left_semi" if is_large else "left_anti")
         return chosen.groupBy(F.col("at._id").alias("_id"), F.col("at._tie").alias("_tie")).agg(F.collect_list(piece).alias("pieces"))
 
     found = _in_shards(_cut(docs, wanted(False), length), shards, length)
-    if not unsure.filter("large").isEmpty():
+    if not large.isEmpty():
         found = found.unionByName(_by_hash(_cut(docs, wanted(True), length), length))
     copied = distinct.filter("copies > 1").select("anchor", "content", F.lit(0).cast("long").alias("lo"), F.col("windows").alias("hi"))
     spans = places.join(found.unionByName(copied), ["anchor", "content"]).select("_id", "_tie", F.struct((F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi") + length - 1).alias("hi")).alias("s"))
     return spans.groupBy("_id", "_tie").agg(F.collect_set("s").alias("spans"))
 
 
-PASSAGE_GRAM = 8
+#: Passages are of over 50 words.
+PASSAGE_WORDS, PASSAGE_GRAM = 51, 8
 
 
 class Passages:
@@ -256,12 +305,12 @@ class Passages:
         return np.frombuffer(buffer, dtype=np.uint8), starts, ends, text, word, begin
 
     def pieces(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        """Text, first and past-last byte, anchor and content hash of each piece."""
+        """Text, first and past-last byte, anchor and content hash and sides of each piece."""
         import xxhash
 
         data, starts, ends, text, word, begin = self.windows(texts)
         if not len(word):
-            return tuple(np.empty(0, dtype=np.int64) for _ in range(5))
+            return tuple(np.empty(0, dtype=np.int64) for _ in range(7))
         m = len(starts) - self.gram + 1
         hashes = self.one.hashes(data, starts[:m], ends[self.gram - 1 :])
         least = (hashes >> np.uint64(_PLACE_BITS) << np.uint64(_PLACE_BITS)) | np.arange(m, dtype=np.uint64)
@@ -277,7 +326,12 @@ class Passages:
         lo, hi, own = starts[word[new]], ends[word[last] + self.words - 1], text[new]
         view = memoryview(data)
         content = np.array([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], dtype=np.uint64)
-        return own, lo - begin[own], hi - begin[own], hashes[anchor[new]].view(np.int64), content.view(np.int64)
+        at, half = anchor[new], (self.words - self.gram) // 2
+        lefts, rights = at - half >= word[new], at + self.gram + half <= word[last] + self.words
+        one, other = np.where(lefts, at - half, 0), np.where(rights, at + self.gram, 0)
+        next_to = self.one.hashes(data, starts[np.concatenate([one, other])], ends[np.minimum(np.concatenate([one, other]) + half - 1, len(ends) - 1)])
+        sides = _side(next_to[: len(at)], lefts), _side(next_to[len(at) :], rights)
+        return own, lo - begin[own], hi - begin[own], hashes[at].view(np.int64), content.view(np.int64), *sides
 
     def hashed(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         """Text, first and past-last byte and both hashes of each window."""
@@ -293,10 +347,10 @@ def passage_spans(docs: DataFrame, words: int) -> DataFrame:
         passages = Passages(words)
         for rows, texts in pieces_of(batches):
             for batch in passages.sections(texts):
-                own, lo, hi, anchor, content = passages.pieces([b for _, _, b in batch])
+                own, lo, hi, *hashes = passages.pieces([b for _, _, b in batch])
                 text, at = np.array([i for i, _, _ in batch])[own], np.array([a for _, a, _ in batch])[own]
-                columns = [rows.column(0).take(pa.array(text)), rows.column(1).take(pa.array(text)), *map(pa.array, (lo + at, hi + at, anchor, content))]
-                yield pa.RecordBatch.from_arrays(columns, ["_id", "_tie", "lo", "hi", "anchor", "content"])
+                columns = [rows.column(0).take(pa.array(text)), rows.column(1).take(pa.array(text)), *map(pa.array, (lo + at, hi + at, *hashes))]
+                yield pa.RecordBatch.from_arrays(columns, ["_id", "_tie", "lo", "hi", "anchor", "content", "left", "right"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passages = Passages(words)
@@ -307,13 +361,16 @@ def passage_spans(docs: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*map(pa.array, (anchor, content, copies, lo, hi, one, two))], ["anchor", "content", "copies", "lo", "hi", "h1", "h2"])
 
     given = docs.select(*_identity(docs), F.col("text").cast("string").alias("text"))
-    places = stored(given.mapInArrow(cut, "_id long, _tie long, lo long, hi long, anchor long, content long"))
-    by_anchor = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("one"), F.max("content").alias("other")).filter("n > 1").select("anchor", (F.col("one") != F.col("other")).alias("differ"))
-    distinct = places.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("_id", "_tie", "lo", "hi")).alias("at"))
-    distinct = stored(distinct.join(by_anchor, "anchor"))
-    unsure = distinct.groupBy("anchor").agg(F.min("copies").alias("fewest"), F.bool_or("differ").alias("differ")).filter("differ AND fewest = 1").select("anchor")
+    kinds = ", ".join(f"{n} long" for n in ("_id", "_tie", "lo", "hi", "anchor", "content", "left", "right"))
+    places = _meeting(given.mapInArrow(cut, kinds))
+    distinct = stored(
+        places.groupBy("anchor", "content").agg(
+            F.count(F.lit(1)).alias("copies"), F.first("differ").alias("differ"), F.first("left").alias("left"), F.first("right").alias("right"), F.min(F.struct("_id", "_tie", "lo", "hi")).alias("at")
+        )
+    )
+    unsure = _unsure(distinct)
     piece = F.struct(F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"), "anchor", "content", "copies")
-    wanted = distinct.join(unsure, "anchor").groupBy(F.col("at._id").alias("_id"), F.col("at._tie").alias("_tie")).agg(F.collect_list(piece).alias("pieces"))
+    wanted = unsure.groupBy(F.col("at._id").alias("_id"), F.col("at._tie").alias("_tie")).agg(F.collect_list(piece).alias("pieces"))
     windows = given.join(wanted, ["_id", "_tie"]).select("text", "pieces").mapInArrow(count, "anchor long, content long, copies long, lo long, hi long, h1 long, h2 long")
     windows = stored(windows.dropDuplicates(["anchor", "content", "lo"]))  # a repeated row meets its pieces again
     many = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h1", "h2")
@@ -325,6 +382,18 @@ def passage_spans(docs: DataFrame, words: int) -> DataFrame:
 
 
 ADDED = ["kept", "n_bytes", "n_removed", "n_spans", "kept_text"]
+PASSAGES = ["n_passages", "n_passage_bytes"]
+
+
+def _joined(spans: list[dict]) -> list[list[int]]:
+    """Ranges as runs, in order and apart."""
+    runs: list[list[int]] = []
+    for lo, hi in sorted((s["lo"], s["hi"]) for s in spans):
+        if runs and lo <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], hi)
+        else:
+            runs.append([lo, hi])
+    return runs
 
 
 def _without(text: bytes, runs: list[list[int]]) -> bytes:
@@ -342,44 +411,46 @@ def _whole_characters(text: bytes, lo: int, hi: int) -> list[int]:
     return [lo, hi]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int | None = None, cut_passages: bool = True) -> DataFrame:
     """``docs`` with ``kept`` (the remaining bytes), n_bytes, n_removed, n_spans (maximal removed runs) and ``kept_text``.
 
     ``kept_text`` keeps a character unless all its bytes are removed. With
-    ``words``, strings of so many whole words that occur more than once go too.
+    ``words`` come n_passages and n_passage_bytes (maximal runs of strings of so
+    many whole words that occur more than once), and unless ``cut_passages`` is
+    false these strings go too.
     """
-    docs = docs.drop(*[c for c in ADDED if c in docs.columns])
+    added = [*ADDED, *PASSAGES * (words is not None)]
+    docs = docs.drop(*[c for c in added if c in docs.columns])
     names = docs.columns
     # Own columns get names that the table does not have.
-    by_id, by_tie, own_spans = (next(n for n in (f"_{c}{i}" for i in range(len(names) + 1)) if n not in names) for c in ("id", "tie", "spans"))
-    spans = repeated_spans(docs, length, gram)
+    by_id, by_tie, own_spans, own_passages = (next(n for n in (f"_{c}{i}" for i in range(len(names) + 1)) if n not in names) for c in ("id", "tie", "spans", "passages"))
+    spans = repeated_spans(docs, length, gram).withColumn("passages", F.expr("CAST(NULL AS array<struct<lo: bigint, hi: bigint>>)"))
     if words is not None:
-        spans = spans.unionByName(passage_spans(docs, words)).groupBy("_id", "_tie").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    spans = stored(spans).toDF(by_id, by_tie, own_spans)
+        found = passage_spans(docs, words).withColumnRenamed("spans", "passages")
+        spans = spans.drop("passages").join(found, ["_id", "_tie"], "full")
+    spans = stored(spans.select("_id", "_tie", "spans", "passages")).toDF(by_id, by_tie, own_spans, own_passages)
     met = docs.withColumns(dict(zip((by_id, by_tie), _identity(docs), strict=True))).join(spans, [by_id, by_tie], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in pieces_of(batches):
             out = []
-            for t, own in zip(texts, rows.column(len(names)).to_pylist(), strict=True):
-                runs: list[list[int]] = []
-                for lo, hi in sorted((s["lo"], s["hi"]) for s in own or ()):
-                    if runs and lo <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], hi)
-                    else:
-                        runs.append([lo, hi])
+            for t, own, of_words in zip(texts, *(rows.column(len(names) + i).to_pylist() for i in (0, 1)), strict=True):
+                own, of_words = own or [], of_words or []
+                runs, passages = _joined(own + of_words * cut_passages), _joined(of_words)
                 left = _without(t, runs)
-                out.append((left, len(t), len(t) - len(left), len(runs), _without(t, [_whole_characters(t, *r) for r in runs]).decode("utf-8", "replace")))
-            kinds = [pa.binary(), *[pa.int64()] * 3, pa.string()]
-            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], [*names, *ADDED])
+                kept_text = _without(t, [_whole_characters(t, *r) for r in runs]).decode("utf-8", "replace")
+                out.append((left, len(t), len(t) - len(left), len(runs), kept_text, len(passages), sum(hi - lo for lo, hi in passages))[: len(added)])
+            kinds = [pa.binary(), *[pa.int64()] * 3, pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-2], *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds[: len(added)], strict=True))], [*names, *added])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("kept", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ADDED[1:4]), T.StructField("kept_text", T.StringType())])
-    return met.select(*names, own_spans).mapInArrow(run, schema)
+    fields = [T.StructField("kept", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ADDED[1:4]), T.StructField("kept_text", T.StringType()), *(T.StructField(c, T.LongType()) for c in PASSAGES)]
+    return met.select(*names, own_spans, own_passages).mapInArrow(run, T.StructType([*docs.schema.fields, *fields[: len(added)]]))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    found = remove_repeats(docs, words=PASSAGE_WORDS, cut_passages=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), *PASSAGES)
 
 
 QUERIES = {"op2_suffix_dedup": op2_suffix_dedup}
