@@ -60,43 +60,53 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share
     return ranked.withColumn("target", F.least(F.col("_cap").cast("double"), fixed * F.col("_weight"))).select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, favour: str | None = None, seed: str = "") -> DataFrame:
-    """``docs`` without text, with size, source_size, target, copies and taken (copies times size),
-    and ``_tie``, the hash of the text, to find a row again.
+def drawn(docs: DataFrame, favour: str | None = None, seed: str = "") -> DataFrame:
+    """Each document's place in the mix: ``row`` (all its columns), doc_id, size, source_size, target, copies, taken (copies times size) and tie (the hash of its text).
 
     The cut in Pareto order is found without sorting a source in one task:
     words are summed by source and fine bins of the rank, running sums over
-    the bins find the bin of the cut, and only that bin is sorted.
+    the bins find the bin of the cut, and only that bin is sorted. Where whole
+    copies leave less than half a word nothing is drawn.
     """
-    clash = [c for c in ("size", "source_size", "target", "copies", "taken") if c in docs.columns]
-    sized = stored(docs.drop(*clash).withColumn("size", size_of(F.col("text"))).withColumn("_tie", F.xxhash64("text")).drop("text"))
-    targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
-    targets = stored(targets.withColumnRenamed("source", "_source"))
     odds = F.lit(1.0) if favour is None else F.greatest(F.coalesce(F.col(favour).cast("double"), F.lit(0.0)), F.lit(1e-9))
-    u = random_of(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    sized = stored(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", odds.alias("odds"), size_of(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")))
+    targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumnRenamed("source", "of")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    rows = sized.join(targets, sized["source"].eqNullSafe(targets["_source"]), "left").drop("_source").withColumn("_whole", whole)
-    rows = rows.withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
-    f = F.least(F.greatest(F.coalesce(F.try_divide("_rest", "source_size"), F.lit(0.0)), F.lit(1e-12)), F.lit(1 - 1e-12))
-    rows = rows.withColumn("_q", (u / (1 - u)) / (odds * f / (1 - f)))
-    rows = rows.withColumn("_bin", F.floor(F.col("_q") / (1 + F.col("_q")) * BINS).cast("int"))
-
-    bins = rows.groupBy("source", "_bin").agg(F.sum("size").alias("_words"))
-    run = W.partitionBy("source").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
-    bins = bins.select(F.col("source").alias("_s"), F.col("_bin").alias("_b"), F.col("_words"), F.coalesce(F.sum("_words").over(run), F.lit(0)).alias("_before"))
-    met = bins.join(targets, F.col("_s").eqNullSafe(F.col("_source")))
-    rest = F.col("target") - F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0) * F.col("source_size")
+    targets = stored(targets.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
+    u = random_of(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    rows = sized.join(targets, sized["source"].eqNullSafe(targets["of"]), "left").drop("of")
+    certain = rows.filter("rest < 0.5").withColumn("more", F.lit(False))
+    rows = rows.filter("rest >= 0.5")
+    f = F.least(F.greatest(F.coalesce(F.try_divide("rest", "source_size"), F.lit(0.0)), F.lit(1e-12)), F.lit(1 - 1e-12))
+    rows = rows.withColumn("q", (u / (1 - u)) / (F.col("odds") * f / (1 - f)))
+    rows = rows.withColumn("bin", F.floor(F.col("q") / (1 + F.col("q")) * BINS).cast("int"))
+
+    bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
+    run = W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    bins = bins.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0)))
     # A source's cut lies in its first bin that passes the rest; all earlier bins are taken whole.
-    cut = met.filter(F.col("_before") + F.col("_words") > rest).groupBy("_s").agg(F.min_by(F.struct("_b", "_before"), "_b").alias("_cut"))
-    rows = rows.join(cut, rows["source"].eqNullSafe(cut["_s"]), "left").drop("_s")
-    at = F.col("_cut._b")
-    sure = rows.filter(at.isNull() | (F.col("_bin") != at)).withColumn("_in", at.isNull() | (F.col("_bin") < at))
-    inside = W.partitionBy("source").orderBy("_q", "doc_id", "_tie").rowsBetween(W.unboundedPreceding, -1)
-    near = rows.filter(F.col("_bin") == at).withColumn("_sum", F.col("_cut._before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    near = near.withColumn("_in", F.col("_sum") + F.col("size") / 2 <= F.col("_rest")).drop("_sum")
-    drawn = sure.unionByName(near)
-    drawn = drawn.withColumn("copies", F.col("_whole") + F.col("_in").cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    return drawn.drop("_whole", "_rest", "_q", "_bin", "_cut", "_in")
+    cut = bins.filter(F.col("before") + F.col("words") > F.col("rest")).groupBy(F.col("source").alias("of")).agg(F.min_by(F.struct("bin", "before"), "bin").alias("cut"))
+    rows = rows.join(cut, rows["source"].eqNullSafe(cut["of"]), "left").drop("of")
+    at = F.col("cut.bin")
+    sure = rows.filter(at.isNull() | (F.col("bin") != at)).withColumn("more", at.isNull() | (F.col("bin") < at))
+    inside = W.partitionBy("source").orderBy("q", "doc_id", "tie").rowsBetween(W.unboundedPreceding, -1)
+    near = rows.filter(F.col("bin") == at).withColumn("sum", F.col("cut.before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    near = near.withColumn("more", F.col("sum") + F.col("size") / 2 <= F.col("rest")).drop("sum")
+    done = certain.unionByName(sure.unionByName(near).drop("q", "bin", "cut"))
+    copies = F.col("whole") + F.col("more").cast("long")
+    return done.select("row", "doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "tie")
+
+
+ADDED = ["size", "source_size", "target", "copies", "taken"]
+
+
+def mix(docs: DataFrame, favour: str | None = None, seed: str = "") -> DataFrame:
+    """``docs`` without text, with size, source_size, target, copies and taken (copies times size),
+    and ``_tie``, the hash of the text, to find a row again. Columns of these names are replaced.
+    """
+    kept = [c for c in docs.columns if c not in ("text", "_tie", *ADDED)]
+    needed = [c for c in docs.columns if c in (*kept, "text", favour)]
+    return drawn(docs.select(*needed), favour, seed).select(*[F.col("row")[c].alias(c) for c in kept], *ADDED, F.col("tie").alias("_tie"))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
