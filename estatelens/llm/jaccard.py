@@ -311,7 +311,14 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     found = components(between.unionByName(copies))
     rows = counts.select("doc_id", F.col("n").alias("n_shingles"))
     known = rows.join(found, rows["doc_id"] == found["id"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    nameless = docs.filter("doc_id IS NULL").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for _, texts in pieces_of(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in hasher.shingles(texts, width)], pa.int64())], ["n_shingles"])
+
+    none = F.lit(None).cast("long")
+    nameless = docs.filter("doc_id IS NULL").select("text").mapInArrow(sizes, "n_shingles long").select(none.alias("doc_id"), "n_shingles", none.alias("component_id"))
     return known.unionByName(nameless)
 
 

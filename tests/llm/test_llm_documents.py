@@ -96,8 +96,10 @@ def brute_components(rows):
 
 
 @pytest.mark.parametrize("block", [1 << 20, 400])
-def test_jaccard_equals_all_pairs(monkeypatch, docs, rows, block):
+def test_jaccard_equals_all_pairs(spark, monkeypatch, docs, rows, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    none = spark.createDataFrame([(None, "a b c d e a b c d", None, None, 0), (None, None, None, None, 0)], DOCUMENTS)
+    assert sorted((r.n_shingles, r.doc_id, r.component_id) for r in jaccard.similar_documents(none).collect()) == [(0, None, None), (5, None, None)]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_documents(docs).collect()}
     assert got == brute_components(rows)
 
@@ -179,6 +181,10 @@ def test_mix(spark, docs, rows, empty):
         assert abs(sum(r.taken for r in mine) - target[s]) <= largest and all(r.taken <= 2 * r["size"] for r in mine)
     assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in mixing.mix(docs).collect())
     assert mixing.mix(empty).count() == 0 and mixing.mix(odd(spark)).count() == 16
+    # A capped source takes whole copies only, its empty texts too.
+    capped = [(i, "a b c" if i % 3 else "", None, "big" if i > 5 else "small", 0) for i in range(40)] + [(50, None, None, "small", 0)]
+    taken = mixing.mix(frame(spark, capped)).collect()
+    assert {r.copies for r in taken if r.source == "small"} == {2} and all(r.copies <= 2 for r in taken)
 
 
 def test_packing(spark, docs, rows, empty):

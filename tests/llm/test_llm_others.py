@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from fixtures_llm import DOCUMENTS, corpus, frame, odd, prose, shingles
 
 import corpus_pipeline
@@ -88,6 +89,11 @@ def test_chat_digests(spark):
 
 def test_pipeline_stages_on_odd_rows(spark):
     docs = odd(spark).drop("size")
+    for name in ("_times", "_tie", "_copy", "_source", "_q", "col", "copies", "taken", "rest", "of", "cut", "passages", "_spans0"):
+        docs = docs.withColumn(name, F.col("doc_id"))
+    rows = collections.Counter(map(str, docs.collect()))
+    mixed = collections.Counter(map(str, corpus_pipeline.mix_sources(spark, docs, "").collect()))
+    assert set(mixed) <= set(rows) and all(mixed[r] <= 2 * n for r, n in rows.items())
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, "")
         assert out.columns == docs.columns and out.schema["text"].dataType == docs.schema["text"].dataType, name
