@@ -16,7 +16,7 @@ from estatelens.session import stored
 #: Near duplicates share 80 % of their shingles of five words; op10's query has values of its own.
 NEAR_WIDTH, NEAR_PERCENT = 5, 80
 #: Passages of over 50 words that repeat go, whatever their bytes; op2's query looks at 400 bytes alone.
-PASSAGE_WORDS = 51
+PASSAGE_WORDS = repeats.PASSAGE_WORDS
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,14 +51,9 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    tie = F.xxhash64("text").alias("_tie")
-    taken = mixing.mix(docs.select("doc_id", "source", "text")).filter("copies > 0")
-    times = taken.groupBy("doc_id", "_tie").agg(F.sum("copies").alias("_times"))
-    rows = docs.withColumn("_tie", F.xxhash64("text")).dropDuplicates(["doc_id", "_tie"])
-    times = times.toDF("_d", "_t", "_times")
-    met = rows.join(times, rows["doc_id"].eqNullSafe(times["_d"]) & (rows["_tie"] == times["_t"]))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
+    """Each document as often as the mix takes it, with the columns it has."""
+    taken = mixing.drawn(docs).filter("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
