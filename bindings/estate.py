@@ -21,7 +21,7 @@ from estatelens.operators import lookups as lk
 from estatelens.operators import snapshots as sn
 from estatelens.operators.profiles import check_flat, check_summaries
 from estatelens.operators.purpose import description_candidate, pick_purpose
-from estatelens.plans.corpus import corpus_projects, corpus_sql, table
+from estatelens.plans.corpus import corpus_projects, corpus_sql, projects_sql, table
 from estatelens.session import scratch_folder
 from estatelens.sources.landing import missing_branch, read_projects, text_only, with_branch
 
@@ -318,41 +318,34 @@ def counts(spark, sf):
     return co.refresh_counts(projects, files)
 
 
-_PROJECTS_SQL = (
-    "projects AS (SELECT s_suppkey AS project_id, concat('estate/', s_name) AS full_path, 'uat' AS branch,"
-    " CASE WHEN s_suppkey % 10 = 9 THEN NULL ELSE 'x' END AS commit_sha,"
-    " CASE WHEN s_suppkey % 6 = 5 THEN concat('  Desc   of ', s_name, ' ') WHEN s_suppkey % 6 = 4 THEN '' ELSE NULL END"
-    " AS description FROM supplier)"
-)
+_PROJECTS_SQL = f"projects AS ({projects_sql()})"
 
 
 def purposes(spark, sf):
-    """Project descriptions against the documents as READMEs."""
+    """Project descriptions against the documents as READMEs (priority 1) or as package comments (7)."""
     projects = table(spark, sf, "documents").selectExpr(
         "doc_id AS project_id", "CASE WHEN doc_id % 4 = 0 THEN source WHEN doc_id % 4 = 1 THEN ' ' END AS description"
     )
-    readme = table(spark, sf, "documents").filter("doc_id % 3 = 0").selectExpr(
-        "doc_id AS project_id", "'readme' AS source", "1 AS priority", "'README.md' AS path", "text"
+    readme = table(spark, sf, "documents").selectExpr(
+        "doc_id AS project_id", "if(doc_id % 3 = 0, 'readme', 'package_doc_comment') AS source", "if(doc_id % 3 = 0, 1, 7) AS priority",
+        "if(doc_id % 3 = 0, 'README.md', 'main.go') AS path", "text",
     )
     return pick_purpose(projects, description_candidate(projects).unionByName(readme))
 
 
 PURPOSE_SQL = f"""
 WITH d AS (SELECT doc_id AS project_id, CASE WHEN doc_id % 4 = 0 THEN source WHEN doc_id % 4 = 1 THEN ' ' END AS description,
-  CASE WHEN doc_id % 3 = 0 THEN text END AS readme FROM documents),
-b AS (SELECT project_id, coalesce(readme, nullif({sql_flat('description')}, '')) AS t FROM d)
+  CASE WHEN doc_id % 3 = 0 THEN text END AS readme, text FROM documents),
+b AS (SELECT project_id, coalesce(readme, nullif({sql_flat('description')}, ''), text) AS t FROM d)
 SELECT project_id, coalesce({sql_truncate('t')}, 'unknown') AS purpose_summary,
   CASE WHEN t IS NULL THEN 'insufficient source material' END AS purpose_summary_reason FROM b
 """
 
 
 def flat_violations(spark, sf):
-    """Q8 on raw rows that break the rules: repeats, long and unexplained summaries."""
-    docs = table(spark, sf, "documents").selectExpr(
-        "doc_id AS project_id",
-        "CASE WHEN doc_id % 5 = 0 THEN 'unknown' ELSE text END AS purpose_summary",
-        "CASE WHEN doc_id % 2 = 0 THEN 'why' END AS purpose_summary_reason",
-    )
+    """Q8 on raw rows that break the rules: repeats, long and unexplained summaries. Each document is a summary, each supplier one that is unknown."""
+    docs = table(spark, sf, "documents").selectExpr("doc_id AS project_id", "text AS purpose_summary", "CAST(NULL AS STRING) AS purpose_summary_reason")
+    docs = docs.unionByName(table(spark, sf, "supplier").selectExpr("s_suppkey AS project_id", "'unknown' AS purpose_summary", "CASE WHEN s_suppkey % 2 = 0 THEN 'why' END AS purpose_summary_reason"))
     return (
         check_summaries(docs)
         .unionByName(check_flat(line_hits(spark, sf), "table_name", "repeated_table"))
@@ -361,8 +354,8 @@ def flat_violations(spark, sf):
 
 
 VIOLATIONS_SQL = f"""
-WITH d AS (SELECT doc_id AS project_id, CASE WHEN doc_id % 5 = 0 THEN 'unknown' ELSE text END AS s,
-  CASE WHEN doc_id % 2 = 0 THEN 'why' END AS r FROM documents)
+WITH d AS (SELECT doc_id AS project_id, text AS s, NULL AS r FROM documents
+  UNION ALL SELECT s_suppkey, 'unknown', CASE WHEN s_suppkey % 2 = 0 THEN 'why' END FROM supplier)
 SELECT project_id, 'summary_too_long' AS violation, CAST(length(s) AS VARCHAR) AS detail FROM d WHERE length(s) > 1000
 UNION ALL SELECT project_id, 'unknown_without_reason', NULL FROM d WHERE s = 'unknown' AND coalesce(r, '') = ''
 UNION ALL SELECT project_id, 'repeated_table', table_name FROM (SELECT {_HIT} FROM lineitem) GROUP BY project_id, table_name HAVING count(*) > 1
@@ -533,7 +526,7 @@ SELECT * FROM ({CONFLICTS_SQL}) WHERE project_id_a IN (SELECT s_suppkey FROM sup
 SELECT s_suppkey AS project_id, 'analysis_branch_missing' AS reason,
   concat('branch ''uat'' missing on project ', s_suppkey) AS detail FROM supplier WHERE s_suppkey % 10 = 9
 """,
-    "projects_with_branch": "SELECT s_suppkey AS project_id, concat('estate/', s_name) AS full_path FROM supplier WHERE s_suppkey % 10 <> 9",
+    "projects_with_branch": f"WITH {_PROJECTS_SQL} SELECT project_id, full_path FROM projects WHERE commit_sha IS NOT NULL",
     "cap_files_per_project": """
 SELECT project_id, path FROM (SELECT l_suppkey AS project_id, concat('f', l_orderkey, '_', l_linenumber, '_', l_partkey) AS path FROM lineitem)
 QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY path) <= 40

@@ -2,7 +2,8 @@
 
 The given tables hold no source text. Each order line becomes one file of the
 project of its supplier, in one of several languages, naming the line's part;
-each supplier adds root files, and a README with a document's text. The same
+each supplier adds root files, and some a README with a document's text. Each
+document also is the README of a project of its own. The same
 SQL expressions run on Spark and on the checking engine, so the work grows with
 the tables.
 """
@@ -248,6 +249,23 @@ PROJECT_COLUMNS = {
 }
 
 
+DOCUMENT_PROJECT = "1000000000 + doc_id"
+DOCUMENT_SHA = f"md5(concat('sha', {DOCUMENT_PROJECT}))"
+DOCUMENT_COLUMNS = {
+    "project_id": DOCUMENT_PROJECT,
+    "full_path": "concat('docs/', doc_id)",
+    "branch": "'uat'",
+    "commit_sha": DOCUMENT_SHA,
+    "description": "CAST(NULL AS {text})",
+}
+DOCUMENT_README = {
+    "project_id": DOCUMENT_PROJECT,
+    "commit_sha": DOCUMENT_SHA,
+    "path": "'README.md'",
+    "content": "concat('# Document ', doc_id, chr(10), chr(10), text)",
+}
+
+
 def _root_columns(path: str, content: str) -> dict[str, str]:
     return {
         "project_id": "s_suppkey",
@@ -278,11 +296,19 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     documents = table(spark, sf_dir, "documents")
     readme = supplier.filter(README_IF).join(documents, supplier["s_suppkey"] == documents["doc_id"])
-    return out.unionByName(readme.selectExpr(*_select(_root_columns("README.md", _README))))
+    return out.unionByName(readme.selectExpr(*_select(_root_columns("README.md", _README)))).unionByName(documents.selectExpr(*_select(DOCUMENT_README)))
 
 
 def corpus_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").selectExpr(*_select(PROJECT_COLUMNS))
+    """Suppliers, and documents as projects of their own."""
+    own = [x.replace("{text}", "STRING") for x in _select(DOCUMENT_COLUMNS)]
+    return table(spark, sf_dir, "supplier").selectExpr(*_select(PROJECT_COLUMNS)).unionByName(table(spark, sf_dir, "documents").selectExpr(*own))
+
+
+def projects_sql() -> str:
+    """The projects for the checking engine."""
+    own = ", ".join(_select(DOCUMENT_COLUMNS)).replace("{text}", "VARCHAR")
+    return f"SELECT {', '.join(_select(PROJECT_COLUMNS))} FROM supplier UNION ALL SELECT {own} FROM documents"
 
 
 def corpus_sql() -> str:
@@ -293,6 +319,6 @@ def corpus_sql() -> str:
         parts.append(f"SELECT {columns} FROM supplier WHERE {condition}")
     columns = ", ".join(_select(_root_columns("README.md", _README)))
     parts.append(f"SELECT {columns} FROM supplier JOIN documents ON s_suppkey = doc_id WHERE {README_IF}")
+    parts.append(f"SELECT {', '.join(_select(DOCUMENT_README))} FROM documents")
     union = "\nUNION ALL\n".join(parts)
-    projects = f"SELECT {', '.join(_select(PROJECT_COLUMNS))} FROM supplier"
-    return f"projects AS ({projects}),\nfiles AS ({union})"
+    return f"projects AS ({projects_sql()}),\nfiles AS ({union})"
