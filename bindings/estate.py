@@ -189,6 +189,11 @@ n AS (SELECT project_id, count(*) FILTER (basis = 'overlap') AS n_overlap, count
 SELECT m.project_id, resp_key, min(m.project_id) OVER (PARTITION BY resp_key, whole) AS representative,
   coalesce(n_overlap, 0) AS n_overlap, coalesce(n_contradictory, 0) AS n_contradictory FROM m LEFT JOIN n USING (project_id)
 """
+# The same for the projects that customers are.
+CUSTOMER_CONFLICT_COUNTS_SQL = CONFLICT_COUNTS_SQL.replace("resp_key IS NOT NULL)", "resp_key IS NOT NULL AND project_id IN (SELECT c_custkey FROM customer))").replace(
+    f"WITH c AS ({CONFLICTS_SQL})",
+    f"WITH c AS (SELECT * FROM ({CONFLICTS_SQL}) WHERE project_id_a IN (SELECT c_custkey FROM customer) AND project_id_b IN (SELECT c_custkey FROM customer))",
+)
 CONFLICT_CLASSES_SQL = f"""
 WITH {TOKENS_SQL}, m AS (SELECT *, array_to_string(list_sort(ts), ' ') AS whole FROM keyed WHERE purpose_summary <> 'unknown' AND resp_key IS NOT NULL)
 SELECT resp_key, min(project_id) AS representative, count(*) AS n_projects, count(*) FILTER (stance = 'owner') AS n_owners,

@@ -24,18 +24,20 @@ def _landing_path(spark, sf) -> str:
     return landed(spark, sf).inputFiles()[0].rsplit("/", 1)[0]
 
 
-def _drain(spark, hits, columns):
-    """The stream's output as a Parquet table, after one pass over all that has landed."""
+def _drain(spark, hits, columns, interval=None):
+    """The stream's output as a Parquet table, after one pass over all that has landed; with an interval, after its first batch with rows."""
     out = scratch_folder(spark)
     query = (
         hits.select(*columns)
         .writeStream.format("parquet")
         .option("path", out)
         .option("checkpointLocation", scratch_folder(spark))
-        .trigger(**trigger(None))
+        .trigger(**trigger(interval))
         .start()
     )
-    query.awaitTermination()
+    while not query.awaitTermination(1):
+        if any(p.numInputRows for p in query.recentProgress):
+            query.stop()
     return spark.read.parquet(out)
 
 
@@ -44,14 +46,14 @@ def streamed_io(spark, sf):
     return _drain(spark, stream_io_hits(landing_stream(spark, _landing_path(spark, sf))), IO_COLS)
 
 
-def streamed_page_urls(spark, sf):
-    """URL hits of pages read as a stream."""
+def streamed_page_urls(spark, sf, interval=None):
+    """URL hits of pages read as a stream; R3: in batches of an interval."""
     schema = table(spark, sf, "pages").schema
     pages = spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(sf)
     files = pages.select(
         F.col("page_id").alias("project_id"), F.lit("pages/url.txt").alias("path"), F.concat(F.lit("see\n"), "url").alias("content")
     )
-    return _drain(spark, url_hits(files), SERVICE_COLS)
+    return _drain(spark, url_hits(files), SERVICE_COLS, interval)
 
 
 def streamed_refresh(spark, sf):
@@ -71,17 +73,20 @@ def streamed_refresh(spark, sf):
 QUERIES = {
     "stream_io_hits": streamed_io,
     "stream_page_urls": streamed_page_urls,
+    "stream_page_urls_by_interval": lambda spark, sf: streamed_page_urls(spark, sf, "5m"),
     "stream_refresh_profiles": streamed_refresh,
 }
+_PAGE_URLS_SQL = f"""
+SELECT page_id AS project_id, lower(regexp_extract(url, '{URL_RE2}', 2)) AS name, 'http_api' AS kind, 'pages/url.txt' AS path, 2 AS line FROM pages
+WHERE regexp_matches(url, '{URL_RE2}')"""
 ORACLE = {
     # The stream reads the landing before admission; the families' own paths are the same rules.
     "stream_io_hits": with_corpus(
         *[c.replace("FROM adm WHERE", "FROM files WHERE") for c in (JS_SQL, JAVA_SQL, YAML_SQL)]
     )
     + " SELECT * FROM js_rows UNION ALL SELECT * FROM java_rows UNION ALL SELECT * FROM yaml_rows",
-    "stream_page_urls": f"""
-SELECT page_id AS project_id, lower(regexp_extract(url, '{URL_RE2}', 2)) AS name, 'http_api' AS kind, 'pages/url.txt' AS path, 2 AS line FROM pages
-WHERE regexp_matches(url, '{URL_RE2}')""",
+    "stream_page_urls": _PAGE_URLS_SQL,
+    "stream_page_urls_by_interval": _PAGE_URLS_SQL,
     "stream_refresh_profiles": SOURCE["profiles"].replace(
         """ SELECT p.project_id, p.full_path, p.branch, p.commit_sha, picked.purpose_summary, picked.purpose_summary_reason,
   coalesce(ins.n, 0) AS n_inputs, coalesce(outs.n, 0) AS n_outputs, coalesce(svc.n, 0) AS n_services, coalesce(tbl.n, 0) AS n_tables,
