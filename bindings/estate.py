@@ -126,11 +126,11 @@ def nested_services(spark, sf):
 
 def io_report(spark, sf):
     items = co.dedup_io(event_io(spark, sf))
-    ins = co.group_report(items.filter("direction = 'in'"), "inputs", "category", "description", rules.INPUT_CATEGORIES)
-    outs = co.group_report(
+    ins = co.report_rows(items.filter("direction = 'in'"), "inputs", "category", "description", rules.INPUT_CATEGORIES)
+    outs = co.report_rows(
         items.filter("direction = 'out'"), "outputs", "category", "description", rules.OUTPUT_CATEGORIES
     )
-    return ins.unionByName(outs)
+    return co.ordered_report([ins, outs])
 
 
 def table_report(spark, sf):
@@ -304,6 +304,12 @@ def metadata(spark, sf):
     )
 
 
+def summary_rows(spark, sf):
+    """N6 of fixed size."""
+    found = sn.snapshot_summary(commits(spark, sf), last_writes(spark, sf))
+    return found.select("snapshot_id", "status", "trigger", F.date_format("started_at", "yyyy-MM-dd").alias("started"), "n_projects", "commits_digest")
+
+
 def customers(spark, sf):
     return table(spark, sf, "customer").selectExpr("c_custkey AS project_id", "c_name AS full_path")
 
@@ -429,6 +435,7 @@ QUERIES = {
     "snapshot_current_profiles": current_profiles,
     "snapshot_copy_forward": copied_forward,
     "snapshot_metadata": metadata,
+    "snapshot_summary": summary_rows,
     "list_projects": lambda spark, sf: lk.list_projects(customers(spark, sf)),
     "lookup_purpose": lambda spark, sf: lk.project_purpose(
         summaries(spark, sf).withColumn("purpose_summary_reason", F.lit(None).cast("string")),
@@ -549,6 +556,11 @@ WITH {WRITES_SQL}, {LAST_SQL}, {COMMITS_SQL},
 m AS (SELECT snapshot_id, string_agg(concat(project_id, '=', commit_sha), ',' ORDER BY project_id) AS shas FROM last_writes GROUP BY 1)
 SELECT snapshot_id, status, trigger, strftime(started_at, '%Y-%m-%d') AS started, strftime(completed_at, '%Y-%m-%d') AS completed, shas
 FROM commits LEFT JOIN m USING (snapshot_id)
+""",
+    "snapshot_summary": f"""
+WITH {WRITES_SQL}, {LAST_SQL}, {COMMITS_SQL},
+m AS (SELECT snapshot_id, count(*) AS n, CAST(sum(CAST('0x' || substr(md5(concat(project_id, '=', commit_sha)), 1, 12) AS BIGINT)) % 1000000000000000 AS BIGINT) AS d FROM last_writes GROUP BY 1)
+SELECT snapshot_id, status, trigger, strftime(started_at, '%Y-%m-%d') AS started, coalesce(n, 0) AS n_projects, coalesce(d, 0) AS commits_digest FROM commits LEFT JOIN m USING (snapshot_id)
 """,
     "list_projects": "SELECT c_custkey AS project_id, c_name AS full_path FROM customer ORDER BY 1",
     "lookup_purpose": f"""

@@ -25,7 +25,7 @@ from bindings.text import SUMMARIES_SQL
 from estatelens.operators import coalesce as co
 from estatelens.operators import lookups as lk
 from estatelens.operators.conflicts import find_conflicts
-from estatelens.operators.profiles import build_profiles
+from estatelens.operators.profiles import build_profiles, profile_sections
 from estatelens.operators.snapshots import SnapshotStore
 from estatelens.plans.corpus import table
 from estatelens.schemas import SKIPS
@@ -88,6 +88,14 @@ def _sizes(profiles: DataFrame) -> DataFrame:
     return profiles.select("project_id", "full_path", "commit_sha", "purpose_summary", *sizes)
 
 
+def sections(spark, sf):
+    """A5 in long form: every fact of every project as a numbered row."""
+    services = co.coalesce_services(event_services(spark, sf)).withColumn("order_key", F.col("name"))
+    tables = co.coalesce_tables(line_hits(spark, sf)).withColumn("order_key", F.col("table_name"))
+    lost = table(spark, sf, "part").selectExpr("p_partkey % 50 AS project_id", "concat(if(p_partkey % 3 = 0, 'cmd/x/', 'pkg/'), if(p_partkey % 9 = 0, '', CAST(p_partkey AS STRING)), 'main.go') AS path", "p_brand AS reason")
+    return profile_sections(co.dedup_io(event_io(spark, sf)), services, tables, lost)
+
+
 def written(spark, sf):
     """A snapshot written and read back."""
     return _sizes(_current(spark, sf))
@@ -140,6 +148,7 @@ def view_services(spark, sf):
 
 
 QUERIES = {
+    "profile_sections": sections,
     "snapshot_written": written,
     "snapshot_project_io": asked_io,
     "snapshot_project_dependencies": asked_dependencies,
@@ -167,6 +176,14 @@ _ASKED = "project_id IN (SELECT n_nationkey FROM nation) AND project_id IN (SELE
 _KNOWN_CONFLICTS = f"SELECT * FROM ({CONFLICTS_SQL}) WHERE project_id_a IN (SELECT c_custkey FROM customer) AND project_id_b IN (SELECT c_custkey FROM customer)"
 
 ORACLE = {
+    "profile_sections": f"""WITH {TABLES_SQL}, {_HITS}, {_OWN_IO},
+lost AS (SELECT p_partkey % 50 AS project_id, concat(CASE WHEN p_partkey % 3 = 0 THEN 'cmd/x/' ELSE 'pkg/' END, CASE WHEN p_partkey % 9 = 0 THEN '' ELSE CAST(p_partkey AS VARCHAR) END, 'main.go') AS path,
+  p_brand AS reason, unnest(['purpose', 'abstract_io', 'external_services', 'database_tables']) AS part, unnest([0, 1, 2, 3]) AS n FROM part),
+every AS (SELECT project_id, CASE direction WHEN 'in' THEN 'inputs' ELSE 'outputs' END AS section, min(seq) AS a, '' AS b, category AS name, description AS detail FROM io_hits GROUP BY ALL
+UNION ALL SELECT project_id, 'services', 0, name, name, arg_min(kind, {_RANK} * 1000000000 + seq) FROM service_hits GROUP BY project_id, name
+UNION ALL SELECT project_id, 'tables', 0, table_name, table_name, access_mode FROM tabs
+UNION ALL SELECT project_id, 'degraded', n, path, part, concat(path, ' (', reason, ')') FROM lost WHERE part <> 'purpose' OR regexp_matches(path, '^([^/]+\\.go|cmd/main\\.go|cmd/[^/]+/main\\.go)$'))
+SELECT project_id, section, row_number() OVER (PARTITION BY project_id, section ORDER BY a, b, name, detail) AS no, name, detail FROM every""",
     "snapshot_written": _SIZES,
     "snapshot_project_io": f"WITH {_PARTS} SELECT * FROM io WHERE {_ASKED}",
     "snapshot_project_dependencies": f"""WITH {_PARTS} SELECT project_id, 'services' AS section, name, kind, n AS n_places FROM svc WHERE {_ASKED}

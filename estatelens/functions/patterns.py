@@ -8,6 +8,7 @@ rows that carry no file text, so the shuffle moves only the matches.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -32,6 +33,48 @@ def sql_literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def needed_word(pattern: str) -> str:
+    """A text, in lower case, without which the pattern cannot match: its longest run of plain characters outside groups and classes; empty if there is none."""
+    body = re.sub(r"\A\(\?[A-Za-z]+\)", "", pattern)
+    runs, run, i = [], "", 0
+    while i < len(body):
+        c = body[i]
+        if c == "|":
+            return ""
+        size, plain = 1, c not in "^$.([{?*+"
+        if c == "\\":
+            size, plain = 2, not body[i + 1].isalnum()
+            c = body[i + 1]
+        elif c in "([":
+            size = _closed(body, i) - i
+        after = body[i + size : i + size + 1]
+        if plain and after not in ("?", "*", "{"):
+            run += c
+        else:
+            runs.append(run)
+            run = ""
+        i += size
+        quantifier = re.match(r"(?:[?*+]|\{[\d,]*\})[?+]?", body[i:])
+        if quantifier:
+            runs.append(run)
+            run = ""
+            i += quantifier.end()
+    return max([*runs, run], key=len).lower()
+
+
+def _closed(body: str, i: int) -> int:
+    """One past the end of the group or class that starts at ``i``."""
+    if body[i] == "[":
+        i += 2 if body[i + 1] in "^]" else 1
+        while body[i] != "]":
+            i += 2 if body[i] == "\\" else 1
+        return i + 1
+    i += 1
+    while body[i] != ")":
+        i = _closed(body, i) if body[i] in "([" else i + (2 if body[i] == "\\" else 1)
+    return i + 1
+
+
 def _newlines(c: str) -> str:
     return f"length({c}) - length(replace({c}, chr(10), ''))"
 
@@ -45,8 +88,10 @@ def _matches(rule: Rule, width: int, texts: bool) -> Column:
         f", 'g{n + 1}', {f'x.`{n + 2}`' if n < len(rule.groups) else 'CAST(NULL AS STRING)'}" for n in range(width)
     )
     kept += ", 'm', x.`0`, 'gap', x.`1`" * texts
+    word = needed_word(rule.pattern)
+    may = f"contains(_low_{rule.view}, {sql_literal(word)}) AND " if word else ""
     return F.expr(
-        f"CASE WHEN {text} RLIKE {pattern} THEN transform(filter("
+        f"CASE WHEN {may}{text} RLIKE {pattern} THEN transform(filter("
         f"arrays_zip(regexp_extract_all({text}, {pattern}, 0), split({text}, {pattern}, -1){groups}), x -> x.`0` IS NOT NULL),"
         f" (x, i) -> named_struct('rule', {rule.number}, 'i', i{kept}, 'm_len', length(x.`0`), 'm_nl', {_newlines('x.`0`')},"
         f" 'gap_len', length(x.`1`), 'gap_nl', {_newlines('x.`1`')})) END"
@@ -64,7 +109,8 @@ def regex_hits(
     """One row per match: key, rule, g1.., start, end and line of the match.
 
     All rules share one pass over the texts, one exchange and one sort by file
-    key; a window holds the matches of one file. ``views`` are other renderings
+    key; a window holds the matches of one file. A pattern is tried only on texts
+    that hold its plain word (:func:`needed_word`). ``views`` are other renderings
     of the same text, of equal length. With ``texts`` the match (m) and the text
     before it since the last match (gap) come too.
     """
@@ -75,6 +121,7 @@ def regex_hits(
     hits = F.flatten(F.filter(F.array(*per_rule), lambda a: a.isNotNull()))
     rows = (
         files.select(*key, *[v.alias(f"_{name}") for name, v in views.items()])
+        .withColumns({f"_low_{name}": F.lower(f"_{name}") for name in views if any(r.view == name and needed_word(r.pattern) for r in rules)})
         .select(*key, F.explode(hits).alias("h"))
         .select(*key, "h.*")
         .repartition(*key)

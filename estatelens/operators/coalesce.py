@@ -137,6 +137,16 @@ def group_report(items: DataFrame, section: str, group: str, label: str, order:
     Tables of unknown access carry the suffix on their label. The result is
     ordered by project, group and label; the sort is a range shuffle.
     """
+    return ordered_report([report_rows(items, section, group, label, order)])
+
+
+def ordered_report(sections: list[DataFrame]) -> DataFrame:
+    """A7 of several sections, sorted once: by project, section, group and label."""
+    return reduce(DataFrame.unionByName, sections).orderBy("project_id", "section", "group_no", "item")
+
+
+def report_rows(items: DataFrame, section: str, group: str, label: str, order: list[str]) -> DataFrame:
+    """The rows of one section, in no order."""
     shown = F.col(label)
     if section == "tables":
         shown = F.when(F.col(group) == "unknown", F.concat(shown, F.lit(rules.UNKNOWN_ACCESS_SUFFIX))).otherwise(shown)
@@ -147,7 +157,7 @@ def group_report(items: DataFrame, section: str, group: str, label: str, order:
         F.col(group).alias("group_name"),
         F.col(label).alias("item"),
         shown.alias("label"),
-    ).orderBy("project_id", "group_no", "item")
+    )
 
 
 def refresh_counts(projects: DataFrame, files: DataFrame) -> DataFrame:

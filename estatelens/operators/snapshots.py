@@ -14,7 +14,7 @@ from __future__ import annotations
 from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -65,6 +65,21 @@ def snapshot_metadata(commits: DataFrame, profiles: DataFrame) -> DataFrame:
     )
 
 
+def snapshot_summary(commits: DataFrame, profiles: DataFrame) -> DataFrame:
+    """N6 of fixed size: start, end and trigger of every snapshot, how many projects it has, and a digest of their commits.
+
+    The digest is a sum over projects, so parts add up in any order and two
+    snapshots with equal digests hold the same commits. The commits themselves
+    are rows of ``profiles``; :func:`snapshot_metadata` nests those asked for.
+    """
+    code = F.conv(F.substring(F.md5(F.concat_ws("=", F.col("project_id").cast("string"), "commit_sha")), 1, 12), 16, 10).cast("decimal(15,0)")
+    sums = profiles.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("n_projects"), (F.sum(code) % F.lit(10**15)).cast("long").alias("commits_digest"))
+    return (
+        commits.join(sums, "snapshot_id", "left")
+        .select("snapshot_id", "status", "trigger", "started_at", "completed_at", F.coalesce("n_projects", F.lit(0)).alias("n_projects"), F.coalesce("commits_digest", F.lit(0)).alias("commits_digest"))
+    )
+
+
 class SnapshotStore:
     """Snapshot tables below one folder of a file system Spark can reach."""
 
@@ -123,10 +138,10 @@ class SnapshotStore:
         )
         return new_id
 
-    def commit(self, snapshot_id: int) -> None:
-        """Completed, and current from now on."""
+    def commit(self, snapshot_id: int, counts: dict[str, int] | None = None) -> None:
+        """Completed, and current from now on, with A8's counts of the refresh."""
         state = self._state(snapshot_id)
-        self._append(state | {"status": "completed", "completed_at": datetime.now(timezone.utc)})
+        self._append(state | {"status": "completed", "completed_at": datetime.now(timezone.utc)} | (counts or {}))
 
     def abort(self, snapshot_id: int) -> None:
         """Failed; the current snapshot stays and the rows are kept."""
@@ -145,18 +160,23 @@ class SnapshotStore:
 
     # --- S13, N5 ----------------------------------------------------------
 
-    def write(self, table: str, snapshot_id: int, rows: DataFrame, schema: StructType | None = None) -> None:
-        """The rows of one snapshot, replacing an earlier attempt at the same snapshot; in order of their first column."""
+    def write(self, table: str, snapshot_id: int, rows: DataFrame, schema: StructType | None = None) -> int:
+        """The rows of one snapshot, replacing an earlier attempt at the same snapshot; in order of their first column.
+
+        Returns how many there are, counted by the write itself.
+        """
         fields = (schema or TABLES[table]).fieldNames()
-        key = fields[0]
+        key, counted = fields[0], Observation()
         (
             rows.select(*fields)
             .repartitionByRange(key)
             .sortWithinPartitions(key)
+            .observe(counted, F.count(F.lit(1)).alias("rows"))
             .write.mode("overwrite")
             .option(f"parquet.bloom.filter.enabled#{key}", "true")
             .parquet(f"{self.root}/{table}/snapshot_id={snapshot_id}")
         )
+        return counted.get["rows"]
 
     def written(self, table: str, snapshot_id: int, schema: StructType | None = None) -> DataFrame:
         """What one snapshot wrote: all its rows, or those it changed."""
@@ -198,12 +218,18 @@ class SnapshotStore:
 
     # --- N2 ---------------------------------------------------------------
 
-    def copy_forward(self, parent: int, snapshot_id: int, profiles: DataFrame, catalog: DataFrame, skips: DataFrame) -> None:
+    def copy_forward(self, parent: int, snapshot_id: int, profiles: DataFrame, catalog: DataFrame, skips: DataFrame) -> dict[str, int]:
         """The changed projects only, read over the parent's chain; a snapshot that begins a chain gets all rows.
 
-        A skipped project keeps its old profile.
+        A skipped project keeps its old profile. Returns A8: profiles written by
+        the refresh (``profiles_written``, without carried ones) and projects ``skipped``.
         """
-        whole = len(self.chain(snapshot_id)) == 1
-        for table, rows in (("profiles", profiles), ("catalog", catalog)):
-            self.write(table, snapshot_id, carry_forward(self.snapshot(table, parent), stored(rows)) if whole else rows)
-        self.write("skips", snapshot_id, skips)
+        whole, written = len(self.chain(snapshot_id)) == 1, 0
+        for table, rows in (("catalog", catalog), ("profiles", profiles)):
+            if whole:
+                before, rows = self.snapshot(table, parent), stored(rows)
+                carried = before.join(rows.select("project_id"), "project_id", "left_anti")
+                written = self.write(table, snapshot_id, carry_forward(before, rows)) - carried.count()
+            else:
+                written = self.write(table, snapshot_id, rows)
+        return {"profiles_written": written, "skipped": self.write("skips", snapshot_id, skips)}

@@ -56,14 +56,13 @@ def publish(
         catalog = projects.select("project_id", "full_path")
         skips = missing_branch(projects)
         if parent is None:
-            store.write("profiles", snapshot_id, profiles)
+            counts = {"profiles_written": store.write("profiles", snapshot_id, profiles), "skipped": store.write("skips", snapshot_id, skips)}
             store.write("catalog", snapshot_id, catalog)
-            store.write("skips", snapshot_id, skips)
         else:
-            store.copy_forward(parent, snapshot_id, profiles, catalog, skips)
+            counts = store.copy_forward(parent, snapshot_id, profiles, catalog, skips)
         if views is not None:
             views.keep_up(snapshot_id, parent)
-        store.commit(snapshot_id)
+        store.commit(snapshot_id, counts)
     except Exception:
         store.abort(snapshot_id)
         raise

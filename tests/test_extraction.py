@@ -1,6 +1,9 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from estatelens.functions.patterns import needed_word
 from estatelens.operators import coalesce as co
 from estatelens.operators import services as sv
 from estatelens.operators import tables as tb
@@ -203,3 +206,24 @@ def test_cap_keeps_the_first_paths_of_big_projects_only(make_files):
     small = make_files({f"g{n}.py": "x" for n in range(5)}, 2)
     kept = {(r["project_id"], r["path"]) for r in cap_files(big.unionByName(small), 10, spread=4).collect()}
     assert kept == {(1, f"f{n:03d}.py") for n in range(10)} | {(2, f"g{n}.py") for n in range(5)}
+
+
+@pytest.mark.parametrize(
+    ("pattern", "word"),
+    [
+        (r"\bINSERT\s+INTO\s+(x|y)", "insert"),
+        (r"(?iU)ab?cd*ef{2}ghh+i", "ghh"),
+        (r"a|b", ""),
+        (r"(?:abc)def", "def"),
+        (r"[abc]+\.create_table\s*\(", ".create_table"),
+        (r"\w+\d", ""),
+        (r"x(?:a[)\]]|\))yz", "yz"),
+        (r"longer\.*short", "longer"),
+    ],
+)
+def test_needed_words(pattern, word):
+    assert needed_word(pattern) == word
+    body = re.sub(r"\A\(\?[A-Za-z]+\)", "", pattern)
+    for text in ("INSERT INTO x", "acefghhi", "abcddeffghhhi", "a", "abcdef", "b.create_table (", "xa)yz", "x)yz", "longershort", "z9"):
+        if re.search(body, text):
+            assert word in text.lower()
