@@ -7,6 +7,8 @@ the operators say.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,20 @@ NEAR_WIDTH, NEAR_PERCENT = 5, 80
 PASSAGE_WORDS = repeats.PASSAGE_WORDS
 
 
+#: Rows of one batch to Python. Texts may be long, and what batches take outside the heap is not given back.
+BATCH_ROWS = "1000"
+
+
+def _small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that sends texts to Python in small batches."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a learned language; texts without letters go."""
     named = language.identify(docs, language.learn(docs))
@@ -62,11 +78,11 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
-    ("language", keep_languages),
-    ("near_duplicates", keep_one_of_each),
-    ("repeats", cut_passages),
-    ("mix", mix_sources),
-    ("pack", pack_sequences),
+    ("language", _small_batches(keep_languages)),
+    ("near_duplicates", _small_batches(keep_one_of_each)),
+    ("repeats", _small_batches(cut_passages)),
+    ("mix", _small_batches(mix_sources)),
+    ("pack", _small_batches(pack_sequences)),
 ]
 
 #: Learned languages and suffix arrays have no SQL; the tests compare with brute force.
