@@ -145,14 +145,20 @@ def pieces_in(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
     return docs.select(*_identity(docs), F.col("text").cast("string").alias("text")).mapInArrow(run, kinds)
 
 
-def _meeting(pieces: DataFrame) -> DataFrame:
-    """Those pieces (stored) whose anchor is met more than once, with ``differ``: whether it has different pieces.
+def _meeting(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Those pieces (stored) whose anchor is met more than once, and for each such anchor whether its pieces differ.
 
     Most anchors are met once, so their pieces are made again rather than kept.
     """
-    by_anchor = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("one"), F.max("content").alias("other"))
-    by_anchor = small_side(by_anchor.filter("n > 1").select("anchor", (F.col("one") != F.col("other")).alias("differ")))
-    return stored(pieces.join(by_anchor, "anchor"))
+    again = small_side(pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"))
+    kept = stored(pieces.join(again, "anchor"))
+    differ = kept.groupBy("anchor").agg((F.min("content") != F.max("content")).alias("differ"))
+    return kept, differ
+
+
+def _of_rows(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """The documents (with ``_id`` and ``_tie``) that are, or are not, among ``rows``: by ids alone, so that no other text moves."""
+    return docs.join(small_side(rows.select("_id", "_tie").distinct()), ["_id", "_tie"], how)
 
 
 def _unsure(distinct: DataFrame) -> DataFrame:
@@ -183,7 +189,8 @@ def _cut(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["anchor", "content", "copies", "windows", "bytes"])
 
-    met = docs.select(*_identity(docs), "text").join(wanted, ["_id", "_tie"]).select("text", "pieces")
+    wanted = stored(wanted)
+    met = _of_rows(docs.select(*_identity(docs), "text"), wanted, "left_semi").join(wanted, ["_id", "_tie"]).select("text", "pieces")
     return met.mapInArrow(run, "anchor long, content long, copies long, windows long, bytes binary")
 
 
@@ -237,12 +244,11 @@ def _by_hash(cut: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """For each text with repeats its row's id and tie, and ``spans``: (lo, hi) byte ranges, which may overlap."""
-    places = _meeting(pieces_in(docs, length, gram))
+    places, differ = _meeting(pieces_in(docs, length, gram))
     distinct = stored(
-        places.groupBy("anchor", "content").agg(
-            F.count(F.lit(1)).alias("copies"), F.first("windows").alias("windows"), F.first("differ").alias("differ"),
-            F.first("left").alias("left"), F.first("right").alias("right"), F.min(F.struct("_id", "_tie", "first")).alias("at"),
-        )
+        places.groupBy("anchor", "content")
+        .agg(F.count(F.lit(1)).alias("copies"), F.first("windows").alias("windows"), F.first("left").alias("left"), F.first("right").alias("right"), F.min(F.struct("_id", "_tie", "first")).alias("at"))
+        .join(differ, "anchor")
     )
     unsure = _unsure(distinct)
     size = F.col("windows") + length - 1
@@ -362,16 +368,16 @@ def passage_spans(docs: DataFrame, words: int) -> DataFrame:
 
     given = docs.select(*_identity(docs), F.col("text").cast("string").alias("text"))
     kinds = ", ".join(f"{n} long" for n in ("_id", "_tie", "lo", "hi", "anchor", "content", "left", "right"))
-    places = _meeting(given.mapInArrow(cut, kinds))
+    places, differ = _meeting(given.mapInArrow(cut, kinds))
     distinct = stored(
-        places.groupBy("anchor", "content").agg(
-            F.count(F.lit(1)).alias("copies"), F.first("differ").alias("differ"), F.first("left").alias("left"), F.first("right").alias("right"), F.min(F.struct("_id", "_tie", "lo", "hi")).alias("at")
-        )
+        places.groupBy("anchor", "content")
+        .agg(F.count(F.lit(1)).alias("copies"), F.first("left").alias("left"), F.first("right").alias("right"), F.min(F.struct("_id", "_tie", "lo", "hi")).alias("at"))
+        .join(differ, "anchor")
     )
     unsure = _unsure(distinct)
     piece = F.struct(F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"), "anchor", "content", "copies")
-    wanted = unsure.groupBy(F.col("at._id").alias("_id"), F.col("at._tie").alias("_tie")).agg(F.collect_list(piece).alias("pieces"))
-    windows = given.join(wanted, ["_id", "_tie"]).select("text", "pieces").mapInArrow(count, "anchor long, content long, copies long, lo long, hi long, h1 long, h2 long")
+    wanted = stored(unsure.groupBy(F.col("at._id").alias("_id"), F.col("at._tie").alias("_tie")).agg(F.collect_list(piece).alias("pieces")))
+    windows = _of_rows(given, wanted, "left_semi").join(wanted, ["_id", "_tie"]).select("text", "pieces").mapInArrow(count, "anchor long, content long, copies long, lo long, hi long, h1 long, h2 long")
     windows = stored(windows.dropDuplicates(["anchor", "content", "lo"]))  # a repeated row meets its pieces again
     many = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h1", "h2")
     # Pieces with copies repeat whole; the others have one place each.
@@ -429,7 +435,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, word
         found = passage_spans(docs, words).withColumnRenamed("spans", "passages")
         spans = spans.drop("passages").join(found, ["_id", "_tie"], "full")
     spans = stored(spans.select("_id", "_tie", "spans", "passages")).toDF(by_id, by_tie, own_spans, own_passages)
-    met = docs.withColumns(dict(zip((by_id, by_tie), _identity(docs), strict=True))).join(spans, [by_id, by_tie], "left")
+    known = docs.withColumns(dict(zip((by_id, by_tie), _identity(docs), strict=True)))
+    # Texts without repeats stay where they are.
+    ids = small_side(spans.select(by_id, by_tie))
+    met = known.join(ids, [by_id, by_tie], "left_semi").join(spans, [by_id, by_tie])
+    rest = known.join(ids, [by_id, by_tie], "left_anti").select(*names, *[F.lit(None).cast(spans.schema[c].dataType).alias(c) for c in (own_spans, own_passages)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in pieces_of(batches):
@@ -444,7 +454,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, word
             yield pa.RecordBatch.from_arrays([*rows.columns[:-2], *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds[: len(added)], strict=True))], [*names, *added])
 
     fields = [T.StructField("kept", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ADDED[1:4]), T.StructField("kept_text", T.StringType()), *(T.StructField(c, T.LongType()) for c in PASSAGES)]
-    return met.select(*names, own_spans, own_passages).mapInArrow(run, T.StructType([*docs.schema.fields, *fields[: len(added)]]))
+    return met.select(*names, own_spans, own_passages).unionByName(rest).mapInArrow(run, T.StructType([*docs.schema.fields, *fields[: len(added)]]))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
