@@ -20,8 +20,6 @@ SUMMARY_MAX = 1000
 UNKNOWN_SUMMARY = "unknown"
 NO_MATERIAL = "insufficient source material"
 BRANCH_MISSING = "analysis_branch_missing"
-MAX_FILE_BYTES = 1048576
-MAX_FILES_PER_PROJECT = 5000
 OVERLAP = 0.6
 EXCERPT_MAX = 80
 UNKNOWN_ACCESS_SUFFIX = " [access: unknown]"
@@ -59,12 +57,14 @@ NO_SERVICE_PREFIXES = ["license", "changelog", "authors", "contributors"]
 
 # --- fixed values: purpose words --------------------------------------------
 
-STOP_WORDS = """
-a an and any are as at be been being but by can could did do does for from had has have he her hers him his how
-i in into is it its may me might mine must my no nor not of on or ought our ours out over shall she should so
-than that the their theirs them they this those to too under up us was we were what when where which while who
-whom whose why will with within without would you your yours
-""".split()
+STOP_WORDS = [
+    "a", "an", "and", "any", "are", "as", "at", "be", "been", "being", "but", "by", "can", "could", "did", "do",
+    "does", "for", "from", "had", "has", "have", "he", "her", "hers", "him", "his", "how", "i", "in", "into", "is",
+    "it", "its", "may", "me", "might", "mine", "must", "my", "no", "nor", "not", "of", "on", "or", "ought", "our",
+    "ours", "out", "over", "shall", "she", "should", "so", "than", "that", "the", "their", "theirs", "them", "they",
+    "this", "those", "to", "too", "under", "up", "us", "was", "we", "were", "what", "when", "where", "which",
+    "while", "who", "whom", "whose", "why", "will", "with", "within", "without", "would", "you", "your", "yours",
+]
 OWNER_PHRASES = [
     "controls", "handles", "is responsible for", "is the owner of", "is the source of truth for",
     "is the system of record for", "manages", "owner of", "owns",
@@ -154,11 +154,14 @@ MODEL_QUERIES = [
     (r"\bsession\.add\(\s*(\w+)\s*\(", "write"),
 ]
 MODEL_OBJECTS = r"\b(\w+)\.objects\.(\w+)"
-OBJECT_READS = """
-aggregate all annotate count distinct earliest exclude exists filter first get in_bulk last latest none order_by
-prefetch_related raw select_related values values_list
-""".split()
-OBJECT_WRITES = "bulk_create bulk_update create delete get_or_create update update_or_create".split()
+OBJECT_READS = [
+    "aggregate", "all", "annotate", "count", "distinct", "earliest", "exclude", "exists", "filter", "first", "get",
+    "in_bulk", "last", "latest", "none", "order_by", "prefetch_related", "raw", "select_related", "values",
+    "values_list",
+]
+OBJECT_WRITES = [
+    "bulk_create", "bulk_update", "create", "delete", "get_or_create", "update", "update_or_create",
+]
 
 # --- fixed values: Go repositories ------------------------------------------
 
@@ -178,12 +181,14 @@ GO_LITERAL = r'"(?:[^"\\\n]|\\[\s\S])*+"|`[^`]*`'
 GO_SKIPPED_PHRASE = "Automatically close issues from merge requests"
 GO_FORMAT_SCHEMA = r"%[-+#0 ]?\[?\d*\]?[a-zA-Z]+\.(?=[A-Za-z_])"
 GO_PROCEDURE = r"\s+([A-Z_][A-Z0-9_]*(?:\.[A-Z_][A-Z0-9_]*)?)\s*\("
-TABLE_STOP_WORDS = """
-all and any as asc between by case desc distinct else end exists false from full group having if in inner into is
-join left like merge not null on or order outer right select set table then true union update using values when
-where begin cursor declare dual exception loop package procedure raise rowtype type authorize cache db fx pool
-redis requestoridentifier ruleids sp sysobj
-""".split()
+TABLE_STOP_WORDS = [
+    "all", "and", "any", "as", "asc", "between", "by", "case", "desc", "distinct", "else", "end", "exists", "false",
+    "from", "full", "group", "having", "if", "in", "inner", "into", "is", "join", "left", "like", "merge", "not",
+    "null", "on", "or", "order", "outer", "right", "select", "set", "table", "then", "true", "union", "update",
+    "using", "values", "when", "where", "begin", "cursor", "declare", "dual", "exception", "loop", "package",
+    "procedure", "raise", "rowtype", "type", "authorize", "cache", "db", "fx", "pool", "redis",
+    "requestoridentifier", "ruleids", "sp", "sysobj",
+]
 GO_FLAG_NAME_AT = {
     "String": 0, "StringVar": 1, "Int": 0, "IntVar": 1, "Bool": 0, "BoolVar": 1, "Float64": 0, "Float64Var": 1,
     "Duration": 0, "DurationVar": 1, "NewFlagSet": 0,

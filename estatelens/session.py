@@ -35,10 +35,14 @@ def local_session(cores: int = 8, app: str = "estatelens", memory: str = "12g")
 def scratch_folder(spark: SparkSession) -> str:
     """A fresh folder below the shared one the cluster names in ``spark.checkpoint.dir``.
 
-    Where the session names none, as in tests, it lies in the warehouse, which
-    executors and driver share too; never in a machine's temporary folder.
+    Where a local session names none, as in tests, it lies in the warehouse. A
+    cluster has to name one: its warehouse may be a folder of one machine.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
     return f"{base.rstrip('/')}/estatelens-{uuid.uuid4().hex}"
 
 
