@@ -550,7 +550,16 @@ _PROFILE_SQL = [
     """deg AS (SELECT project_id, count(*) * 3 AS n FROM skipped GROUP BY 1)""",
 ]
 
+# What each Python template holds: (kind, number) by the name of its file, read off the templates.
+PY_SITES_SQL = """py_sites AS (SELECT project_id, unnest(CASE WHEN path = 'app.py' THEN ['docstring|1', 'string|1']
+  WHEN regexp_matches(path, '^app/[ad].*\\.py$') THEN ['string|1'] WHEN regexp_matches(path, '^app/c.*\\.py$') THEN ['call|4', 'string|2']
+  WHEN regexp_matches(path, '^app/g.*\\.py$') THEN ['call|2', 'string|3'] WHEN regexp_matches(path, '^app/k.*\\.py$') THEN ['call|8', 'main|1', 'string|7']
+  WHEN regexp_matches(path, '^app/q.*\\.py$') THEN ['call|7'] WHEN regexp_matches(path, '^app/u.*\\.py$') THEN ['string|4']
+  WHEN regexp_matches(path, '^app/w.*\\.py$') THEN ['call|4', 'decorator|5', 'string|3'] ELSE [] END) AS f FROM adm)"""
+
 ORACLE = {
+    "python_sites_by_kind": with_corpus(PY_SITES_SQL)
+    + " SELECT project_id, split_part(f, '|', 1) AS kind, CAST(sum(CAST(split_part(f, '|', 2) AS BIGINT)) AS BIGINT) AS n FROM py_sites GROUP BY 1, 2",
     "files_pinned": with_corpus() + " SELECT project_id, path FROM live",
     "files_admitted": with_corpus() + " SELECT project_id, path FROM adm",
     "project_shape": with_corpus() + " SELECT * FROM shape",
