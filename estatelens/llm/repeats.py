@@ -54,8 +54,8 @@ _PLACE_BITS = 24
 class Anchors:
     """Pieces of texts: places of equal windows' anchors."""
 
-    def __init__(self, length: int, gram: int) -> None:
-        self.length, self.gram = length, gram
+    def __init__(self, length: int, gram: int, anchors_only: bool = False) -> None:
+        self.length, self.gram, self.anchors_only = length, gram, anchors_only
         self.codes = byte_codes(21)
         self.up = self.down = np.empty(0, dtype=np.uint64)
 
@@ -110,6 +110,8 @@ class Anchors:
         anchor = (least[start] & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
         new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (section[1:] != section[:-1])]))
         count = np.diff(np.append(new, len(start)))
+        if self.anchors_only:
+            return (hashes[anchor[new]].view(np.int64),) * 7
         first, own = start[new], section[new]
         view = memoryview(buffer)
         content = np.array([digest(view[a:b]) for a, b in zip(first.tolist(), (first + count + self.length - 1).tolist(), strict=True)], dtype=np.uint64)
@@ -145,12 +147,23 @@ def pieces_in(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
     return docs.select(*_identity(docs), F.col("text").cast("string").alias("text")).mapInArrow(run, kinds)
 
 
-def _meeting(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+def anchors_in(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """The anchor of every piece of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors = Anchors(length, gram, True)
+        for _, texts in pieces_of(batches, limit=1 << 20):
+            yield pa.RecordBatch.from_arrays([pa.array(anchors(texts)[0])], ["anchor"])
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "anchor long")
+
+
+def _meeting(pieces: DataFrame, anchors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Those pieces (stored) whose anchor is met more than once, and for each such anchor whether its pieces differ.
 
     Most anchors are met once, so their pieces are made again rather than kept.
     """
-    again = small_side(pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"))
+    again = small_side(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"))
     kept = stored(pieces.join(again, "anchor"))
     differ = kept.groupBy("anchor").agg((F.min("content") != F.max("content")).alias("differ"))
     return kept, differ
@@ -244,7 +257,7 @@ def _by_hash(cut: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """For each text with repeats its row's id and tie, and ``spans``: (lo, hi) byte ranges, which may overlap."""
-    places, differ = _meeting(pieces_in(docs, length, gram))
+    places, differ = _meeting(pieces_in(docs, length, gram), anchors_in(docs, length, gram))
     distinct = stored(
         places.groupBy("anchor", "content")
         .agg(F.count(F.lit(1)).alias("copies"), F.first("windows").alias("windows"), F.first("left").alias("left"), F.first("right").alias("right"), F.min(F.struct("_id", "_tie", "first")).alias("at"))
@@ -277,8 +290,8 @@ PASSAGE_WORDS, PASSAGE_GRAM = 51, 8
 class Passages:
     """Windows of whole words and their pieces: as :class:`Anchors`, with words in place of bytes."""
 
-    def __init__(self, words: int, gram: int = PASSAGE_GRAM) -> None:
-        self.words, self.gram = words, gram
+    def __init__(self, words: int, gram: int = PASSAGE_GRAM, anchors_only: bool = False) -> None:
+        self.words, self.gram, self.anchors_only = words, gram, anchors_only
         self.one, self.two = WordHasher(), WordHasher()
         self.one.codes, self.two.codes = byte_codes(21), byte_codes(77)  # letters keep their case
 
@@ -328,6 +341,8 @@ class Passages:
             least = np.minimum(least[: have - width], least[width - have :])
         anchor = (least[word] & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
         new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))
+        if self.anchors_only:
+            return (hashes[anchor[new]].view(np.int64),) * 7
         last = np.append(new[1:], len(word)) - 1
         lo, hi, own = starts[word[new]], ends[word[last] + self.words - 1], text[new]
         view = memoryview(data)
@@ -358,6 +373,12 @@ def passage_spans(docs: DataFrame, words: int) -> DataFrame:
                 columns = [rows.column(0).take(pa.array(text)), rows.column(1).take(pa.array(text)), *map(pa.array, (lo + at, hi + at, *hashes))]
                 yield pa.RecordBatch.from_arrays(columns, ["_id", "_tie", "lo", "hi", "anchor", "content", "left", "right"])
 
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passages = Passages(words, anchors_only=True)
+        for _, texts in pieces_of(batches):
+            for batch in passages.sections(texts):
+                yield pa.RecordBatch.from_arrays([pa.array(passages.pieces([b for _, _, b in batch])[0])], ["anchor"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passages = Passages(words)
         for rows, texts in pieces_of(batches):
@@ -368,7 +389,7 @@ def passage_spans(docs: DataFrame, words: int) -> DataFrame:
 
     given = docs.select(*_identity(docs), F.col("text").cast("string").alias("text"))
     kinds = ", ".join(f"{n} long" for n in ("_id", "_tie", "lo", "hi", "anchor", "content", "left", "right"))
-    places, differ = _meeting(given.mapInArrow(cut, kinds))
+    places, differ = _meeting(given.mapInArrow(cut, kinds), given.select("text").mapInArrow(meet, "anchor long"))
     distinct = stored(
         places.groupBy("anchor", "content")
         .agg(F.count(F.lit(1)).alias("copies"), F.first("left").alias("left"), F.first("right").alias("right"), F.min(F.struct("_id", "_tie", "lo", "hi")).alias("at"))
