@@ -87,6 +87,7 @@ class SnapshotStore:
         self.spark = spark
         self.root = root.rstrip("/")
         self.compact_after = compact_after
+        self._chains: dict[int, list[int]] = {}  # fixed once a snapshot has begun
 
     # --- commit log -------------------------------------------------------
 
@@ -155,8 +156,12 @@ class SnapshotStore:
 
     def chain(self, snapshot_id: int) -> list[int]:
         """The snapshots whose partitions make this one, the whole one first; at most ``compact_after``."""
-        row = self.commits().filter(F.col("snapshot_id") == snapshot_id).first()
-        return list(row["chain"]) if row is not None and row["chain"] else [snapshot_id]
+        if snapshot_id not in self._chains:
+            row = self.commits().filter(F.col("snapshot_id") == snapshot_id).first()
+            if row is None:
+                return [snapshot_id]
+            self._chains[snapshot_id] = list(row["chain"] or [snapshot_id])
+        return self._chains[snapshot_id]
 
     # --- S13, N5 ----------------------------------------------------------
 
