@@ -479,6 +479,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, word
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Small batches of texts to Python: what batches take outside the heap is not given back.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = remove_repeats(docs, words=PASSAGE_WORDS, cut_passages=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), *PASSAGES)
