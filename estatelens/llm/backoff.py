@@ -1,18 +1,19 @@
 """Language-model scores of documents by stupid backoff.
 
-The model is the corpus itself: counts of words and word pairs over all
-documents, less the document's own. A word w after v scores
-count(v w) / count(v) where other documents have the pair, else ``BACKOFF``
-times count(w) / words, with one half for a word no other document has. A
-document's score is the sum of logarithms over its words; a first word has no
-pair.
-
-Relationally: each document is exploded to its distinct n-grams with their
-counts, these are dealt by range of their hash to count tables, and the counts
-come back to the document and are summed. N-grams travel packed: per batch and
-range the hashes of each document in order, so that counts return in the same
-order without the hashes. A frequent n-gram reaches its range once per
-document that has it, as a few bytes of an array.
+The model is the corpus itself: counts of all n-grams of up to ``order`` words
+over all documents, less the document's own. A word scores by its longest
+n-gram that other documents have: that n-gram's count over the count of the
+n-gram without its last word, times ``BACKOFF`` for each order given up; a
+single word scores its count over all words, with one half for a word no other
+document has. A document's score is the sum of logarithms over its words; its
+first words have shorter n-grams only.
+
+Relationally: documents are dealt into homes of bounded bytes by hash, each
+home is exploded to its distinct n-grams with their counts, these are dealt by
+range of their hash to count tables, and the sums come back to the home, where
+each document takes off its own counts and adds up. N-grams travel packed: per
+home and range their hashes in order, so that sums return in the same order
+without the hashes. A frequent n-gram reaches its range once per home.
 
 Defined cases: null and empty texts, and texts without words, have no words
 and score 0; rows of one doc_id and text are documents of their own with equal
@@ -30,33 +31,81 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estatelens.llm.mixing import size_of
-from estatelens.llm.words import BASE, WordHasher, mixed, pieces_of
+from estatelens.llm.words import BASE, WordHasher, as_bytes, mixed
 
 BACKOFF = 0.4
-#: Bytes of an n-gram's hash that travel; the range tells the rest. The chance that another of its range shares them is about one in 1e5.
+ORDER = 3
+#: Bytes of an n-gram's hash that travel; the range tells the rest. Ranges grow in number with the corpus, so about three n-grams in a million share them with another at any size.
 HASH_BYTES = 5
-#: Text bytes that one group of documents scores at once, about.
-GROUP_BYTES = 16 << 20
-
-
-class Ngrams:
-    """Distinct words and word pairs of documents, by hash."""
-
-    def __init__(self) -> None:
-        self.hasher = WordHasher()
-
-    def __call__(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each text its distinct n-gram hashes in order, their counts, and for its words and then its pairs the place among them."""
-        word, first = self.hasher.words(texts)
-        pair = mixed(word[:-1] * np.uint64(BASE) + word[1:]) if len(word) else word
-        for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            every = np.concatenate([word[lo:hi], pair[lo : max(lo, hi - 1)]])
-            yield _unique(every)
-
-
-def _unique(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    kinds, place, count = np.unique(x, return_inverse=True, return_counts=True)
-    return kinds, count, place
+#: Text bytes of a home, and n-grams of a range before those of a home are merged, about.
+HOME_BYTES, RANGE_GRAMS = 16 << 20, 6 << 20
+#: Text bytes hashed at once.
+CHUNK_BYTES = 1 << 20
+
+
+def _word_hashes(texts: list[bytes], hasher: WordHasher) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of the texts, and the number of words of each text."""
+    hashes, sizes = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
+    lo = size = 0
+    for hi, t in enumerate([*texts, b""], 1):
+        size += len(t) + 1
+        if size > CHUNK_BYTES or hi > len(texts):
+            word, first = hasher.words(texts[lo:hi])
+            hashes.append(word)
+            sizes.append(np.diff(first))
+            lo, size = hi, 0
+    return np.concatenate(hashes), np.concatenate(sizes)
+
+
+class Home:
+    """The n-grams of a home's documents, by order: distinct hashes in order, their counts, and each occurrence's place among them."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        self.words, self.sizes = _word_hashes(texts, WordHasher())
+        self.document = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        #: The place of each word in its document.
+        self.at = np.arange(len(self.words)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+
+    def orders(self, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each order the words that end an n-gram of it, and the n-grams' hashes."""
+        joined = self.words
+        for n in range(1, order + 1):
+            if n > 1:
+                joined = mixed(joined[:-1] * np.uint64(BASE) + self.words[n - 1 :])
+            last = np.flatnonzero(self.at >= n - 1)
+            yield last, joined[last - (n - 1)]
+
+    def distinct(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """All distinct n-grams in order of their hash, with their counts."""
+        every = np.sort(np.concatenate([h for _, h in self.orders(order)]))
+        new = np.flatnonzero(np.concatenate([[True] * bool(len(every)), every[1:] != every[:-1]]))
+        return every[new], np.diff(np.append(new, len(every)))
+
+    def others(self, last: np.ndarray, hashes: np.ndarray, kinds: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """For each word how often other documents have the n-gram that it ends; 0 where it ends none."""
+        by_hash = np.argsort(hashes, kind="stable")  # equal n-grams stay in the order of documents
+        h, d = hashes[by_hash], self.document[last[by_hash]]
+        new = np.concatenate([[True] * bool(len(h)), (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
+        first = np.flatnonzero(new)
+        left = counts[np.searchsorted(kinds, h[first])] - np.diff(np.append(first, len(h)))
+        out = np.zeros(len(self.words), dtype=np.int64)
+        out[last[by_hash]] = left[np.cumsum(new) - 1]
+        return out
+
+    def scores(self, order: int, words: int, kinds: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The score of each document; ``counts`` are those of the whole corpus, which has ``words`` words."""
+        rest = np.maximum(1, words - self.sizes)[self.document]
+        logs = shorter = None
+        for n, (last, hashes) in enumerate(self.orders(order), 1):
+            here = self.others(last, hashes, kinds, counts)
+            if logs is None:
+                logs = np.log(np.where(here > 0, here, 0.5) / rest)
+            else:
+                logs += np.where(self.at >= n - 1, np.log(BACKOFF), 0.0)
+                met = np.flatnonzero(here)
+                logs[met] = np.log(here[met] / shorter[met - 1])
+            shorter = here
+        return np.bincount(self.document, weights=logs, minlength=len(self.sizes))
 
 
 def _cuts(kinds: np.ndarray, parts: int) -> np.ndarray:
@@ -75,20 +124,16 @@ def _long(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-_SENT = "part int, home long, docs binary, sizes binary, grams binary, counts binary"
-_BACK = "home long, part int, docs binary, sizes binary, counts binary"
-
-
 def _small(x: np.ndarray) -> bytes:
     """Counts as bytes, with larger ones after them: 255 stands for the next of those."""
     big = x >= 255
-    return np.uint32(len(x)).tobytes() + np.where(big, 255, x).astype(np.uint8).tobytes() + x[big].astype("<u4").tobytes()
+    return np.uint64(len(x)).tobytes() + np.where(big, 255, x).astype(np.uint8).tobytes() + x[big].astype("<i8").tobytes()
 
 
 def _counts(raw: bytes) -> np.ndarray:
-    n = int(np.frombuffer(raw[:4], dtype=np.uint32)[0])
-    out = np.frombuffer(raw[4 : 4 + n], dtype=np.uint8).astype(np.int64)
-    out[out == 255] = np.frombuffer(raw[4 + n :], dtype="<u4")
+    n = int(np.frombuffer(raw[:8], dtype=np.uint64)[0])
+    out = np.frombuffer(raw[8 : 8 + n], dtype=np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw[8 + n :], dtype="<i8")
     return out
 
 
@@ -97,70 +142,49 @@ def _row() -> Column:
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words and log_score (natural logarithm, summed) of every document."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+_SENT = "part long, home long, grams binary, counts binary"
+_BACK = "home long, part long, counts binary"
+
+
+def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """doc_id, n_words, log_score (natural logarithm, summed) and mean_log_score (by word; 0 without words) of every document."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     stats = texts.agg(F.sum(size_of(F.col("text"))).alias("words"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    words, homes = int(stats["words"] or 0), max(1, -(-int(stats["bytes"] or 0) // GROUP_BYTES))
-    texts = texts.withColumn("home", F.pmod(F.col("row"), F.lit(homes)))
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ngrams = Ngrams()
-        for rows, own in pieces_of(batches, limit=1 << 21):
-            ids, home = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-            by_home: dict[int, list[tuple]] = {}
-            for i, h, (k, c, _) in zip(ids.tolist(), home.tolist(), ngrams(own), strict=True):
-                by_home.setdefault(h, []).append((i, k, c, _cuts(k, parts)))
-            out = []
-            for h, mine in sorted(by_home.items()):
-                for p in range(parts):
-                    cut = [(i, k[x[p] : x[p + 1]], c[x[p] : x[p + 1]]) for i, k, c, x in mine if x[p] < x[p + 1]]
-                    if cut:
-                        docs_, sizes = np.array([c[0] for c in cut], dtype="<i8"), np.array([len(c[1]) for c in cut], dtype="<u4")
-                        out.append((p, h, docs_.tobytes(), sizes.tobytes(), _short(np.concatenate([c[1] for c in cut])), _small(np.concatenate([c[2] for c in cut]))))
-            if out:
-                kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [f.split()[0] for f in _SENT.split(", ")])
+    words, homes = int(stats["words"] or 0), max(1, -(-int(stats["bytes"] or 0) // HOME_BYTES))
+    parts = max(1, -(-words * order // RANGE_GRAMS))
+    texts = texts.select(F.pmod(F.col("row"), F.lit(homes)).alias("home"), "doc_id", "text")
+
+    def send(group: pa.Table) -> pa.Table:
+        kinds, counts = Home(as_bytes(group.column("text"))).distinct(order)
+        cut = _cuts(kinds, parts)
+        held = np.flatnonzero(np.diff(cut)).tolist()
+        grams, many = ([pack(x[cut[p] : cut[p + 1]]) for p in held] for pack, x in ((_short, kinds), (_small, counts)))
+        home = pa.array([group.column("home")[0].as_py()] * len(held), pa.int64())
+        return pa.table({"part": pa.array(held, pa.int64()), "home": home, "grams": pa.array(grams, pa.binary()), "counts": pa.array(many, pa.binary())})
 
     def count(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        grams = [_long(r["grams"]) for r in rows]
-        tf = np.concatenate([_counts(r["counts"]) for r in rows])
-        kinds, place = np.unique(np.concatenate(grams), return_inverse=True)
-        others = np.bincount(place, weights=tf, minlength=len(kinds)).astype(np.int64)[place] - tf
+        grams = [_long(x) for x in group.column("grams").to_pylist()]
         ends = np.cumsum([len(g) for g in grams])
-        packed = [_small(x) for x in np.split(others, ends[:-1])]
-        return pa.table({"home": pa.array([r["home"] for r in rows], pa.int64()), "part": pa.array([r["part"] for r in rows], pa.int32()), "docs": [r["docs"] for r in rows], "sizes": [r["sizes"] for r in rows], "counts": pa.array(packed, pa.binary())})
-
-    def total(texts_: pa.Table, counts: pa.Table) -> pa.Table:
-        got: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for r in counts.to_pylist():
-            values = np.split(_counts(r["counts"]), np.cumsum(np.frombuffer(r["sizes"], dtype="<u4"))[:-1])
-            for d, v in zip(np.frombuffer(r["docs"], dtype="<i8").tolist(), values, strict=True):
-                got.setdefault(d, []).append((r["part"], v))
-        own = [x.encode("utf-8") for x in texts_.column("text").to_pylist()]
-        out = []
-        ngrams = Ngrams()
-        found = (x for i in range(0, len(own), 64) for x in ngrams(own[i : i + 64]))
-        for doc_id, row, (_, _, place) in zip(texts_.column("doc_id").to_pylist(), texts_.column("row").to_pylist(), found, strict=True):
-            n = (len(place) + 1) // 2
-            if not n:
-                out.append((doc_id, 0, 0.0))
-                continue
-            replies = sorted(got[row], key=lambda x: x[0])
-            # Repeated rows come back once each, with equal counts.
-            others = np.concatenate([v for i, (p, v) in enumerate(replies) if not i or replies[i - 1][0] != p])
-            single, pairs = others[place[:n]], others[place[n:]]
-            rest = max(1, words - n)
-            alone = np.where(single > 0, single, 0.5) / rest
-            p = np.append(alone[:1], np.where(pairs > 0, pairs / np.maximum(1, single[:-1]), BACKOFF * alone[1:]))
-            out.append((doc_id, n, float(np.log(p).sum())))
-        return pa.Table.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())], names=["doc_id", "n_words", "log_score"])
-
-    back = texts.select("row", "home", "text").mapInArrow(send, _SENT).groupBy("part").applyInArrow(count, _BACK)
-    return texts.groupBy("home").cogroup(back.groupBy("home")).applyInArrow(total, "doc_id long, n_words long, log_score double")
+        every = np.concatenate(grams)
+        by_hash = np.argsort(every)
+        every = every[by_hash]
+        new = np.concatenate([[True], every[1:] != every[:-1]])
+        sums = np.add.reduceat(np.concatenate([_counts(x) for x in group.column("counts").to_pylist()])[by_hash], np.flatnonzero(new))
+        back = np.empty(len(every), dtype=np.int64)
+        back[by_hash] = sums[np.cumsum(new) - 1]
+        packed = [_small(x) for x in np.split(back, ends[:-1])]
+        return pa.table({"home": group.column("home"), "part": group.column("part"), "counts": pa.array(packed, pa.binary())})
+
+    def total(own: pa.Table, back: pa.Table) -> pa.Table:
+        home = Home(as_bytes(own.column("text")))
+        kinds, _ = home.distinct(order)
+        replies = sorted(zip(back.column("part").to_pylist(), back.column("counts").to_pylist(), strict=True))
+        counts = np.concatenate([np.empty(0, dtype=np.int64), *(_counts(x) for _, x in replies)])
+        scores = home.scores(order, words, kinds, counts)
+        return pa.table({"doc_id": own.column("doc_id"), "n_words": pa.array(home.sizes, pa.int64()), "log_score": scores, "mean_log_score": scores / np.maximum(1, home.sizes)})
+
+    back = texts.groupBy("home").applyInArrow(send, _SENT).groupBy("part").applyInArrow(count, _BACK)
+    return texts.groupBy("home").cogroup(back.groupBy("home")).applyInArrow(total, "doc_id long, n_words long, log_score double, mean_log_score double")
 
 
 def op9_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

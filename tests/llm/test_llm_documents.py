@@ -238,22 +238,38 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, model).count() == 0 and toxicity.score(odd(spark), model).count() == 16
 
 
-def test_backoff_scores(spark, docs, rows, empty):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_backoff_scores(spark, docs, rows, empty, order):
+    def grams(w):
+        return collections.Counter(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1))
+
     every, said = collections.Counter(), {r[0]: words(r[1]) for r in rows}
     for w in said.values():
-        every.update(w)
-        every.update(zip(w, w[1:], strict=False))
+        every.update(grams(w))
     total = sum(map(len, said.values()))
-    for r in backoff.score_documents(docs).collect():
+    got = backoff.score_documents(docs, order).collect()
+    assert len(got) == len(rows)
+    for r in got:
         w = said[r.doc_id]
-        own = collections.Counter(w) + collections.Counter(zip(w, w[1:], strict=False))
-        score = 0.0
-        for i, x in enumerate(w):
-            alone = (every[x] - own[x] or 0.5) / (total - len(w))
-            pair = (w[i - 1], x)
-            if i and every[pair] > own[pair]:
-                score += math.log((every[pair] - own[pair]) / max(1, every[w[i - 1]] - own[w[i - 1]]))
-            else:
-                score += math.log(backoff.BACKOFF * alone if i else alone)
+        own, score = grams(w), 0.0
+        for i in range(len(w)):
+            longest = min(order, i + 1)
+            for n in range(longest, 0, -1):
+                gram = tuple(w[i - n + 1 : i + 1])
+                others = every[gram] - own[gram]
+                if n == 1:
+                    score += math.log(backoff.BACKOFF ** (longest - 1) * (others or 0.5) / (total - len(w)))
+                elif others:
+                    score += math.log(backoff.BACKOFF ** (longest - n) * others / (every[gram[:-1]] - own[gram[:-1]]))
+                    break
         assert r.n_words == len(w) and math.isclose(r.log_score, score, rel_tol=1e-9, abs_tol=1e-9)
-    assert backoff.score_documents(empty).count() == 0 and backoff.score_documents(odd(spark)).count() == 16
+        assert math.isclose(r.mean_log_score, score / max(1, len(w)), rel_tol=1e-9, abs_tol=1e-9)
+    assert backoff.score_documents(empty, order).count() == 0 and backoff.score_documents(odd(spark), order).count() == 16
+
+
+def test_backoff_scores_do_not_depend_on_homes_and_ranges(spark, docs, monkeypatch):
+    whole = {r.doc_id: r.log_score for r in backoff.score_documents(docs).collect()}
+    monkeypatch.setattr(backoff, "HOME_BYTES", 1 << 12)
+    monkeypatch.setattr(backoff, "RANGE_GRAMS", 1 << 10)
+    dealt = {r.doc_id: r.log_score for r in backoff.score_documents(docs).collect()}
+    assert dealt.keys() == whole.keys() and all(math.isclose(dealt[i], whole[i], rel_tol=1e-9, abs_tol=1e-9) for i in whole)
