@@ -38,9 +38,9 @@ ORDER = 3
 #: Bytes of an n-gram's hash that travel; the range tells the rest. Ranges grow in number with the corpus, so about three n-grams in a million share them with another at any size.
 HASH_BYTES = 5
 #: Text bytes of a home, and n-grams of a range before those of a home are merged, about.
-HOME_BYTES, RANGE_GRAMS = 16 << 20, 6 << 20
+HOME_BYTES, RANGE_GRAMS = 12 << 20, 6 << 20
 #: Text bytes hashed at once.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def _word_hashes(texts: list[bytes], hasher: WordHasher) -> tuple[np.ndarray, np.ndarray]:
@@ -58,13 +58,19 @@ def _word_hashes(texts: list[bytes], hasher: WordHasher) -> tuple[np.ndarray, np
 
 
 class Home:
-    """The n-grams of a home's documents, by order: distinct hashes in order, their counts, and each occurrence's place among them."""
+    """The words of a home's documents (fewer than 2**31 with all their n-grams), and the n-grams that end at them."""
 
     def __init__(self, texts: list[bytes]) -> None:
         self.words, self.sizes = _word_hashes(texts, WordHasher())
-        self.document = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        #: The place of each word in its document.
-        self.at = np.arange(len(self.words)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.document = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        self.first = np.cumsum(self.sizes) - self.sizes
+
+    def ends(self, n: int) -> np.ndarray:
+        """Whether each word ends an n-gram of its document."""
+        out = np.ones(len(self.words), dtype=bool)
+        for k in range(min(n - 1, int(self.sizes.max(initial=0)))):
+            out[(self.first + k)[self.sizes > k]] = False
+        return out
 
     def orders(self, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each order the words that end an n-gram of it, and the n-grams' hashes."""
@@ -72,24 +78,26 @@ class Home:
         for n in range(1, order + 1):
             if n > 1:
                 joined = mixed(joined[:-1] * np.uint64(BASE) + self.words[n - 1 :])
-            last = np.flatnonzero(self.at >= n - 1)
+            last = np.flatnonzero(self.ends(n)).astype(np.int32)
             yield last, joined[last - (n - 1)]
 
     def distinct(self, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """All distinct n-grams in order of their hash, with their counts."""
-        every = np.sort(np.concatenate([h for _, h in self.orders(order)]))
+        """All distinct n-grams in order of their hash, and where each begins among all of them in order (one more at the end)."""
+        every = np.concatenate([h for _, h in self.orders(order)])
+        every.sort()
         new = np.flatnonzero(np.concatenate([[True] * bool(len(every)), every[1:] != every[:-1]]))
-        return every[new], np.diff(np.append(new, len(every)))
+        return every[new], np.append(new, len(every)).astype(np.int32)
 
     def others(self, last: np.ndarray, hashes: np.ndarray, kinds: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """For each word how often other documents have the n-gram that it ends; 0 where it ends none."""
         by_hash = np.argsort(hashes, kind="stable")  # equal n-grams stay in the order of documents
-        h, d = hashes[by_hash], self.document[last[by_hash]]
-        new = np.concatenate([[True] * bool(len(h)), (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
-        first = np.flatnonzero(new)
-        left = counts[np.searchsorted(kinds, h[first])] - np.diff(np.append(first, len(h)))
+        h, last = hashes[by_hash], last[by_hash]
+        d = self.document[last]
+        first = np.flatnonzero(np.concatenate([[True] * bool(len(h)), (h[1:] != h[:-1]) | (d[1:] != d[:-1])]))
+        own = np.diff(np.append(first, len(h)))
+        left = counts[np.searchsorted(kinds, h[first])] - own
         out = np.zeros(len(self.words), dtype=np.int64)
-        out[last[by_hash]] = left[np.cumsum(new) - 1]
+        out[last] = np.repeat(left, own)
         return out
 
     def scores(self, order: int, words: int, kinds: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -101,7 +109,7 @@ class Home:
             if logs is None:
                 logs = np.log(np.where(here > 0, here, 0.5) / rest)
             else:
-                logs += np.where(self.at >= n - 1, np.log(BACKOFF), 0.0)
+                logs[self.ends(n)] += np.log(BACKOFF)
                 met = np.flatnonzero(here)
                 logs[met] = np.log(here[met] / shorter[met - 1])
             shorter = here
@@ -155,7 +163,8 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     texts = texts.select(F.pmod(F.col("row"), F.lit(homes)).alias("home"), "doc_id", "text")
 
     def send(group: pa.Table) -> pa.Table:
-        kinds, counts = Home(as_bytes(group.column("text"))).distinct(order)
+        kinds, bounds = Home(as_bytes(group.column("text"))).distinct(order)
+        counts = np.diff(bounds)
         cut = _cuts(kinds, parts)
         held = np.flatnonzero(np.diff(cut)).tolist()
         grams, many = ([pack(x[cut[p] : cut[p + 1]]) for p in held] for pack, x in ((_short, kinds), (_small, counts)))
