@@ -48,6 +48,8 @@ SHARD_BYTES = 1 << 19
 LARGEST_ANCHOR = 1 << 20
 #: A longer text is read in sections that share LENGTH - 1 bytes.
 SECTION = 1 << 22
+#: Text bytes searched for pieces at once: numbers of eight bytes each stay near the core.
+AT_ONCE = 1 << 17
 _PLACE_BITS = 24
 
 
@@ -138,7 +140,7 @@ def pieces_in(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(length, gram)
-        for rows, texts in pieces_of(batches, limit=1 << 20):
+        for rows, texts in pieces_of(batches, limit=AT_ONCE):
             text, *numbers = anchors(texts)
             columns = [rows.column(0).take(pa.array(text)), rows.column(1).take(pa.array(text)), *map(pa.array, numbers)]
             yield pa.RecordBatch.from_arrays(columns, ["_id", "_tie", "first", "windows", "anchor", "content", "left", "right"])
@@ -152,7 +154,7 @@ def anchors_in(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(length, gram, True)
-        for _, texts in pieces_of(batches, limit=1 << 20):
+        for _, texts in pieces_of(batches, limit=AT_ONCE):
             yield pa.RecordBatch.from_arrays([pa.array(anchors(texts)[0])], ["anchor"])
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "anchor long")
@@ -366,7 +368,7 @@ def passage_spans(docs: DataFrame, words: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passages = Passages(words)
-        for rows, texts in pieces_of(batches):
+        for rows, texts in pieces_of(batches, limit=AT_ONCE):
             for batch in passages.sections(texts):
                 own, lo, hi, *hashes = passages.pieces([b for _, _, b in batch])
                 text, at = np.array([i for i, _, _ in batch])[own], np.array([a for _, a, _ in batch])[own]
@@ -375,7 +377,7 @@ def passage_spans(docs: DataFrame, words: int) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passages = Passages(words, anchors_only=True)
-        for _, texts in pieces_of(batches):
+        for _, texts in pieces_of(batches, limit=AT_ONCE):
             for batch in passages.sections(texts):
                 yield pa.RecordBatch.from_arrays([pa.array(passages.pieces([b for _, _, b in batch])[0])], ["anchor"])
 
