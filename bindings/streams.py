@@ -25,20 +25,21 @@ def _landing_path(spark, sf) -> str:
 
 
 def _drain(spark, hits, columns, interval=None):
-    """The stream's output as a Parquet table, after one pass over all that has landed; with an interval, after its first batch with rows."""
+    """The stream's output as a Parquet table, after one pass over all that has landed; with an interval, after its first trigger."""
     out = scratch_folder(spark)
+    found = hits.select(*columns)
     query = (
-        hits.select(*columns)
-        .writeStream.format("parquet")
+        found.writeStream.format("parquet")
         .option("path", out)
         .option("checkpointLocation", scratch_folder(spark))
         .trigger(**trigger(interval))
         .start()
     )
     while not query.awaitTermination(1):
-        if any(p.numInputRows for p in query.recentProgress):
+        # No batch is cut: without a limit per trigger the first one reads all that has landed, which may be nothing.
+        if query.recentProgress or query.status["message"] == "Waiting for next trigger":
             query.stop()
-    return spark.read.parquet(out)
+    return spark.read.schema(found.schema).parquet(out)
 
 
 def streamed_io(spark, sf):
@@ -49,7 +50,8 @@ def streamed_io(spark, sf):
 def streamed_page_urls(spark, sf, interval=None):
     """URL hits of pages read as a stream; R3: in batches of an interval."""
     schema = table(spark, sf, "pages").schema
-    pages = spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(sf)
+    # As a pattern, the path may be a file as well as a folder of files.
+    pages = spark.readStream.schema(schema).parquet(f"{sf}/[p]ages.parquet")
     files = pages.select(
         F.col("page_id").alias("project_id"), F.lit("pages/url.txt").alias("path"), F.concat(F.lit("see\n"), "url").alias("content")
     )

@@ -252,3 +252,19 @@ def test_lookups_of_a_snapshot_skip_files(spark, store):
     assert "Exchange" not in plan and "In(project_id" in plan
     many = spark.range(1500).withColumnRenamed("id", "project_id")
     assert lk.project_profile(store.current("profiles"), many).count() == 1500
+
+
+@pytest.mark.parametrize("interval", [None, "1m"])
+@pytest.mark.parametrize("parts", [0, 1, 3])
+def test_streamed_pages_in_a_file_or_a_folder_of_files(spark, tmp_path, parts, interval):
+    from bindings.streams import streamed_page_urls
+
+    pages = spark.createDataFrame([(n, f"https://h{n}.acme.io/x", "") for n in range(9)], "page_id long, url string, html string")
+    folder = tmp_path / "pages.parquet"
+    if parts == 1:
+        pages.coalesce(1).write.parquet(str(tmp_path / "one"))
+        next((tmp_path / "one").glob("*.parquet")).rename(folder)
+    else:
+        pages.limit(9 * min(parts, 1)).repartition(max(parts, 1)).write.parquet(str(folder))
+    found = streamed_page_urls(spark, str(tmp_path), interval)
+    assert {r["name"] for r in found.collect()} == ({f"h{n}.acme.io" for n in range(9)} if parts else set())
