@@ -3,11 +3,13 @@ import hashlib
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from estatelens.operators.conflicts import classify_pairs, conflict_classes, conflict_counts, conflicts_of, find_conflicts, responsibility_members
 from estatelens.operators.graph import connected_projects, edge_classes, edges_of, graph_nodes, graph_state, hub_tables, project_edges, shared_table_edges
 from estatelens.operators.pairs import shared_key_pairs
+from estatelens.operators.similar import near_rows
 
 MODES = ["read", "write", "read_write", "unknown"]
 
@@ -177,3 +179,39 @@ def test_classification_texts(spark):
         "purpose summaries describe different primary responsibilities ('billing invoice' vs 'other thing'): "
         '"Is responsible for billing invoices" vs "other things"',
     )
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_near_rows_equal_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    base = [np.unique(rng.integers(0, 400, rng.integers(1, 300))) for _ in range(12)]
+    tokens = [np.unique(np.concatenate([rng.permutation(b)[: max(1, int(len(b) * rng.uniform(0.5, 1)))], rng.integers(0, 2**62, 3)])) for b in base for _ in range(6)]
+    wanted = rng.random(len(tokens)) < 0.7
+
+    def near(x, y):
+        both = len(np.intersect1d(tokens[x], tokens[y]))
+        return (wanted[x] or wanted[y]) and both / (len(tokens[x]) + len(tokens[y]) - both) >= 0.6
+
+    ids = np.arange(len(tokens))
+    told = [tuple(sorted((int(x), int(y)))) for x, ys in near_rows(tokens, ids, None, wanted, 0.6) for y in ys]
+    assert len(told) == len(set(told)) and set(told) == {p for p in itertools.combinations(range(len(tokens)), 2) if near(*p)} != set()
+    two = {(int(x), int(y)) for x, ys in near_rows(tokens, ids[::2], ids[1::2], wanted, 0.6) for y in ys}
+    assert two == {(x, y) for x in range(0, len(tokens), 2) for y in range(1, len(tokens), 2) if near(x, y)}
+
+
+def test_a_popular_key_makes_no_candidate_rows(spark):
+    """Rows sent grow with the summaries times the blocks of their key, not with its pairs."""
+    sums = spark.range(3000).selectExpr("id AS project_id", "'g' AS full_path", "concat('ledger account common words of all a', id, ' b', id, ' c', id) AS purpose_summary")
+    counts = conflict_counts(responsibility_members(sums.repartition(3)), block=1500)
+    assert counts.selectExpr("sum(n_overlap + n_contradictory)").first()[0] == 0
+    counts.collect()
+    sent, todo = [], [counts._jdf.queryExecution().executedPlan().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            todo.append(node.plan())
+        if node.getClass().getSimpleName() == "ShuffleExchangeExec":
+            sent.append(node.metrics().apply("shuffleRecordsWritten").value())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    assert sent and max(sent) <= 3000 * 2

@@ -13,7 +13,7 @@ from estatelens.sources.landing import read_projects, read_tree
 from estatelens.streaming.hits import landing_stream, stream_service_hits
 from estatelens.session import stored
 from estatelens.streaming.refresh import publish, stream_refresh, trigger
-from estatelens.streaming.views import KEPT, SUMS, EstateViews, kept_rows
+from estatelens.streaming.views import KEPT, LINKS, SUMS, EstateViews, kept_rows
 
 
 @pytest.fixture
@@ -268,3 +268,20 @@ def test_streamed_pages_in_a_file_or_a_folder_of_files(spark, tmp_path, parts, i
         pages.limit(9 * min(parts, 1)).repartition(max(parts, 1)).write.parquet(str(folder))
     found = streamed_page_urls(spark, str(tmp_path), interval)
     assert {r["name"] for r in found.collect()} == ({f"h{n}.acme.io" for n in range(9)} if parts else set())
+
+
+def test_a_refresh_without_new_summaries_writes_no_links(spark, store):
+    views, parent = EstateViews(store), None
+    for text in ("billing invoices and refunds", "billing invoices and refunds", "billing invoices and refunds daily"):
+        new = store.begin_snapshot("full" if parent is None else "single_project", parent)
+        ids = range(4) if parent is None else [1]
+        said = {i: text if i == 1 else "billing invoices and refunds" for i in ids}
+        rows = spark.createDataFrame([(i, f"g/{i}", "main", "sha", None, t, None, [], [], [], [], []) for i, t in said.items()], PROFILES)
+        store.write("profiles", new, rows)
+        store.write("catalog", new, rows.select("project_id", "full_path"))
+        views.keep_up(new, parent)
+        store.commit(new)
+        parent = new
+    first, second, third = (store.written("view_links", i, LINKS).count() for i in store.chain(parent))
+    assert (first, second, third) == (1, 0, 3)
+    assert {r.project_id: r.n_overlap for r in views.conflict_counts(parent).collect()} == dict.fromkeys(range(4), 3)
