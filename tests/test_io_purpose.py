@@ -260,3 +260,13 @@ def test_profile_of_a_small_estate(make_files, make_projects):
     assert got[2]["purpose_summary"] == "svc" and len(got[2]["degraded_sections"]) == 4
     assert got[4]["purpose_summary"] == "d" and got[4]["tables"] == [] and got[4]["services"] == []
     assert check_profiles(analyze(projects, files)).count() == 0
+
+
+def test_sections_of_inputs_and_outputs_read_the_go_tokens_once(spark, make_files):
+    from estatelens.plans.refresh import io_hits, lay_out
+
+    files = make_files({"go.mod": "module a/b\n", "main.go": 'package main\n\nfunc main() {\n\tos.Open("a")\n\tflag.Parse()\n\ttime.NewTicker(x)\n}\n'})
+    found = io_hits(lay_out(files))
+    assert sorted(r["category"] for r in found.collect()) == ["cli_argument", "cli_argument", "file_read", "scheduled_event"]
+    # Tokens are dealt by file; what is left are those of struct literals.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [project_id") <= 1
