@@ -75,3 +75,13 @@ def test_malformed_brackets(make_files):
         "extra.go": [("f", ["1", "2"])],
         "marks.go": [("f", ['"ab"', "g(\x01)"])],
     }
+
+
+def test_tasks_for_tokens_grow_with_the_texts(make_files, monkeypatch):
+    from estatelens.operators import brackets
+
+    files = make_files({f"f{n}.go": "package p\n\nfunc Run() {\n\tos.Open(a, b)\n}\n" for n in range(100)})
+    want = sorted(map(str, go.go_call_sites(files).collect()))
+    monkeypatch.setattr(brackets, "TASK_TEXT", 100)
+    assert brackets._parts(files, "content") >= 40
+    assert sorted(map(str, go.go_call_sites(files).collect())) == want and len(want) == 200
