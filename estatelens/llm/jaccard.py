@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from estatelens.llm.components import components
-from estatelens.llm.words import WordHasher, pieces_of
+from estatelens.llm.words import WordHasher, pieces_of, tidy
 from estatelens.session import stored
 
 WIDTH = 4
@@ -91,7 +91,7 @@ def _ranges(docs: DataFrame, width: int, parts: int) -> DataFrame:
             kinds = [pa.int32()] + [pa.binary()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [c.split()[0] for c in _PACKED.split(", ")])
 
-    return docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _PACKED)
+    return docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), _PACKED)
 
 
 def _joined(group: pa.Table, name: str, kind: type) -> np.ndarray:
@@ -174,7 +174,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int = WIDTH) -> DataFrame:
                 )
 
     given = docs.filter("doc_id IS NOT NULL").withColumns({f"p{j}": p for j, p in enumerate(_places("doc_id"))})
-    return given.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "p0", "p1", "p2").mapInArrow(run, "doc_id long, name binary, n int, grams array<long>").filter("n > 0")
+    return given.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "p0", "p1", "p2").mapInArrow(tidy(run), "doc_id long, name binary, n int, grams array<long>").filter("n > 0")
 
 
 def needed(na: int, nb: int, percent: int = PERCENT) -> int:
@@ -318,7 +318,7 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
             yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in hasher.shingles(texts, width)], pa.int64())], ["n_shingles"])
 
     none = F.lit(None).cast("long")
-    nameless = docs.filter("doc_id IS NULL").select("text").mapInArrow(sizes, "n_shingles long").select(none.alias("doc_id"), "n_shingles", none.alias("component_id"))
+    nameless = docs.filter("doc_id IS NULL").select("text").mapInArrow(tidy(sizes), "n_shingles long").select(none.alias("doc_id"), "n_shingles", none.alias("component_id"))
     return known.unionByName(nameless)
 
 

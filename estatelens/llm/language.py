@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from estatelens.llm.words import pieces_of
+from estatelens.llm.words import pieces_of, tidy
 
 FEATURES = 1 << 15
 ORDERS = (2, 3, 4)
@@ -92,7 +92,7 @@ def learn(docs: DataFrame, text: str = "text", language: str = "lang") -> tuple[
 
     schema = "lang string, counts binary"
     known = docs.filter(F.col(language).isNotNull()).select(F.col(text).alias("text"), F.col(language).alias("lang"))
-    learned = sorted(known.mapInArrow(count, schema).groupBy("lang").applyInArrow(total, schema).collect())
+    learned = sorted(known.mapInArrow(tidy(count), schema).groupBy("lang").applyInArrow(total, schema).collect())
     languages = [r["lang"] for r in learned]
     code = codewords(len(languages))
     counts = np.array([np.frombuffer(r["counts"], dtype=np.int64) for r in learned]).reshape(len(languages), FEATURES)
@@ -139,7 +139,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
 
     kept = docs.drop(*[c for c in ("lang_pred", "score", "ambiguous") if c in docs.columns])
     schema = T.StructType(list(kept.schema.fields)).add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy(run), schema)
 
 
 def fold(doc_id: str = "doc_id"):

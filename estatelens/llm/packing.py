@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatelens.llm.words import WordHasher, byte_codes, pieces_of
+from estatelens.llm.words import WordHasher, byte_codes, pieces_of, tidy
 from estatelens.session import stored
 
 LENGTH = 2048
@@ -199,7 +199,7 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
             packed = [x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(ids, wide, strict=True)]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(keys), pa.array(packed, pa.binary()), pa.array(wide)], ["doc_id", "key", "ids", "wide"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key long, ids binary, wide boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, key long, ids binary, wide boolean")
 
 
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -263,7 +263,7 @@ def pack(tokens: DataFrame, length: int = LENGTH, keep_ids: bool = False) -> Dat
             yield batch(out)
 
     schema = ", ".join(f"{n} long" for n in NAMES) + ", ids binary" * keep_ids
-    return line.mapInArrow(run, schema)
+    return line.mapInArrow(tidy(run), schema)
 
 
 def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from estatelens.llm.suffixes import repeated_starts
-from estatelens.llm.words import BASE, BASE_INVERSE, WordHasher, byte_codes, mixed, pieces_of, powers
+from estatelens.llm.words import BASE, BASE_INVERSE, WordHasher, byte_codes, mixed, pieces_of, powers, tidy
 from estatelens.session import small_side, stored
 
 LENGTH = 400
@@ -146,7 +146,7 @@ def pieces_in(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
             yield pa.RecordBatch.from_arrays(columns, ["_id", "_tie", "first", "windows", "anchor", "content", "left", "right"])
 
     kinds = ", ".join(f"{n} long" for n in ("_id", "_tie", "first", "windows", "anchor", "content", "left", "right"))
-    return docs.select(*_identity(docs), F.col("text").cast("string").alias("text")).mapInArrow(run, kinds)
+    return docs.select(*_identity(docs), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), kinds)
 
 
 def anchors_in(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -157,7 +157,7 @@ def anchors_in(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataF
         for _, texts in pieces_of(batches, limit=AT_ONCE):
             yield pa.RecordBatch.from_arrays([pa.array(anchors(texts)[0])], ["anchor"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "anchor long")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "anchor long")
 
 
 def _meeting(pieces: DataFrame, anchors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -206,7 +206,7 @@ def _cut(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     wanted = stored(wanted)
     met = _of_rows(docs.select(*_identity(docs), "text"), wanted, "left_semi").join(wanted, ["_id", "_tie"]).select("text", "pieces")
-    return met.mapInArrow(run, "anchor long, content long, copies long, windows long, bytes binary")
+    return met.mapInArrow(tidy(run), "anchor long, content long, copies long, windows long, bytes binary")
 
 
 _FOUND = "anchor long, content long, lo long, hi long"
@@ -252,7 +252,7 @@ def _by_hash(cut: DataFrame, length: int) -> DataFrame:
                 columns = [np.full(n, rows.column(0)[i].as_py()), np.full(n, rows.column(1)[i].as_py()), np.arange(n), one.view(np.int64), two.view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "content", "at", "h1", "h2"])
 
-    windows = cut.select("anchor", "content", "bytes").mapInArrow(run, "anchor long, content long, at long, h1 long, h2 long")
+    windows = cut.select("anchor", "content", "bytes").mapInArrow(tidy(run), "anchor long, content long, at long, h1 long, h2 long")
     many = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h1", "h2")
     return windows.join(many, ["h1", "h2"]).select("anchor", "content", F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"))
 
@@ -391,7 +391,7 @@ def passage_spans(docs: DataFrame, words: int) -> DataFrame:
 
     given = docs.select(*_identity(docs), F.col("text").cast("string").alias("text"))
     kinds = ", ".join(f"{n} long" for n in ("_id", "_tie", "lo", "hi", "anchor", "content", "left", "right"))
-    places, differ = _meeting(given.mapInArrow(cut, kinds), given.select("text").mapInArrow(meet, "anchor long"))
+    places, differ = _meeting(given.mapInArrow(tidy(cut), kinds), given.select("text").mapInArrow(tidy(meet), "anchor long"))
     distinct = stored(
         places.groupBy("anchor", "content")
         .agg(F.count(F.lit(1)).alias("copies"), F.first("left").alias("left"), F.first("right").alias("right"), F.min(F.struct("_id", "_tie", "lo", "hi")).alias("at"))
@@ -400,7 +400,7 @@ def passage_spans(docs: DataFrame, words: int) -> DataFrame:
     unsure = _unsure(distinct)
     piece = F.struct(F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"), "anchor", "content", "copies")
     wanted = stored(unsure.groupBy(F.col("at._id").alias("_id"), F.col("at._tie").alias("_tie")).agg(F.collect_list(piece).alias("pieces")))
-    windows = _of_rows(given, wanted, "left_semi").join(wanted, ["_id", "_tie"]).select("text", "pieces").mapInArrow(count, "anchor long, content long, copies long, lo long, hi long, h1 long, h2 long")
+    windows = _of_rows(given, wanted, "left_semi").join(wanted, ["_id", "_tie"]).select("text", "pieces").mapInArrow(tidy(count), "anchor long, content long, copies long, lo long, hi long, h1 long, h2 long")
     windows = stored(windows.dropDuplicates(["anchor", "content", "lo"]))  # a repeated row meets its pieces again
     many = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h1", "h2")
     # Pieces with copies repeat whole; the others have one place each.
@@ -477,7 +477,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, word
             yield pa.RecordBatch.from_arrays([*rows.columns[:-2], *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds[: len(added)], strict=True))], [*names, *added])
 
     fields = [T.StructField("kept", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ADDED[1:4]), T.StructField("kept_text", T.StringType()), *(T.StructField(c, T.LongType()) for c in PASSAGES)]
-    return met.select(*names, own_spans, own_passages).unionByName(rest).mapInArrow(run, T.StructType([*docs.schema.fields, *fields[: len(added)]]))
+    return met.select(*names, own_spans, own_passages).unionByName(rest).mapInArrow(tidy(run), T.StructType([*docs.schema.fields, *fields[: len(added)]]))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
