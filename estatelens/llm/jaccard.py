@@ -177,77 +177,107 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int = WIDTH) -> DataFrame:
     return given.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "p0", "p1", "p2").mapInArrow(tidy(run), "doc_id long, name binary, n int, grams array<long>").filter("n > 0")
 
 
-def needed(na: int, nb: int, percent: int = PERCENT) -> int:
+def needed(na: int, nb: int | np.ndarray, percent: int = PERCENT) -> int | np.ndarray:
     """The least overlap of linked sets of these sizes."""
     return -(-percent * (na + nb) // (100 + percent))
 
 
 class _Groups:
-    """Union-find over a task's few sets."""
+    """Union-find over a task's sets with a label for each, so that many are compared at once; the smaller group takes the other's label."""
 
     def __init__(self, n: int) -> None:
-        self.parent = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.parent[x] != x:
-            self.parent[x] = self.parent[self.parent[x]]
-            x = self.parent[x]
-        return x
+        self.label = np.arange(n)
+        self.members: dict[int, list[int]] = {}
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether they were apart."""
+        a, b = int(self.label[x]), int(self.label[y])
+        if a == b:
+            return False
+        one, other = self.members.pop(a, [a]), self.members.pop(b, [b])
+        if len(one) < len(other):
+            a, one, other = b, other, one
+        self.label[other] = a
+        one += other
+        self.members[a] = one
+        return True
+
+
+class _Fragments:
+    """A task's sets, each cut into ``FRAGMENTS`` of the global order, with small numbers for shingles."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.size = np.array([len(s) for s in sets], dtype=np.int64)
+        every = np.concatenate(sets)
+        values, self.grams = np.unique(every, return_inverse=True)
+        self.held = np.zeros(len(values), dtype=bool)
+        edges = np.array([f * (1 << 64) // FRAGMENTS - (1 << 63) for f in range(1, FRAGMENTS)], dtype=np.int64)
+        where = np.repeat(np.arange(len(sets)) * FRAGMENTS, self.size) + np.searchsorted(edges, every, "right")
+        self.count = np.bincount(where, minlength=len(sets) * FRAGMENTS).reshape(len(sets), FRAGMENTS)
+        self.first = (np.cumsum(self.count) - self.count.ravel()).reshape(len(sets), FRAGMENTS)
+
+    def linked(self, x: int, others: np.ndarray, percent: int) -> np.ndarray:
+        """Those of ``others`` at or above the similarity to ``x``: a fragment's overlaps are counted for all, and those that can no longer reach theirs end."""
+        need = needed(self.size[x], self.size[others], percent)
+        total = np.zeros(len(others), dtype=np.int64)
+        rest, mine = self.size[others], int(self.size[x])
+        for f in range(FRAGMENTS):
+            own = self.grams[self.first[x, f] : self.first[x, f] + self.count[x, f]]
+            count = self.count[others, f]
+            ends = np.cumsum(count)
+            if len(own) and ends[-1]:
+                self.held[own] = True
+                at = np.repeat(self.first[others, f] - ends + count, count) + np.arange(ends[-1])
+                hits = np.concatenate([[0], np.cumsum(self.held[self.grams[at]])])
+                self.held[own] = False
+                total += hits[ends] - hits[ends - count]
+            rest, mine = rest - count, mine - len(own)
+            on = total + np.minimum(rest, mine) >= need
+            others, need, total, rest = others[on], need[on], total[on], rest[on]
+            if not len(others):
+                break
+        return others
 
 
 def links_among(sets: list[np.ndarray], side: list[int], percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that connect all linked pairs of these sets; where there are two sides, only pairs across them are compared.
 
-    Pairs that share a prefix shingle are compared by fragments of the global
-    order: partial overlaps are summed, and a pair ends once what is left can
-    no longer reach the overlap it needs. Pairs that earlier links connect are
-    not compared again.
+    A set is compared at once with all larger ones that share a prefix shingle
+    and that no earlier link connects with it: overlaps are counted by
+    fragments of the global order and summed per pair.
     """
-    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    edges = np.array([f * (1 << 64) // FRAGMENTS - (1 << 63) for f in range(1, FRAGMENTS)], dtype=np.int64)
-    cuts = [[0, *np.searchsorted(s, edges).tolist(), len(s)] for s in sets]
-    size = [len(s) for s in sets]
+    order = np.array(sorted(range(len(sets)), key=lambda i: len(sets[i])), dtype=np.int64)
+    sets = [sets[i] for i in order]
+    fragments, groups, found = _Fragments(sets), _Groups(len(sets)), []
+    size, sides = fragments.size, np.asarray(side)[order]
+    two_sides = len(set(side)) > 1
     # As the larger set of a pair a set misses at most n - ceil(P n / 100), as the smaller n - ceil(2P n / (100 + P)).
-    large = [n + (-percent * n // 100) + 1 for n in size]
-    small = [n + (-2 * percent * n // (100 + percent)) + 1 for n in size]
-    grams = np.concatenate([sets[i][: large[i]] for i in order])
-    place = np.repeat(np.arange(len(order)), [large[i] for i in order])
-    at = np.concatenate([np.arange(large[i]) for i in order])
+    large = size + (-percent * size // 100) + 1
+    small = size + (-2 * percent * size // (100 + percent)) + 1
+    grams = np.concatenate([s[:n] for s, n in zip(sets, large.tolist(), strict=True)])
+    place = np.repeat(np.arange(len(sets)), large)
+    at = np.arange(len(grams)) - np.repeat(np.cumsum(large) - large, large)
     by = np.lexsort((place, grams))
     grams, place, at = grams[by], place[by], at[by]
     first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
     ends = np.append(first[1:], len(grams))
-    many = ends - first > 1
-    groups, compared, found = _Groups(len(sets)), set(), []
-    two_sides = len(set(side)) > 1
-
-    def linked(x: int, y: int) -> bool:
-        need, total = needed(size[x], size[y], percent), 0
-        for f in range(FRAGMENTS):
-            a, b = sets[x][cuts[x][f] : cuts[x][f + 1]], sets[y][cuts[y][f] : cuts[y][f + 1]]
-            if len(a) and len(b):
-                where = np.minimum(np.searchsorted(b, a), len(b) - 1)
-                total += int(np.count_nonzero(b[where] == a))
-            if total + min(size[x] - cuts[x][f + 1], size[y] - cuts[y][f + 1]) < need:
-                return False
-        return total >= need
-
-    for lo, hi in zip(first[many].tolist(), ends[many].tolist(), strict=True):
-        members = [(order[p], q) for p, q in zip(place[lo:hi].tolist(), at[lo:hi].tolist(), strict=True)]
-        for i, (x, q) in enumerate(members):
-            if q >= small[x]:
-                continue
-            if len({groups.find(z) for z, _ in members[i:]}) < 2:
-                break
-            for y, _ in members[i + 1 :]:
-                if 100 * size[x] < percent * size[y]:
-                    break
-                if (two_sides and side[x] == side[y]) or (x, y) in compared or groups.find(x) == groups.find(y):
-                    continue
-                compared.add((x, y))
-                if linked(x, y):
-                    found.append((x, y))
-                    groups.parent[groups.find(y)] = groups.find(x)
+    end = np.repeat(ends, ends - first)
+    # Places of prefix shingles that a larger set also has in its prefix, by set.
+    use = np.flatnonzero((at < small[place]) & (np.arange(len(grams)) + 1 < end))
+    use = use[np.argsort(place[use], kind="stable")]
+    cut = np.searchsorted(place[use], np.arange(len(sets) + 1))
+    like = np.searchsorted(size, 100 * size // percent, "right")  # larger sets from there on are too large
+    met = np.zeros(len(sets), dtype=bool)
+    for x in np.flatnonzero(np.diff(cut)).tolist():
+        for k in use[cut[x] : cut[x + 1]].tolist():
+            met[place[k + 1 : end[k]]] = True
+        others = np.flatnonzero(met[x + 1 : like[x]]) + x + 1
+        met[x + 1 :] = False
+        others = others[groups.label[others] != groups.label[x]]
+        if two_sides:
+            others = others[sides[others] != sides[x]]
+        if len(others):
+            found += [(int(order[x]), int(order[y])) for y in fragments.linked(x, others, percent).tolist() if groups.join(x, y)]
     return found
 
 
