@@ -11,9 +11,10 @@ without comparing texts with each other:
    a piece with copies repeat. If an anchor also has a piece without a copy,
    those of its pieces that share what stands left or right of the anchor with
    another (as far as half a window) go to shards, an anchor's together.
-3. A shard's pieces are one text: its suffix array is built by induced
-   sorting, and a window repeats if its permuted common prefix with either
-   neighbour in the array reaches ``LENGTH``.
+3. Of a shard's pieces stays what can repeat: windows around a string of the
+   anchor that another piece has in the same place. This is one text: its
+   suffix array is built by induced sorting, and a window repeats if its
+   permuted common prefix with either neighbour in the array reaches ``LENGTH``.
 4. An anchor with more than ``LARGEST_ANCHOR`` bytes of different pieces does
    not fit a shard; its windows are counted by 128-bit hash instead, spread
    over all tasks.
@@ -50,6 +51,8 @@ LARGEST_ANCHOR = 1 << 20
 SECTION = 1 << 22
 #: Text bytes searched for pieces at once: numbers of eight bytes each stay near the core.
 AT_ONCE = 1 << 17
+#: Strings around an anchor that tell which windows of a piece can repeat.
+STEPS = 16
 _PLACE_BITS = 24
 
 
@@ -171,6 +174,11 @@ def _meeting(pieces: DataFrame, anchors: DataFrame) -> tuple[DataFrame, DataFram
     return kept, differ
 
 
+def _of_one(*columns: str) -> list[Column]:
+    """Where one of equal pieces stands: firsts are of the same row, and unlike the least struct they are hashed, not sorted."""
+    return [F.first(c).alias(c) for c in columns]
+
+
 def _of_rows(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     """The documents (with ``_id`` and ``_tie``) that are, or are not, among ``rows``: by ids alone, so that no other text moves."""
     return docs.join(small_side(rows.select("_id", "_tie").distinct()), ["_id", "_tie"], how)
@@ -218,19 +226,50 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
 
 
-def _in_shards(cut: DataFrame, shards: int, length: int) -> DataFrame:
+def _may_repeat(data: np.ndarray, begin: np.ndarray, size: np.ndarray, windows: np.ndarray, anchor: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and one-past-last window of each piece (of ``data``) that another piece of its anchor can hold too.
+
+    Equal windows have the same bytes on both sides of their anchor. They are
+    told apart by how many stand left of it, in ``STEPS``: those of a step have
+    a string around the anchor in common, so the piece's other windows stay out.
+    """
+    anchors = Anchors(length, gram)
+    hashes, total = anchors.gram_hashes(data, gram).view(np.int64), anchors.totals(data)
+    many = size - gram + 1
+    own = np.repeat(np.arange(len(begin)), many)
+    place = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many) + begin[own]
+    hit = np.flatnonzero(hashes[place] == anchor[own])
+    at = place[hit[np.unique(own[hit], return_index=True)[1]]]  # an anchor is the first of its kind in its piece
+    steps = max(1, min(STEPS, length - gram))
+    bounds = np.arange(steps + 1) * (length - gram) // steps
+    lo, hi = at[:, None] - bounds[:-1], at[:, None] + length - bounds[1:]
+    there = (lo >= begin[:, None]) & (hi <= (begin + size)[:, None])
+    lo, hi = np.where(there, lo, 0), np.where(there, hi, 0)
+    key = mixed((total[hi] - total[lo]) * anchors.down[lo]) ^ mixed(anchor.view(np.uint64)[:, None] + np.arange(steps, dtype=np.uint64))
+    _, which, count = np.unique(key.ravel(), return_inverse=True, return_counts=True)
+    shared = there & (count[which].reshape(key.shape) > 1)
+    first = np.where(shared, (at - begin)[:, None] - bounds[1:], windows[:, None]).min(axis=1)
+    last = np.where(shared, (at - begin)[:, None] - bounds[:-1], -1).max(axis=1)
+    return np.maximum(first, 0), np.minimum(last + 1, windows)
+
+
+def _in_shards(cut: DataFrame, shards: int, length: int, gram: int = GRAM) -> DataFrame:
     """Runs of repeated windows (lo..hi, exclusive) of each piece, from the suffix array of its shard."""
 
     def run(group: pa.Table) -> pa.Table:
         rows = group.select(["anchor", "content", "windows", "bytes"]).to_pylist()
         rows = list({(r["anchor"], r["content"]): r for r in rows}.values())
-        data = np.frombuffer(b"\0".join(r["bytes"] for r in rows), dtype=np.uint8)
-        again = repeated_starts(data, length)
+        size = np.array([len(r["bytes"]) for r in rows])
+        anchor, windows = (np.array([r[c] for r in rows], dtype=np.int64) for c in ("anchor", "windows"))
+        every = np.frombuffer(b"".join(r["bytes"] for r in rows), dtype=np.uint8)
+        first, past = (x.tolist() for x in _may_repeat(every, np.cumsum(size) - size, size, windows, anchor, length, gram))
+        met = [(r["anchor"], r["content"], a, b, r["bytes"][a : b + length - 1]) for r, a, b in zip(rows, first, past, strict=True) if a < b]
+        again = repeated_starts(np.frombuffer(b"\0".join(m[4] for m in met), dtype=np.uint8), length) if met else None
         out, at = [], 0
-        for r in rows:
-            lo, hi = _runs(again[at : at + r["windows"]])
-            out += [(r["anchor"], r["content"], a, b) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
-            at += len(r["bytes"]) + 1
+        for anchor, content, a, b, part in met:
+            lo, hi = _runs(again[at : at + b - a])
+            out += [(anchor, content, a + x, a + y) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+            at += len(part) + 1
         return pa.Table.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(4)], names=["anchor", "content", "lo", "hi"])
 
     return cut.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).applyInArrow(run, _FOUND)
@@ -262,7 +301,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     places, differ = _meeting(pieces_in(docs, length, gram), anchors_in(docs, length, gram))
     distinct = stored(
         places.groupBy("anchor", "content")
-        .agg(F.count(F.lit(1)).alias("copies"), F.first("windows").alias("windows"), F.first("left").alias("left"), F.first("right").alias("right"), F.min(F.struct("_id", "_tie", "first")).alias("at"))
+        .agg(F.count(F.lit(1)).alias("copies"), F.first("windows").alias("windows"), F.first("left").alias("left"), F.first("right").alias("right"), *_of_one("_id", "_tie", "first"))
         .join(differ, "anchor")
     )
     unsure = _unsure(distinct)
@@ -271,13 +310,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     total = unsure.join(large, "anchor", "left_anti").agg(F.sum(size)).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
 
-    piece = F.struct(F.col("at.first").alias("first"), "windows", "anchor", "content", "copies")
+    piece = F.struct("first", "windows", "anchor", "content", "copies")
 
     def wanted(is_large: bool) -> DataFrame:
         chosen = unsure.join(large, "anchor", "left_semi" if is_large else "left_anti")
-        return chosen.groupBy(F.col("at._id").alias("_id"), F.col("at._tie").alias("_tie")).agg(F.collect_list(piece).alias("pieces"))
+        return chosen.groupBy("_id", "_tie").agg(F.collect_list(piece).alias("pieces"))
 
-    found = _in_shards(_cut(docs, wanted(False), length), shards, length)
+    found = _in_shards(_cut(docs, wanted(False), length), shards, length, gram)
     if not large.isEmpty():
         found = found.unionByName(_by_hash(_cut(docs, wanted(True), length), length))
     copied = distinct.filter("copies > 1").select("anchor", "content", F.lit(0).cast("long").alias("lo"), F.col("windows").alias("hi"))
@@ -394,18 +433,18 @@ def passage_spans(docs: DataFrame, words: int) -> DataFrame:
     places, differ = _meeting(given.mapInArrow(tidy(cut), kinds), given.select("text").mapInArrow(tidy(meet), "anchor long"))
     distinct = stored(
         places.groupBy("anchor", "content")
-        .agg(F.count(F.lit(1)).alias("copies"), F.first("left").alias("left"), F.first("right").alias("right"), F.min(F.struct("_id", "_tie", "lo", "hi")).alias("at"))
+        .agg(F.count(F.lit(1)).alias("copies"), F.first("left").alias("left"), F.first("right").alias("right"), *_of_one("_id", "_tie", "lo", "hi"))
         .join(differ, "anchor")
     )
     unsure = _unsure(distinct)
-    piece = F.struct(F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"), "anchor", "content", "copies")
-    wanted = stored(unsure.groupBy(F.col("at._id").alias("_id"), F.col("at._tie").alias("_tie")).agg(F.collect_list(piece).alias("pieces")))
+    piece = F.struct("lo", "hi", "anchor", "content", "copies")
+    wanted = stored(unsure.groupBy("_id", "_tie").agg(F.collect_list(piece).alias("pieces")))
     windows = _of_rows(given, wanted, "left_semi").join(wanted, ["_id", "_tie"]).select("text", "pieces").mapInArrow(tidy(count), "anchor long, content long, copies long, lo long, hi long, h1 long, h2 long")
     windows = stored(windows.dropDuplicates(["anchor", "content", "lo"]))  # a repeated row meets its pieces again
     many = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h1", "h2")
     # Pieces with copies repeat whole; the others have one place each.
     found = windows.filter("copies = 1").join(many, ["h1", "h2"]).select("anchor", "content", F.col("lo").alias("a"), F.col("hi").alias("b"))
-    copied = distinct.filter("copies > 1").select("anchor", "content", F.lit(0).cast("long").alias("a"), (F.col("at.hi") - F.col("at.lo")).alias("b"))
+    copied = distinct.filter("copies > 1").select("anchor", "content", F.lit(0).cast("long").alias("a"), (F.col("hi") - F.col("lo")).alias("b"))
     spans = places.join(found.unionByName(copied), ["anchor", "content"]).select("_id", "_tie", F.struct((F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi")).alias("s"))
     return spans.groupBy("_id", "_tie").agg(F.collect_set("s").alias("spans"))
 
